@@ -58,6 +58,7 @@ def fold_of(doc_id, modulus: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus), F.lit(-1))
 
 
-def words_of(text: str) -> list[bytes]:
-    """Maximal runs without space, tab, LF, VT, FF, CR, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").split()
+def words_of(text: str, lower: bool = False) -> list[bytes]:
+    """Maximal runs without space, tab, LF, VT, FF, CR, as UTF-8; ``lower`` lowers A-Z only."""
+    data = text.encode("utf-8", "surrogatepass")
+    return (data.lower() if lower else data).split()
