@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, packing, secret_scan, simhash, token_store, toxicity
+from . import bpe, language, packing, quality, secret_scan, simhash, token_store, toxicity
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.train(docs))
@@ -44,8 +48,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_store, op4_byte_bpe, op7_language_codes, op8_toxicity_ftrl, op9_simhash_golay, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_store, op4_byte_bpe, op6_risk_controlled_quality, op7_language_codes, op8_toxicity_ftrl, op9_simhash_golay, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_risk_controlled_quality": quality.oracle()}
