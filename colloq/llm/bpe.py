@@ -122,7 +122,7 @@ def _bucket_of(word: str, buckets: int) -> int:
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id and ids (little-endian unsigned 16-bit integers) of every whole text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = max(1, -(-input_bytes(rows) // BUCKET_BYTES))
+    buckets = max(1, -(-input_bytes(docs) // BUCKET_BYTES))
 
     def explode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, words, _ in _blocks(batches, ids=False):

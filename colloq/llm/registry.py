@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, packing, quality, secret_scan, simhash, token_store, toxicity
+from . import bpe, language, packing, pii, quality, secret_scan, simhash, token_store, topk, toxicity
 from .common import table
 
 
@@ -20,11 +20,21 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(store)
 
 
+def op3_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.train(docs))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,8 +58,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_store, op4_byte_bpe, op6_risk_controlled_quality, op7_language_codes, op8_toxicity_ftrl, op9_simhash_golay, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_store, op3_pii_boosted, op4_byte_bpe, op5_exact_topk, op6_risk_controlled_quality, op7_language_codes, op8_toxicity_ftrl, op9_simhash_golay, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_risk_controlled_quality": quality.oracle()}
+    return {"op5_exact_topk": topk.oracle(), "op6_risk_controlled_quality": quality.oracle()}

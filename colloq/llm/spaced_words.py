@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from operator import attrgetter
 
 #: Spaced words that one worker remembers (about 100 MB); later ones are encoded again.
 MEMO_WORDS = 400_000
@@ -76,8 +77,15 @@ class Memo(dict):
         return b"".join([self.get(w) or self.encode_word(w) for w in _CUT.split(text)])
 
 
-class ByteLevelEncoder:
-    """ids of spaced words by a byte-level BPE file of the ``tokenizers`` library."""
+_ID = attrgetter("id")
+
+
+class _LibraryEncoder:
+    """ids of spaced words by a vocabulary file of the ``tokenizers`` library.
+
+    Words below U+0250 are split here and merged by the library's model; all others go through
+    the library whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -85,67 +93,59 @@ class ByteLevelEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.tokenize = self.library.model.tokenize
-        self.letters = byte_letters()
+        letters = byte_letters()
+        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x250)}
         self.marks: dict[str, list[int]] = {}
 
     def piece(self, piece: str) -> list[int]:
-        if piece.isascii() and piece.isalpha():
-            mapped = piece
-        else:
-            mapped = piece.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.tokenize(mapped)]
+        return list(map(_ID, self.tokenize(piece.translate(self.letters))))
+
+    def short(self, piece: str) -> list[int]:
+        known = self.marks.get(piece)
+        if known is None:
+            known = self.marks[piece] = self.piece(piece)
+        return known
+
+    def pieces(self, word: str) -> list[str]:
+        raise NotImplementedError
 
     def __call__(self, word: str) -> bytes:
-        if max(word, default="") >= "ɐ":
+        if not word.isascii() and (max(word) >= "ɐ" or "İ" in word):
             ids = self.library.encode(word, add_special_tokens=False).ids
         else:
             ids = []
-            for p in _LATIN_PATTERN.findall(word):
-                if len(p) > 2:
-                    ids += self.piece(p)
-                else:
-                    known = self.marks.get(p)
-                    if known is None:
-                        known = self.marks[p] = self.piece(p)
-                    ids += known
+            for p in self.pieces(word):
+                ids += self.piece(p) if len(p) > 2 else self.short(p)
         return array("H", ids).tobytes()
 
 
-class WordEndEncoder:
-    """ids of spaced words by the lower-casing BPE file with word ends of the ``tokenizers`` library."""
+class ByteLevelEncoder(_LibraryEncoder):
+    """Byte-level BPE: a space belongs to the word after it."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def pieces(self, word: str) -> list[str]:
+        if word[:1] == " ":
+            if word[1:].isalpha():
+                return [word]
+            if word[1:-1].isalpha() and word[-1] in ".,!|":
+                return [word[:-1], word[-1]]
+        return _LATIN_PATTERN.findall(word)
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.tokenize = self.library.model.tokenize
-        self.letters = byte_letters()
-        self.marks: dict[str, list[int]] = {}
 
-    def piece(self, piece: str) -> list[int]:
-        if piece.isascii() and piece.isalpha():
-            mapped = piece
-        else:
-            mapped = piece.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.tokenize(mapped)]
+class WordEndEncoder(_LibraryEncoder):
+    """Lower-casing BPE with word ends; white space is dropped.
 
-    def __call__(self, word: str) -> bytes:
-        # Below U+0250 precomposed letters are already in NFC and lower() works letter by letter;
-        # U+0130 alone lowers to two code points, the second above the range.
-        if max(word, default="") >= "ɐ" or "İ" in word:
-            ids = self.library.encode(word, add_special_tokens=False).ids
-        else:
-            ids = []
-            for p in _LATIN_WORDS.findall(word.lower()):
-                if len(p) > 2:
-                    ids += self.piece(p)
-                else:
-                    known = self.marks.get(p)
-                    if known is None:
-                        known = self.marks[p] = self.piece(p)
-                    ids += known
-        return array("H", ids).tobytes()
+    Below U+0250 precomposed letters are in NFC and lower() works letter by letter, but for
+    U+0130, which goes through the library.
+    """
+
+    def pieces(self, word: str) -> list[str]:
+        word = word.lower()
+        if word[:1] == " ":
+            if word[1:].isalpha():
+                return [word[1:]]
+            if word[1:-1].isalpha() and word[-1] in ".,!|":
+                return [word[1:-1], word[-1]]
+        return _LATIN_WORDS.findall(word)
 
 
 _MEMOS: dict[tuple[str, str], Memo] = {}

@@ -31,7 +31,7 @@ SEGMENT_TOKENS = 1 << 20
 CHUNK_BITS = 8
 BLOCK_BITS = 512
 #: Input bytes for each range partition.
-PARTITION_BYTES = 32 << 20
+PARTITION_BYTES = 8 << 20
 #: Range partitions at most; their totals (16 bytes each) are broadcast.
 MAX_PARTITIONS = 1 << 16
 
@@ -135,7 +135,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
             yield segment()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = min(MAX_PARTITIONS, max(1, -(-input_bytes(rows) // PARTITION_BYTES)))
+    n = min(MAX_PARTITIONS, max(1, -(-input_bytes(docs) // PARTITION_BYTES)))
     order = ["doc_id", F.xxhash64("text")]
     ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return written(ordered.mapInArrow(run, SEGMENT_SCHEMA), "tokens")
