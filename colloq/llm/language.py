@@ -133,30 +133,45 @@ def train(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model | None:
     return Model(languages, x, np.array([languages.index(lang) for _, lang, _ in found]))
 
 
-def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, ambiguous, and the columns named by ``keep``."""
+def _judge(model: Model | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, share, ambiguous) of each text."""
+    found = np.stack([counts(t.as_py() or "") for t in texts])
+    some = found.sum(1) > 0
+    lang = np.full(len(found), UNKNOWN, object)
+    value = np.zeros(len(found))
+    if model is not None and some.any():
+        best, value[some] = model.decode(np.sqrt(found[some] / found[some].sum(1, keepdims=True)))
+        lang[some] = np.array(model.languages, object)[best]
+    return lang, value, (lang != UNKNOWN) & (value < AMBIGUOUS)
+
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, ambiguous of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                found = np.stack([counts(t.as_py() or "") for t in batch.column("_text")])
-                some = found.sum(1) > 0
-                lang = np.full(len(found), UNKNOWN, object)
-                value = np.zeros(len(found))
-                if model is not None and some.any():
-                    total = np.maximum(found[some].sum(1, keepdims=True), 1.0)
-                    best, value[some] = model.decode(np.sqrt(found[some] / total))
-                    lang[some] = np.array(model.languages, object)[best]
-                flag = (lang != UNKNOWN) & (value < AMBIGUOUS)
-                names = [n for n in batch.schema.names if n != "_text"]
-                arrays = [batch.column(n) for n in names]
-                arrays += [pa.array(lang.tolist(), pa.string()), pa.array(value), pa.array(flag.astype(bool))]
-                yield pa.RecordBatch.from_arrays(arrays, [*names, "lang_pred", "score", "ambiguous"])
+                lang, value, flag = _judge(shared.value, batch.column(2))
+                arrays = [*batch.columns[:2], pa.array(lang.tolist(), pa.string()), pa.array(value), pa.array(flag.astype(bool))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     held = (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, *keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(run, schema + ", lang_pred string, score double, ambiguous boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The documents with a language that is not ambiguous, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                lang, _, flag = _judge(shared.value, batch.column(at))
+                yield batch.filter(pa.array(((lang != UNKNOWN) & ~flag).astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)

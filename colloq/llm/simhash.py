@@ -267,3 +267,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     named = written(known.join(least, "root").select("fp", "component_id"), "components")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, all columns as they are: the one with the smallest doc_id.
+
+    Where doc_ids repeat or are null, rows are numbered as they are read, and the first stays;
+    ``docs`` must then come from files, so that both readings number alike.
+    """
+    ids = docs.select(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if ids[0] == ids[2]:
+        found = near_duplicates(docs)
+        stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stay"))
+        return docs.join(stay, docs.doc_id == stay._stay, "left_semi")
+    found = near_duplicates(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text"))
+    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stay"))
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.join(stay, numbered._row == stay._stay, "left_semi").drop("_row")

@@ -10,7 +10,7 @@ and a document gives ``DOC_FEATURES`` different features at most to training; sc
 the whole text.
 
 Defined results: a null or empty text has no features and is scored by the bias alone; with no
-labelled rows all scores are 0; documents with several labels count once for each; null labels
+labelled rows all scores are (nearly) 0; documents with several labels count once for each; null labels
 and null doc_ids are not learned from, and a null doc_id is never held out; repeated rows are
 scored alike; an empty table gives no rows; extra columns are ignored.
 """
@@ -101,36 +101,48 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
         for _, label, f in found:
             model.learn(np.frombuffer(f, np.int32), label)
     if not found:
-        return np.array([1 << BITS]), np.array([-np.inf])
+        return np.array([1 << BITS]), np.array([-700.0])
     w = model.weights(slice(None))
     keep = np.flatnonzero(w)
     return keep, w[keep]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the columns named by ``keep``."""
+class Scorer:
+    """Scores of texts by the broadcast weights; built once per task."""
+
+    def __init__(self, model: tuple[np.ndarray, np.ndarray]):
+        self.weights = np.zeros((1 << BITS) + 1)
+        self.weights[model[0]] = model[1]
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        total = np.array([self.weights[features(t.as_py() or "")].sum() for t in texts], np.float64) + self.weights[-1]
+        return 1 / (1 + np.exp(np.clip(-total, -700, 700)))
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    dense: list[np.ndarray] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not dense:
-            at, w = shared.value
-            dense.append(np.zeros((1 << BITS) + 1))
-            dense[0][at] = w
-        weights = dense[0]
-        bias = weights[-1]
+        scorer = Scorer(shared.value)
         for batch in batches:
-            out = []
-            for text in batch.column("_text"):
-                out.append(bias + weights[features(text.as_py() or "")].sum())
-            values = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -700, 700)))
-            values = np.where(np.isneginf(np.array(out, np.float64)), 0.0, values)
-            arrays = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "_text"]
-            names = [n for n in batch.schema.names if n != "_text"]
-            predicted = (values >= THRESHOLD).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(values), pa.array(predicted)], [*names, "score", "predicted"])
+            values = scorer(batch.column(2))
+            arrays = [*batch.columns[:2], pa.array(values), pa.array((values >= THRESHOLD).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "score", "predicted"])
 
     held = (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, *keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(run, schema + ", score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The documents that are not predicted toxic, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column(at)) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
