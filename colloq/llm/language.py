@@ -44,7 +44,8 @@ _BLOCK = 65_536
 def counts(text: str) -> np.ndarray:
     """Hashed n-gram counts of a whole text (2**BITS); all zero without a letter."""
     out = np.zeros(1 << BITS, np.float64)
-    words = _LETTERS.findall(text.lower())
+    # The pattern also finds numerals such as fractions; a word must hold a letter.
+    words = [w for w in _LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
     for k in range(0, len(words), _BLOCK):
         data = " " + " ".join(words[k : k + _BLOCK]) + " "
         c = np.frombuffer(data.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
