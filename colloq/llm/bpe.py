@@ -119,8 +119,12 @@ def _bucket_of(word: str, buckets: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 16-bit integers) of every whole text."""
+def encode(docs: DataFrame, vocabulary: str, pattern: str, then=None, schema: str = "doc_id long, ids binary") -> DataFrame:
+    """doc_id and ids (little-endian unsigned 16-bit integers) of every whole text.
+
+    ``then`` maps the batches on in the same Python worker, to ``schema``: every chained
+    mapInArrow would keep one more worker for each task.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = max(1, -(-input_bytes(docs) // BUCKET_BYTES))
 
@@ -222,38 +226,40 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     positions = rows.mapInArrow(keep_positions, "block long, bucket int, data binary, doc_ids array<long>")
     both = positions.unionByName(ids, allowMissingColumns=True)
     gathered = both.repartition(buckets, "block").sortWithinPartitions("block", "bucket")
-    return gathered.mapInArrow(assemble, "doc_id long, ids binary")
+    return gathered.mapInArrow((lambda batches: then(assemble(batches))) if then else assemble, schema)
 
 
-def decode(ids: DataFrame, vocabulary: str, length: int = 16) -> DataFrame:
-    """Adds ``text_bytes``: the ids joined with the token-byte table."""
-    shared = ids.sparkSession.sparkContext.broadcast(token_bytes(vocabulary))
+def _decoded(batches: Iterator[pa.RecordBatch], table: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Joins the ids of each row with the token-byte table."""
+    of = table.__getitem__
+    for batch in batches:
+        out = [b"".join(map(of, np.frombuffer(x.as_py(), "<u2").tolist())) for x in batch.column("ids")]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "text_bytes"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value.__getitem__
-        for batch in batches:
-            out = [b"".join(map(of, np.frombuffer(x.as_py(), f"<u{length // 8}").tolist())) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "text_bytes"])
 
-    schema = ids.schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    return ids.mapInArrow(run, f"{schema}, text_bytes binary")
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, ids_sha, text_sha = [], [], []
+        for ids, data in zip(batch.column("ids"), batch.column("text_bytes"), strict=True):
+            ids = np.frombuffer(ids.as_py(), "<u2").astype("<u4")
+            n.append(len(ids))
+            ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
+            text_sha.append(hashlib.sha256(data.as_py()).hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+
+def decode(ids: DataFrame, vocabulary: str) -> DataFrame:
+    """Adds ``text_bytes``: the ids joined with the broadcast token-byte table."""
+    shared = ids.sparkSession.sparkContext.broadcast(token_bytes(vocabulary))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema)
+    return ids.mapInArrow(lambda batches: _decoded(batches, shared.value), f"{schema}, text_bytes binary")
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 over 32-bit ids, decoded_sha256."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, ids_sha, text_sha = [], [], []
-            for ids, data in zip(batch.column("ids"), batch.column("text_bytes"), strict=True):
-                ids = np.frombuffer(ids.as_py(), "<u2").astype("<u4")
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(data.as_py()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    decoded = decode(encode(docs, vocabulary, pattern), vocabulary)
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    shared = docs.sparkSession.sparkContext.broadcast(token_bytes(vocabulary))
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return encode(docs, vocabulary, pattern, lambda batches: _digested(_decoded(batches, shared.value)), schema)
