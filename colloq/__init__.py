@@ -1,0 +1 @@
+"""Analytics for conversational text on Spark."""
