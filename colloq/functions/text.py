@@ -29,6 +29,15 @@ _FOLD_FROM, _FOLD_TO = _decompositions(keep_case=False)
 _STRIP_FROM, _STRIP_TO = _decompositions(keep_case=True)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for each row.
+
+    An expression used inside a lambda is evaluated again for every element; bound like this it
+    is a lambda variable.
+    """
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def fold(text: Column) -> Column:
     """Lower case without diacritics; final sigma is sigma, sharp s is ss."""
     lowered = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
@@ -78,8 +87,12 @@ def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined windows of n tokens; empty if there are fewer."""
     if n < 1:
         raise ValueError("n must be positive")
-    heads = F.slice(tokens, 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
-    return F.transform(heads, lambda _, i: F.array_join(F.slice(tokens, i + 1, n), " "))
+
+    def windows(t: Column) -> Column:
+        heads = F.slice(t, 1, F.greatest(F.size(t) - (n - 1), F.lit(0)))
+        return F.transform(heads, lambda _, i: F.array_join(F.slice(t, i + 1, n), " "))
+
+    return let(tokens, windows)
 
 
 def contains_any(folded: Column, markers: Sequence[str]) -> Column:
@@ -159,7 +172,7 @@ def capitalise_sentences(text: Column) -> Column:
 def first_sentences(text: Column, most: int = 3) -> Column:
     """struct(text, original_length, truncated): the first sentences, ended with a full stop."""
     parts = F.filter(F.split(text, "[.!;]+"), lambda s: F.trim(s) != "")
-    kept = F.array_join(F.transform(F.slice(parts, 1, most), F.trim), ". ")
+    kept = F.array_join(F.transform(F.slice(parts, 1, most), lambda s: F.trim(s)), ". ")
     short = F.when(kept.rlike("[.!]$"), kept).otherwise(F.concat(kept, F.lit(".")))
     long = F.size(parts) > most
     return F.struct(F.when(long, short).otherwise(text).alias("text"), F.size(parts).alias("original_length"), long.alias("truncated"))

@@ -78,8 +78,15 @@ def distinct_n(rows: DataFrame, n: int, keys: Sequence[str] = (), text: str = "t
 
 def repetition_rate(text: Column, n: int = 3) -> Column:
     """Share of a text's n-grams beyond the different ones."""
-    grams = T.ngrams(T.words(text), n)
-    return F.when(F.size(grams) == 0, 0.0).otherwise(1 - F.size(F.array_distinct(grams)) / F.size(grams))
+    share = lambda g: F.when(F.size(g) == 0, 0.0).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g))
+    return T.let(T.ngrams(T.words(text), n), share)
+
+
+def _share_found(items: Column, folded: Column, found: bool, empty: float) -> Column:
+    """Share of the items that the folded text holds (or lacks); ``empty`` for no items."""
+    held = lambda x, inside: F.contains(inside, x) if found else ~F.contains(inside, x)
+    share = lambda v, inside: F.when(F.size(v) == 0, empty).otherwise(F.size(F.filter(v, lambda x: held(x, inside))) / F.size(v))
+    return T.let(folded, lambda inside: T.let(items, lambda v: share(v, inside)))
 
 
 def pairwise_similarity(rows: DataFrame, id_: str, text: str) -> DataFrame:
@@ -121,22 +128,19 @@ def latency(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
 def grounding_score(response: Column, context: Column, least: int = 4) -> Column:
     """Share of the response's longer words that occur in the context; 1 if it has none."""
     long = F.array_distinct(F.transform(F.filter(T.words(response), lambda w: F.length(w) >= least), T.fold))
-    inside = T.fold(F.coalesce(context, F.lit("")))
-    return F.when(F.size(long) == 0, 1.0).otherwise(F.size(F.filter(long, lambda w: F.contains(inside, w))) / F.size(long))
+    return _share_found(long, T.fold(F.coalesce(context, F.lit(""))), True, 1.0)
 
 
 def unsupported_specifics(response: Column, context: Column, starters: Sequence[str] = T.SENTENCE_STARTERS) -> Column:
     """Share of the response's checkable claims that the context lacks; 0 if it makes none."""
     claims = T.checkable_claims(response, starters)
-    inside = T.fold(F.coalesce(context, F.lit("")))
-    return F.when(F.size(claims) == 0, 0.0).otherwise(F.size(F.filter(claims, lambda c: ~F.contains(inside, c))) / F.size(claims))
+    return _share_found(claims, T.fold(F.coalesce(context, F.lit(""))), False, 0.0)
 
 
 def verbatim_overlap(response: Column, context: Column, n: int = 5) -> Column:
     """Share of the response's n-grams copied from the context; 0 below n words."""
     grams = F.transform(T.ngrams(T.words(response), n), T.fold)
-    inside = T.fold(F.array_join(T.words(F.coalesce(context, F.lit(""))), " "))
-    return F.when(F.size(grams) == 0, 0.0).otherwise(F.size(F.filter(grams, lambda g: F.contains(inside, g))) / F.size(grams))
+    return _share_found(grams, T.fold(F.array_join(T.words(F.coalesce(context, F.lit(""))), " ")), True, 0.0)
 
 
 def accuracy(rows: DataFrame) -> DataFrame:
