@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import fold_of
 
 BITS = 20
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 20_000
 DOC_FEATURES = 4096
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2.0, 1.0
