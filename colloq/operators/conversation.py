@@ -92,16 +92,19 @@ def register(role: Column, registers: dict[str, Sequence[str]] = REGISTERS, defa
     out = F.lit(default)
     for name, keywords in reversed(list(registers.items())):
         known = [fold_text(k) for k in keywords]
+        out = F.when(F.exists(tokens, _names_one_of(known)), F.lit(name)).otherwise(out)
+    return out
 
-        def hit(t: Column, known=known) -> Column:
-            found = t.isin(*known)
-            for k in known:
-                if len(k) >= 5:
-                    found = found | ((F.length(t) >= 5) & (F.startswith(F.lit(k), t) | F.startswith(t, F.lit(k[:-1]))))
-            return found
 
-        out = F.when(F.exists(tokens, hit), F.lit(name)).otherwise(out)
-    return out
+def _names_one_of(known: list[str]):
+    def hit(t: Column) -> Column:
+        found = t.isin(*known)
+        for k in known:
+            if len(k) >= 5:
+                found = found | ((F.length(t) >= 5) & (F.startswith(F.lit(k), t) | F.startswith(t, F.lit(k[:-1]))))
+        return found
+
+    return hit
 
 
 def technical_question(message: Column, patterns: Sequence[str] = V.TECHNICAL_QUESTIONS) -> Column:
