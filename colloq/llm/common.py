@@ -58,6 +58,30 @@ def fold_of(doc_id, modulus: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus), F.lit(-1))
 
 
+#: Hashes below a share of this range are kept before a sample is sorted.
+_HASHES = 1 << 63
+
+
+def hashed(salt: str):
+    """63 bits of a hash of doc_id."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(salt)), 1)
+
+
+def below(h, wanted: int, there):
+    """Passes about three times the wanted rows of ``there`` rows, those with the smallest hashes.
+
+    So only a bounded number of rows, not some from every task, is sorted in one place.
+    """
+    return h < F.least(F.lit(1.0), F.try_divide(F.lit(3.0 * wanted), there)) * float(_HASHES)
+
+
+def smallest(rows: DataFrame, wanted: int, salt: str) -> DataFrame:
+    """``rows`` with ``h``: the ``wanted`` ones with the smallest hash of doc_id."""
+    n = rows.count()
+    marked = rows.withColumn("h", hashed(salt))
+    return marked.filter(below(F.col("h"), wanted, F.lit(float(max(n, 1))))).orderBy("h", *rows.columns).limit(wanted)
+
+
 def words_of(text: str, lower: bool = False) -> list[bytes]:
     """Maximal runs without space, tab, LF, VT, FF, CR, as UTF-8; ``lower`` lowers A-Z only."""
     data = text.encode("utf-8", "surrogatepass")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import below, fold_of, hashed
 
 BITS = 12
 ROWS_PER_LANGUAGE = 500
@@ -118,12 +118,14 @@ def train(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model | None:
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     usable = usable.filter("doc_id is not null and text is not null and lang is not null and lang <> ''")
     usable = usable.filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
-    frequent = [r.lang for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    if len(frequent) < 1:
+    counted = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counted:
         return None
-    # The limit per language is applied before the shuffle as well, so no task gets a whole language.
+    # Only documents under a hash bound of their language are ranked, so no task gets a whole language.
+    sizes = F.create_map(*(F.lit(x) for r in counted for x in (r.lang, float(r.n))))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = usable.filter(F.col("lang").isin(frequent)).select("doc_id", "lang", F.xxhash64("doc_id", F.lit("language")).alias("h"))
+    ids = usable.select("doc_id", "lang", hashed("language").alias("h"), F.try_element_at(sizes, F.col("lang")).alias("n"))
+    ids = ids.filter(F.col("n").isNotNull() & below(F.col("h"), rows, F.col("n"))).drop("n")
     ids = ids.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rows).drop("k")
     chosen = usable.join(F.broadcast(ids), ["doc_id", "lang"]).select("h", "lang", "text")
     found = sorted((r.h, r.lang, r.x) for r in chosen.mapInArrow(extract, "h long, lang string, x binary").collect())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import fold_of, smallest
 
 BITS = 20
 TRAIN_ROWS = 20_000
@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     ids = F.col("doc_id").cast("long")
     known = labels.select(ids.alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
-    chosen = known.select("doc_id", "toxic", F.xxhash64("doc_id", F.lit("toxicity")).alias("h")).orderBy("h", "toxic").limit(rows)
+    chosen = smallest(known, rows, "toxicity")
     texts = docs.select(ids.alias("doc_id"), "text")
     sample = texts.join(F.broadcast(chosen), "doc_id").select("h", "toxic", "text").mapInArrow(extract, "h long, toxic int, f binary")
     found = sorted(((r.h, r.toxic, r.f) for r in sample.collect()))
