@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes
+from .common import partitions_for
 from .spaced_words import cut
 
 #: Characters of a block; a longer document is a block of its own.
@@ -126,7 +126,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, then=None, schema: st
     mapInArrow would keep one more worker for each task.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = max(1, -(-input_bytes(docs) // BUCKET_BYTES))
+    buckets = partitions_for(docs, BUCKET_BYTES)
 
     def explode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, words, _ in _blocks(batches, ids=False):

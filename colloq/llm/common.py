@@ -48,9 +48,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the bytes that ``df`` reads (file sizes for a file scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Partitions that a size may ask for, at most.
+MOST_PARTITIONS = 1 << 16
+
+
+def partitions_for(df: DataFrame, bytes_each: int) -> int:
+    """Partitions for the bytes that ``df`` reads: file sizes for a file scan.
+
+    Where the optimizer knows no size, the session's number of shuffle partitions.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_PARTITIONS, max(1, -(-size // bytes_each)))
 
 
 def fold_of(doc_id, modulus: int):

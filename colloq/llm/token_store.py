@@ -25,15 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spaced_words
-from .common import input_bytes, written
+from .common import partitions_for, written
 
 SEGMENT_TOKENS = 1 << 20
 CHUNK_BITS = 8
 BLOCK_BITS = 512
 #: Input bytes for each range partition.
 PARTITION_BYTES = 8 << 20
-#: Range partitions at most; their totals (16 bytes each) are broadcast.
-MAX_PARTITIONS = 1 << 16
 
 _BYTE_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -135,7 +133,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
             yield segment()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = min(MAX_PARTITIONS, max(1, -(-input_bytes(docs) // PARTITION_BYTES)))
+    n = partitions_for(docs, PARTITION_BYTES)
     order = ["doc_id", F.xxhash64("text")]
     ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return written(ordered.mapInArrow(run, SEGMENT_SCHEMA), "tokens")
@@ -158,7 +156,7 @@ def read_store(store: DataFrame) -> DataFrame:
                 )
 
     # A segment holds the tokens before it in its range partition; the totals of all partitions
-    # (one row each, MAX_PARTITIONS at most) give what came before the partition.
+    # (one row each, 65,536 at most: ``partitions_for``) give what came before the partition.
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = store.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     earlier = sizes.select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("earlier"))
