@@ -141,9 +141,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     reached[chunk] = tops
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["query_id", "vec_id", "score"])
 
-    # Chunks are sent to every group of blocks; a group is one join key.
+    # Chunks are sent once to every group of blocks; a group is one join key. Few blocks make
+    # groups of four, many make groups of 256, so copies of the queries stay a small share.
     n = blocks.count()
-    groups = max(1, min(n, -(-n // 4)))
+    groups = max(1, min(-(-n // 4), max(64, -(-n // 256))))
     left = blocks.select("block", "dim", "ids", "ints", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("grp"))
     right = chunks.select(F.col("block").alias("chunk"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("ints").alias("q_ints"),
                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"))
