@@ -525,7 +525,7 @@ def _intent_sql() -> str:
     return f"""with x as (select conv_id, turn, text, trim(lower(coalesce(text, ''))) as t from conversations),
 s as (select *, {', '.join(out)} from x where regexp_matches(t, '^[ -~]*$') and not regexp_matches(t, '^\\s*(hi|hello|hey|good\\s)'))
 select conv_id, turn, case when t = '' or greatest(s0, s1, s2) < 0.5 then 'casual' when s0 >= s1 and s0 >= s2 then 'sensitive' when s1 >= s2 then 'schedule' else 'casual' end as intent,
-round(case when t = '' then 1 when greatest(s0, s1, s2) < 0.5 then 0.5 else greatest(s0, s1, s2) end, 6) as confidence from s"""
+round((case when t = '' then 1 when greatest(s0, s1, s2) < 0.5 then 0.5 else greatest(s0, s1, s2) end)::double, 6) as confidence from s"""
 
 
 def _intents(spark: SparkSession, sf: str) -> DataFrame:
@@ -606,8 +606,8 @@ NOW = "timestamp '2024-01-20 12:00:00'"
 _SIGNALS = f"""with s as (select event_id, user_id, 'system' as source, event_type || ' ' || (value / 25)::bigint as summary,
 case event_type when 'error' then 4 when 'purchase' then 3 when 'signup' then 2 else 1 end as urgency, ts from events),
 i as (select *, source || ':' || substr(sha256(summary), 1, 16) as identity, date_diff('microsecond', {NOW}, ts) / 1e6 as left_s from s),
-w as (select *, case urgency when 4 then 4.0 when 3 then 3.0 when 2 then 1.0 else 0.5 end *
-case when left_s < 0 then 0.2 when left_s <= 3600 then 1.5 when left_s <= 28800 then 1.0 when left_s <= 86400 then 0.7 else 0.3 end as weight from i),
+w as (select *, (case urgency when 4 then 4.0 when 3 then 3.0 when 2 then 1.0 else 0.5 end)::double *
+(case when left_s < 0 then 0.2 when left_s <= 3600 then 1.5 when left_s <= 28800 then 1.0 when left_s <= 86400 then 0.7 else 0.3 end)::double as weight from i),
 f as (select * from w qualify row_number() over (partition by user_id, identity order by event_id) = 1)
 """
 
