@@ -544,6 +544,21 @@ def intent_counts(spark, sf):
     return _intents(spark, sf).groupBy("i.intent").agg(F.count("*").alias("n"), r6(F.avg("i.confidence")).alias("mean_confidence"))
 
 
+def _intents_all(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").withColumn("i", conversation.intent(F.col("text"), _RULES))
+
+
+@query(None)
+def intent_classify_all(spark, sf):
+    """The rules of ``intent_classify`` with the greeting rule, over all turns."""
+    return _intents_all(spark, sf).select("conv_id", "turn", "i.intent", r6(F.col("i.confidence")).alias("confidence"))
+
+
+@query(None)
+def intent_counts_all(spark, sf):
+    return _intents_all(spark, sf).groupBy("i.intent").agg(F.count("*").alias("n"), r6(F.avg("i.confidence")).alias("mean_confidence"))
+
+
 @query(None)
 def intent_full_tables(spark, sf):
     """The full pattern tables over all turns."""
