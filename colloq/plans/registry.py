@@ -567,23 +567,34 @@ def intent_full_tables(spark, sf):
 
 @query(None)
 def intent_sources_budget(spark, sf):
-    """Context of each conversation: its turns as sources, in the intent's order, within the budget."""
+    """Context of each conversation: its turns as sources, six to a request, in the intent's order, within the budget."""
     names = F.array(*map(F.lit, ("calendar", "rag", "email", "weather", "news", "github")))
-    rows = table(spark, sf, "conversations").filter("turn < 6").select(
-        F.col("conv_id").alias("request_id"), F.lit("schedule").alias("intent"), F.element_at(names, (F.col("turn") + 1).cast("int")).alias("name"),
+    turn = F.coalesce(F.col("turn"), F.lit(0)).cast("long")
+    rows = table(spark, sf, "conversations").select(
+        F.struct("conv_id", F.floor(turn / 6).alias("part")).alias("request_id"), F.lit("schedule").alias("intent"), F.element_at(names, (F.pmod(turn, F.lit(6)) + 1).cast("int")).alias("name"),
         F.when(F.col("role") == "system", "failed").otherwise("ok").alias("status"), "text")
     out = conversation.assemble_context(rows)
-    return out.select("request_id", "context", "total_words", F.array_join("dropped", ",").alias("dropped"))
+    return out.select(F.col("request_id.conv_id").alias("request_id"), "request_id.part", "context", "total_words", F.array_join("dropped", ",").alias("dropped"))
 
 
 @query("""select conv_id, turn, upper(t[1]) || t[2:] as text from (select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(
 regexp_replace(text, '\\([a-z_]+\\)', '', 'g'), '(?i)\\bof\\b\\s*', '', 'g'), '^\\s+|\\s+$', '', 'g'), '\\s{2,}', ' ', 'g') as t from conversations)
 where not regexp_matches(t, '[.!?]\\s')""")
 def guardrail_pipeline(spark, sf):
+    rows = _guarded(spark, sf).filter(~F.col("t").rlike(r"[.!?]\s"))
+    return rows.select("conv_id", "turn", T.capitalise_sentences(F.col("t")).alias("text"))
+
+
+def _guarded(spark: SparkSession, sf: str) -> DataFrame:
     step = conversation.strip_impolite(conversation.strip_emoji_names(F.col("text")), ("of",))
     step = F.regexp_replace(F.regexp_replace(step, r"^\s+|\s+\z", ""), r"\s{2,}", " ")
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", step.alias("t")).filter(~F.col("t").rlike(r"[.!?]\s"))
-    return rows.select("conv_id", "turn", T.capitalise_sentences(F.col("t")).alias("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", step.alias("t"))
+
+
+@query(None)
+def guardrail_pipeline_all(spark, sf):
+    """The steps of ``guardrail_pipeline`` over all turns, also those of several sentences."""
+    return _guarded(spark, sf).select("conv_id", "turn", T.capitalise_sentences(F.col("t")).alias("text"))
 
 
 @query(None)
@@ -603,11 +614,20 @@ def length_check(spark, sf):
 @query("""with t as (select conv_id, turn, text || chr(10) || 'On Monday you wrote:' || chr(10) || '> ' || text as body from conversations where not contains(text, chr(10)))
 select conv_id, turn, regexp_replace(split_part(body, chr(10) || 'On Monday', 1), '^\\s+|\\s+$', '', 'g') as text from t""")
 def strip_quoted(spark, sf):
-    rows = table(spark, sf, "conversations").filter(~F.contains("text", F.lit("\n")))
+    return _unquoted(table(spark, sf, "conversations").filter(~F.contains("text", F.lit("\n"))))
+
+
+def _unquoted(rows: DataFrame) -> DataFrame:
     body = F.concat(F.col("text"), F.lit("\nOn Monday you wrote:\n> "), F.col("text"))
     return rows.select("conv_id", "turn", T.strip_quoted(body).alias("text"))
 
 
+@query(None)
+def strip_quoted_all(spark, sf):
+    """As ``strip_quoted``, also for texts of several lines, which can hold quotes of their own."""
+    return _unquoted(table(spark, sf, "conversations"))
+
+
 @query("""select p_partkey, list_filter(['brass', 'copper', 'steel'], lambda n: regexp_matches(lower(p_type), '(^|[^a-z0-9])' || n || '([^a-z0-9]|$)')
 and not contains(lower(p_name), n)) as names from part""".replace("select p_partkey, list_filter", "select p_partkey, array_to_string(list_filter").replace(") as names", "), ',') as names"))
 def unsupported_names(spark, sf):

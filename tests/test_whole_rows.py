@@ -57,3 +57,37 @@ def test_intents_of_all_turns(spark, place):
         groups[name].append(confidence)
     found = {r.intent: (r.n, r.mean_confidence) for r in registry.QUERIES["intent_counts_all"](spark, place).collect()}
     assert found == {k: (len(v), pytest.approx(sum(v) / len(v), abs=1e-6)) for k, v in groups.items()}
+
+
+def capitalised(text):
+    return re.sub(r"(^|[.!?]\s{1,9})(\w)", lambda m: m[1] + m[2].upper(), text)
+
+
+def test_guardrails_of_all_turns(spark, place):
+    def guarded(text):
+        if text is None:
+            return None
+        text = re.sub(r"\bof\b\s*", "", re.sub(r"\([a-z_]+\)", "", text).strip(), flags=re.I)
+        return capitalised(re.sub(r"\s{2,}", " ", text.strip()))
+
+    found = registry.QUERIES["guardrail_pipeline_all"](spark, place).collect()
+    same(map(tuple, found), [(c, t, guarded(x)) for c, t, _, x in turns(spark, place)])
+
+
+def test_quotes_of_all_turns(spark, place):
+    mark = re.compile(r"\s*>|On [^\n]{5,80} wrote:\s*$|-{2,}\s*Original Message|\s*--\s*$")
+
+    def own(text):
+        lines = f"{text}\nOn Monday you wrote:\n> {text}".split("\n")
+        return "\n".join(lines[: next(i for i, x in enumerate(lines) if mark.match(x))]).strip(" \t\n\x0b\f\r")
+
+    found = registry.QUERIES["strip_quoted_all"](spark, place).collect()
+    same(map(tuple, found), [(c, t, None if x is None else own(x)) for c, t, _, x in turns(spark, place)])
+
+
+def test_every_turn_is_a_source(spark, fixture_dir, place):
+    found = {(r.request_id, r.part): r for r in registry.QUERIES["intent_sources_budget"](spark, place).collect()}
+    assert set(found) == {(c, t // 6) for c, t, _, _ in turns(spark, place)}
+    if place == fixture_dir:
+        assert found[1, 1].context.startswith("[CALENDAR]\nthe seventh turn") and "[RAG]" in found[1, 1].context
+        assert found[2, 2].context.startswith("[RAG]") or found[2, 2].dropped == "rag"
