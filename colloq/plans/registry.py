@@ -380,6 +380,46 @@ def unsupported_specifics(spark, sf):
     return rows.select("conv_id", "turn", r6(metrics.unsupported_specifics(F.col("text"), F.col("context"), ("and", "the"))).alias("unsupported"))
 
 
+_ACC_ALL = f"""with b as (select text as context, row_number() over (order by item_id) - 1 as k from benchmark),
+c as (select d.doc_id, d.text, b.context from documents d join b on b.k = coalesce(d.doc_id, 0) % (select count(*) from benchmark)),
+w as (select *, {_W} as w, lower(context) as ctx, array_to_string(regexp_extract_all(lower(context), '[\\p{{L}}\\p{{N}}_]+'), ' ') as cw from c)
+"""
+
+
+def _accuracy_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with one benchmark item as context; from as many documents as items on, every item is used."""
+    items = table(spark, sf, "benchmark")
+    n = max(1, items.count())
+    items = items.select(F.col("text").alias("context"), (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("k"))
+    rows = table(spark, sf, "documents")
+    return rows.join(F.broadcast(items), F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(n)) == F.col("k"))
+
+
+@query(_ACC_ALL + """, g as (select doc_id, cw, len(w) as n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) as g from w)
+select doc_id, round(case when n < 5 then 0 else len(list_filter(g, lambda x: contains(strip_accents(cw), strip_accents(x)))) / len(g) end, 6) as overlap from g""")
+def verbatim_overlap_all(spark, sf):
+    return _accuracy_all(spark, sf).select("doc_id", r6(metrics.verbatim_overlap(F.col("text"), F.col("context"))).alias("overlap"))
+
+
+@query(_ACC_ALL + """, g as (select doc_id, strip_accents(ctx) as ctx, list_distinct(list_transform(list_filter(w, lambda x: length(x) >= 4), lambda x: strip_accents(x))) as g from w)
+select doc_id, round(case when len(g) = 0 then 1 else len(list_filter(g, lambda x: contains(ctx, x))) / len(g) end, 6) as grounding from g""")
+def grounding_score_all(spark, sf):
+    return _accuracy_all(spark, sf).select("doc_id", r6(metrics.grounding_score(F.col("text"), F.col("context"))).alias("grounding"))
+
+
+@query(None)
+def claim_extract_all(spark, sf):
+    """Claims of every document; word boundaries in SQL know ASCII letters only."""
+    found = T.checkable_claims(F.coalesce("text", F.lit("")), ("and", "the"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.sort_array(found), ",").alias("claims_list"), long(F.size(found)).alias("n"))
+
+
+@query(None)
+def unsupported_specifics_all(spark, sf):
+    score = metrics.unsupported_specifics(F.coalesce("text", F.lit("")), F.col("context"), ("and", "the"))
+    return _accuracy_all(spark, sf).select("doc_id", r6(score).alias("unsupported"))
+
+
 @query("""select event_type, count(*) filter (value < 20)::bigint as low, count(*) filter (value >= 20 and value < 60)::bigint as mid,
 count(*) filter (value >= 60)::bigint as high, count(*)::bigint as total from events where value is not null group by event_type""")
 def confusion_by_register(spark, sf):

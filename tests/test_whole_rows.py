@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from colloq.functions import text as T
 from colloq.operators import conversation
 from colloq.plans import registry
 
@@ -20,6 +21,10 @@ TURNS = [
 def fixture_dir(spark, tmp_path_factory):
     out = tmp_path_factory.mktemp("whole")
     spark.createDataFrame(TURNS, "conv_id long, turn int, role string, text string").write.parquet(f"{out}/conversations.parquet")
+    docs = [(0, "Über Paris: naïve Zürcher met Élan and The 12.5 crew"), (1, "Straße 7, Köln"), (2, ""), (7, "Montréal 1999 London"), (8, "plain London")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{out}/documents.parquet")
+    items = [(3, "paris in 12.5"), (5, "köln"), (90, "london")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
     return str(out)
 
 
@@ -91,3 +96,22 @@ def test_every_turn_is_a_source(spark, fixture_dir, place):
     if place == fixture_dir:
         assert found[1, 1].context.startswith("[CALENDAR]\nthe seventh turn") and "[RAG]" in found[1, 1].context
         assert found[2, 2].context.startswith("[RAG]") or found[2, 2].dropped == "rag"
+
+
+def claims(text):
+    names = (T.fold_text(x) for x in re.findall(r"\b[Α-ΩΆΈΉΊΌΎΏA-Z][α-ωάέήίόύώϊϋΐΰa-z]{2,}\b", text))
+    return {T.fold_text(x) for x in re.findall(r"\b\d[\d.,:/]*\b", text)} | {x for x in names if x not in ("and", "the")}
+
+
+def test_claims_of_all_documents(spark, place):
+    docs = [tuple(r) for r in spark.read.parquet(f"{place}/documents.parquet").select("doc_id", "text").collect()]
+    items = [r.text for r in spark.read.parquet(f"{place}/benchmark.parquet").orderBy("item_id").collect()]
+    found = registry.QUERIES["claim_extract_all"](spark, place).collect()
+    same(map(tuple, found), [(i, ",".join(sorted(claims(x or ""))), len(claims(x or ""))) for i, x in docs])
+    want, used = [], set()
+    for i, x in docs:
+        own, k = claims(x or ""), i % len(items)
+        used.add(k)
+        want.append((i, round(sum(c not in T.fold_text(items[k]) for c in own) / len(own), 6) if own else 0.0))
+    assert used == set(range(len(items)))
+    same(map(tuple, registry.QUERIES["unsupported_specifics_all"](spark, place).collect()), want)
