@@ -3,8 +3,9 @@
 A text is cut before every space that a non-space follows. No match of the GPT-2 style
 pre-token pattern can cross such a cut, so the ids of a text are the ids of its spaced words
 one after another, and a spaced word need be encoded only once per worker. Pre-tokens are then
-merged by the library's own model. Ids are kept as little-endian uint16 (all vocabularies here
-have fewer than 65,536 ids).
+merged by the library's own model. A text that holds the content of an added token (such as
+``<|endoftext|>``) goes through the library whole, which gives that token its own id. Ids are kept
+as little-endian uint16 (all vocabularies here have fewer than 65,536 ids).
 """
 
 from __future__ import annotations
@@ -56,6 +57,7 @@ class Memo(dict):
     def __init__(self, encode_word):
         super().__init__()
         self.encode_word = encode_word
+        self.added = encode_word.added
 
     def __missing__(self, word: str) -> bytes:
         if word == " " or word[:1] == " " and word[1:2].isspace():
@@ -69,6 +71,9 @@ class Memo(dict):
         """Little-endian uint16 ids of the whole text."""
         if not text:
             return b""
+        for token in self.added:
+            if token in text:
+                return self.encode_word.whole(text)
         if _MARK not in text:
             try:
                 return b"".join(map(self.__getitem__, text.replace(" ", _MARK + " ").split(_MARK)))
@@ -91,7 +96,10 @@ class _LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder().values()
+        if any(t.normalized for t in added):
+            raise ValueError(f"{path}: added tokens that match normalized text")
+        self.added = [t.content for t in added]
         self.tokenize = self.library.model.tokenize
         letters = byte_letters()
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x250)}
@@ -109,13 +117,15 @@ class _LibraryEncoder:
     def pieces(self, word: str) -> list[str]:
         raise NotImplementedError
 
+    def whole(self, text: str) -> bytes:
+        return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
     def __call__(self, word: str) -> bytes:
         if not word.isascii() and (max(word) >= "ɐ" or "İ" in word):
-            ids = self.library.encode(word, add_special_tokens=False).ids
-        else:
-            ids = []
-            for p in self.pieces(word):
-                ids += self.piece(p) if len(p) > 2 else self.short(p)
+            return self.whole(word)
+        ids = []
+        for p in self.pieces(word):
+            ids += self.piece(p) if len(p) > 2 else self.short(p)
         return array("H", ids).tobytes()
 
 

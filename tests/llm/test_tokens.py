@@ -118,3 +118,23 @@ def test_lower_bound_holds_and_is_sharp():
         assert used.max() <= 100 and packing.lower_bound(lengths, 100) <= len(used)
     assert packing.lower_bound(np.array([60] * 5), 100) == 5
     assert packing.lower_bound(np.array([34] * 4), 100) == 2
+
+
+SPECIAL = ["end of page <|endoftext|> next", "<|endoftext|>", "a<|startoftext|>b <|endoftext|><|endoftext|>  c", "<|ENDOFTEXT|> é", "İ <|endoftext|>\n x", "<|endoftext", "no token"]
+
+
+def test_added_tokens_as_the_library_has_them(spark):
+    """The library as it is loaded, without any flag set."""
+    from llm_frames import docs_frame
+    from tokenizers import Tokenizer
+
+    docs = docs_frame(spark, SPECIAL)
+    words, letters = (Tokenizer.from_file(public_tokenizers.path(f"{n}.json")) for n in ("word_bpe_49k", "byte_bpe_50k"))
+    start = 0
+    for r in sorted(token_store.read_store(token_store.write_store(docs, public_tokenizers.path("word_bpe_49k.json"))).collect()):
+        ids = words.encode(SPECIAL[r.doc_id], add_special_tokens=False).ids + [2]
+        assert tuple(r) == (r.doc_id, start, len(ids), crc(ids))
+        start += len(ids)
+    found = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    ids = [letters.encode(x, add_special_tokens=False).ids + [2] for x in SPECIAL]
+    assert ids[1] == [50256, 2] and found == {k: (len(x), crc(x)) for k, x in enumerate(ids)}
