@@ -116,3 +116,19 @@ def test_threshold_has_its_precision():
     assert pii.calibrated(score, (score > 0.5).astype(float)) <= 0.5
     assert pii.calibrated(score, np.zeros(1000)) > 1
     assert pii.calibrated(np.zeros(0), np.zeros(0)) > 1
+
+
+def test_trees_add_what_the_base_rules_miss(spark):
+    from llm_frames import docs_frame
+
+    prose = ["we met at noon. Then we left", "look at Tom. He is at home. She is not"]
+    texts = [f"{t} order {i:08d}/{i % 7} ref {i * 7919 % 10**9:09d}. {prose[i % 2]}" for i, t in enumerate(training_texts())]
+    model = pii.train(docs_frame(spark, texts))
+    texts = [
+        "mail jane.doe (at) mail.example dot com now", "mail user7[at]mail.example.com call", "call 1 (555) 234-5678 at noon",
+        "pay by card 4111.1111.1111.1111 or", "order 00001234/5 ref 123456789", "we met at noon. Then we left",
+    ]
+    assert not any(pii.base_spans(t) for t in texts)
+    added = [[t[a:b] for a, _, b in s] for t, s in zip(texts, pii.added_spans(texts, [[] for _ in texts], model))]
+    assert added == [["jane.doe (at) mail.example dot com"], ["user7[at]mail.example.com"], ["1 (555) 234-5678"], ["4111.1111.1111.1111"], [], []]
+    assert pii.redact(docs_frame(spark, texts[:1]), model).first().text == "mail [EMAIL] now"
