@@ -1,14 +1,18 @@
 """Language identification by error-correcting output codes (operator 7).
 
-Every language gets a codeword of ``CODE_BITS`` bits (balanced columns, rows far apart). One
-binary logistic classifier per bit over hashed character n-grams (one to three letters of the
-lower-cased text, words padded) predicts the bit. A text's decoding loss for a language is the
-sum over bits of the bit's weight (its training accuracy above chance) times the logistic loss of
-its margin against the codeword; the language of least loss is chosen, ``score`` is its share of
-exp(-loss), and a share under ``AMBIGUOUS`` flags the text.
-
-Training takes ``ROWS_PER_LANGUAGE`` documents per language at most (smallest hash of doc_id) of
-at most ``LANGUAGES`` languages (the most frequent); prediction reads whole texts.
+Every language gets a codeword, one bit for each column of the code. No column repeats another or
+its complement, so every bit is a question of its own: up to ``EXHAUSTIVE`` languages have every
+dichotomy as a column, more languages have seeded columns, of which those are kept that leave the
+closest codewords farthest apart. One binary logistic classifier per bit over hashed character
+n-grams (one to three letters of the lower-cased text, words padded) predicts the bit. A text's
+decoding loss for a language is the mean over bits of the bit's weight (its training accuracy
+above chance) times the logistic loss of its margin against the codeword; the language of least
+loss is chosen, ``score`` is its share of exp(-``SHARPNESS`` * loss), and a share under
+``AMBIGUOUS`` flags the text.
+
+Training learns every language. It takes ``ROWS_PER_LANGUAGE`` documents of each, or fewer where
+all together would be more than ``TRAIN_ROWS`` (one of each at least), those with the smallest
+hash of doc_id; prediction reads whole texts.
 
 Defined results: null text or no letter: ``und``, score 0, not ambiguous; nothing to learn from:
 ``und`` for all; ties go to the language first in the alphabet; a null doc_id is never held out
@@ -26,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import below, fold_of, hashed
+from .common import below, fold_of, hashed, written
 
 BITS = 12
-ROWS_PER_LANGUAGE = 500
-LANGUAGES = 256
-CODE_BITS = 31
-AMBIGUOUS = 0.6
+ROWS_PER_LANGUAGE, TRAIN_ROWS = 500, 16_000
+#: Languages up to which the code has every dichotomy.
+EXHAUSTIVE = 6
+SHARPNESS, AMBIGUOUS = 31.0, 0.6
 STEPS = 150
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
@@ -64,30 +68,45 @@ def vector(found: np.ndarray) -> np.ndarray:
     return np.sqrt(found / max(found.sum(), 1.0))
 
 
-def codewords(n: int, bits: int = CODE_BITS) -> np.ndarray:
-    """n rows of +1 and -1: of many seeded draws, the one whose closest rows are farthest apart."""
-    rng = np.random.default_rng(7)
-    best, most = None, -1
-    for _ in range(200):
-        code = np.where(rng.permuted(np.arange(max(n, 2))[:, None].repeat(bits, 1), axis=0) % 2, 1, -1)
-        apart = (code[:, None] != code[None]).sum(2)
+def codewords(n: int) -> np.ndarray:
+    """n rows of +1 and -1 in columns that differ from each other and from each other's complement.
+
+    The first language has +1 throughout. Up to ``EXHAUSTIVE`` languages: all 2**(n - 1) - 1 columns, whose
+    rows are 2**(n - 2) apart. Beyond: of seeded draws of 15 * log2(n) columns, the one whose
+    closest rows are farthest apart.
+    """
+    if n < 2:
+        return np.ones((n, 1))
+    if n <= EXHAUSTIVE:
+        return np.array([[-1 if k and c >> k - 1 & 1 else 1 for c in range(1, 2 ** (n - 1))] for k in range(n)])
+    rng, bits, best, most = np.random.default_rng(7), int(np.ceil(15 * np.log2(n))), None, -1
+    for _ in range(20):
+        columns: dict[bytes, np.ndarray] = {}
+        while len(columns) < bits:
+            c = rng.integers(0, 2, n)
+            c ^= c[0]
+            if n <= 4 * c.sum() <= 3 * n:
+                columns.setdefault(np.packbits(c).tobytes(), c)
+        code = 1 - 2 * np.array(list(columns.values())).T
+        apart = (bits - code @ code.T) // 2
         np.fill_diagonal(apart, bits + 1)
         if apart.min() > most:
             best, most = code, apart.min()
-    return best[:n]
+    return best
 
 
 class Model:
     def __init__(self, languages: list[str], x: np.ndarray, y: np.ndarray):
         self.languages = languages
         self.code = codewords(len(languages)).astype(np.float32)
+        bits = self.code.shape[1]
         target = self.code[y]
         share = np.bincount(y, minlength=len(languages)).astype(np.float64)
         weight = (1 / share[y] / len(languages)).astype(np.float32)[:, None]
-        w = np.zeros((x.shape[1], CODE_BITS), np.float32)
-        b = np.zeros(CODE_BITS, np.float32)
+        w = np.zeros((x.shape[1], bits), np.float32)
+        b = np.zeros(bits, np.float32)
         m = np.zeros_like(w)
-        x = x.astype(np.float32)
+        x = x.astype(np.float32, copy=False)
         for _ in range(STEPS):  # full-batch descent with momentum
             g = -target * weight / (1 + np.exp(np.clip(target * (x @ w + b), -30, 30)))
             m = 0.9 * m - 20.0 * (x.T @ g + 1e-5 * w)
@@ -99,14 +118,17 @@ class Model:
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language number, share) for each row."""
-        margin = (x.astype(np.float32) @ self.w + self.b).astype(np.float64)
-        loss = np.empty((len(x), len(self.languages)))
+        return self.nearest((x.astype(np.float32) @ self.w + self.b).astype(np.float64))
+
+    def nearest(self, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, share) of the codeword of least loss for each row of margins, one for each bit."""
+        loss = np.empty((len(margin), len(self.languages)))
         for k, c in enumerate(self.code):
-            loss[:, k] = (np.logaddexp(0, -margin * c) * self.bit_weight).sum(1)
-        p = np.exp(loss.min(1, keepdims=True) - loss)
+            loss[:, k] = (np.logaddexp(0, -margin * c) * self.bit_weight).mean(1)
+        p = np.exp(SHARPNESS * (loss.min(1, keepdims=True) - loss))
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
-        return best, p[np.arange(len(x)), best]
+        return best, p[np.arange(len(p)), best]
 
 
 def train(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model | None:
@@ -118,22 +140,25 @@ def train(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model | None:
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     usable = usable.filter("doc_id is not null and text is not null and lang is not null and lang <> ''")
     usable = usable.filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
-    counted = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counted:
+    counted = written(usable.groupBy("lang").agg(F.count("*").cast("double").alias("n")), "languages")
+    n_languages = counted.count()
+    if not n_languages:
         return None
+    rows = max(1, min(rows, TRAIN_ROWS // n_languages))
     # Only documents under a hash bound of their language are ranked, so no task gets a whole language.
-    sizes = F.create_map(*(F.lit(x) for r in counted for x in (r.lang, float(r.n))))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = usable.select("doc_id", "lang", hashed("language").alias("h"), F.try_element_at(sizes, F.col("lang")).alias("n"))
-    ids = ids.filter(F.col("n").isNotNull() & below(F.col("h"), rows, F.col("n"))).drop("n")
+    ids = usable.select("doc_id", "lang", hashed("language").alias("h")).join(counted, "lang")
+    ids = ids.filter(below(F.col("h"), rows, F.col("n"))).drop("n")
     ids = ids.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rows).drop("k")
-    chosen = usable.join(F.broadcast(ids), ["doc_id", "lang"]).select("h", "lang", "text")
+    # Ids are broadcast where their number is bounded; beyond, there is one for each language.
+    near = F.broadcast(ids) if n_languages <= TRAIN_ROWS else ids
+    chosen = usable.join(near, ["doc_id", "lang"]).select("h", "lang", "text")
     found = sorted((r.h, r.lang, r.x) for r in chosen.mapInArrow(extract, "h long, lang string, x binary").collect())
-    languages = sorted({lang for _, lang, _ in found})
-    if not languages:
+    number = {lang: k for k, lang in enumerate(sorted({lang for _, lang, _ in found}))}
+    if not number:
         return None
     x = np.stack([np.frombuffer(v, np.float32) for _, _, v in found])
-    return Model(languages, x, np.array([languages.index(lang) for _, lang, _ in found]))
+    return Model(list(number), x, np.array([number[lang] for _, lang, _ in found]))
 
 
 def _judge(model: Model | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
