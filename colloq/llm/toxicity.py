@@ -6,8 +6,8 @@ epoch over a bounded sample of labelled documents with per-coordinate rates and
 penalties; L1 leaves few non-zero weights, which are what is broadcast.
 
 The sample is ``TRAIN_ROWS`` labelled documents at most, those with the smallest hash of doc_id,
-and a document gives ``DOC_FEATURES`` different features at most to training; scores always use
-the whole text.
+with all features of their whole texts. It is written and streamed to the driver once per epoch,
+one of ``TRAIN_PARTS`` parts at a time.
 
 Defined results: a null or empty text has no features and is scored by the bias alone; with no
 labelled rows all scores are (nearly) 0; documents with several labels count once for each; null labels
@@ -26,11 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, smallest
+from .common import fold_of, smallest, written
 
 BITS = 20
-TRAIN_ROWS = 14_000
-DOC_FEATURES = 4096
+TRAIN_ROWS, TRAIN_PARTS = 20_000, 16
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2.0, 1.0
 THRESHOLD = 0.3
@@ -81,12 +80,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(2):
-                f = features(text.as_py() or "")
-                if len(f) > DOC_FEATURES:  # an even sample, by a hash of the feature
-                    f = f[np.argsort(_mixed(f.astype(np.uint64), 7), kind="stable")[:DOC_FEATURES]]
-                out.append(f.astype(np.int32).tobytes())
+            out = [features(text.as_py() or "").astype(np.int32).tobytes() for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["h", "toxic", "f"])
 
     ids = F.col("doc_id").cast("long")
@@ -95,16 +89,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     chosen = smallest(known, rows, "toxicity")
     texts = docs.select(ids.alias("doc_id"), "text")
     sample = texts.join(F.broadcast(chosen), "doc_id").select("h", "toxic", "text").mapInArrow(extract, "h long, toxic int, f binary")
-    # Arrow keeps the sample once in the driver's memory: about 5 kB a document.
-    found = sample.toArrow()
-    order = np.lexsort((found.column("toxic").to_numpy(), found.column("h").to_numpy()))
-    if not len(order):
-        return np.array([1 << BITS]), np.array([-700.0])
-    labels_, rows_ = found.column("toxic").to_numpy(), found.column("f").combine_chunks()
-    model = Ftrl()
+    order = ["h", "toxic", "f"]
+    rows_ = written(sample, "toxicity").repartitionByRange(TRAIN_PARTS, "h").sortWithinPartitions(*order)
+    model, seen = Ftrl(), 0
     for _ in range(EPOCHS):
-        for i in order.tolist():
-            model.learn(np.frombuffer(rows_[i].as_buffer(), np.int32), int(labels_[i]))
+        for r in rows_.toLocalIterator():
+            model.learn(np.frombuffer(r.f, np.int32), r.toxic)
+            seen += 1
+    if not seen:
+        return np.array([1 << BITS]), np.array([-700.0])
     w = model.weights(slice(None))
     keep = np.flatnonzero(w)
     return keep, w[keep]
