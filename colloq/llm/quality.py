@@ -13,8 +13,8 @@ ones, is used, the loosest on ties. A rule without a certified cutoff rejects no
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept; null
 lang is the stratum ``und``; null labels are ignored; repeated rows are judged alike; a document
-with several labels counts once for each; only the ``STRATA`` strata with most good labels can
-have cutoffs; an empty table gives no rows; extra columns are ignored.
+with several labels counts once for each; a stratum without labels has no cutoffs; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 ALPHA, DELTA = 0.04, 0.05
-STRATA = 1000
 RULES = ("symbols", "bangs", "dup_lines", "long_words")
 GRIDS = {
     "symbols": (3.0, 2.0, 1.5, 1.0, 0.7, 0.5, 0.35, 0.25),
@@ -68,7 +67,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def cutoffs(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """stratum and a cutoff per rule (null: the rule rejects nothing): at most STRATA rows."""
+    """stratum and a cutoff per rule (null: the rule rejects nothing), for every stratum with labels."""
     known = labels.selectExpr("cast(doc_id as long) as doc_id", "cast(quality as int) as quality").filter("quality in (0, 1)")
     seen = found.select("doc_id", "stratum", *RULES).join(known, "doc_id")
     sums, rows = ["count_if(quality = 1) as n_good"], []
@@ -77,7 +76,7 @@ def cutoffs(found: DataFrame, labels: DataFrame) -> DataFrame:
             for q, name in ((1, "good"), (0, "bad")):
                 sums.append(f"count_if(quality = {q} and {rule} > {cut}D) as {rule}_{name}_{k}")
             rows.append(f"struct('{rule}' as rule, {k} as step, {cut}D as cutoff, {rule}_good_{k} as good, {rule}_bad_{k} as bad)")
-    per = seen.groupBy("stratum").agg(*(F.expr(x) for x in sums)).orderBy(F.desc("n_good"), "stratum").limit(STRATA)
+    per = seen.groupBy("stratum").agg(*(F.expr(x) for x in sums))
     per = written(per, "strata")
     strata = max(1, per.count())
     grid = per.selectExpr("stratum", "n_good", f"inline(array({', '.join(rows)}))")
@@ -104,7 +103,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     found = written(features(docs), "quality")
     cuts = written(cutoffs(found, labels), "cutoffs")
     rejected = " or ".join(f"coalesce({r} > cut_{r}, false)" for r in RULES)
-    return found.join(F.broadcast(cuts), "stratum", "left").selectExpr(
+    # As many rows as strata: a written table, so the planner broadcasts it by its size or not at all.
+    return found.join(cuts, "stratum", "left").selectExpr(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         f"not base_failed and not ({rejected}) as kept",
     )
