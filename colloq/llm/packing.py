@@ -27,8 +27,8 @@ from .common import written
 
 #: Pieces that one group packs at once: bounded memory, and enough small pieces to fill gaps.
 GROUP_PIECES = 50_000
-#: Rounds of exchange between groups above their bound.
-ROUNDS = 2
+#: Share of its sequences that a round of exchange must save for another one to follow.
+LEAST_SAVED = 0.001
 
 PIECES_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -96,7 +96,17 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     second divides into k + 1 parts, rounding down except at exact parts. Both map any set of
     pieces that fits one bin to a total of at most one bin.
     """
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return _bound(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of(counts: dict[int, int], capacity: int) -> int:
+    """``lower_bound`` of a number of pieces for each length."""
+    count = np.zeros(capacity + 1, np.int64)
+    count[list(counts)] = list(counts.values())
+    return _bound(count, capacity)
+
+
+def _bound(count: np.ndarray, capacity: int) -> int:
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * x).sum()) // capacity)
     for e in range(1, capacity // 2 + 1):
@@ -140,20 +150,33 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024
         "*", (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     rest = cut.filter(F.col("length") < capacity)
-    done = []
-    for round_ in range(1 + ROUNDS):
-        n, top = rest.agg(F.count("*"), F.max("length")).first()
+    done: list[DataFrame] = []
+    replaced, kept, round_ = 0, None, 0
+    while True:
+        # At most ``capacity`` lengths come to the driver.
+        lengths = rest.groupBy("length").agg(F.count("*").alias("n")).collect()
+        n = sum(r.n for r in lengths)
         if not n:
             break
         groups = max(1, -(-n // GROUP_PIECES))
+        if kept is not None and replaced <= bound_of({r.length: r.n for r in lengths}, capacity):
+            done.append(kept)  # no packing of these pieces takes fewer
+            break
         packed = written(_pack_groups(rest, groups, round_, capacity), f"packed{round_}")
-        last = groups == 1 or round_ == ROUNDS
-        # What is full, or in a certified group, stays; the rest is exchanged.
-        stays = F.lit(True) if last else (F.col("gap") <= 0) | (F.col("room") == 0)
-        done.append(packed.filter(stays))
-        if last:
+        open_ = (F.col("gap") > 0) & (F.col("room") > 0)
+        first = F.col("offset") == 0  # one piece of every sequence
+        bins, left = packed.agg(F.count_if(first), F.count_if(first & open_)).first()
+        if kept is not None and bins >= replaced:
+            done.append(kept)
+            break
+        few = kept is not None and replaced - bins < LEAST_SAVED * replaced
+        # One group, dealt anew, would be packed the same way again.
+        if not left or groups == 1 or few:
+            done.append(packed)
             break
-        rest = packed.filter(~stays).select("doc_id", "piece", "start", "length", "ids_crc32")
+        done.append(packed.filter(~open_))
+        kept = packed.filter(open_)
+        rest, replaced, round_ = kept.select("doc_id", "piece", "start", "length", "ids_crc32"), left, round_ + 1
     out = full
     for p in done:
         out = out.unionByName(p.withColumnRenamed("bin", "sequence_id").drop("room", "gap"))
