@@ -9,13 +9,16 @@ outside the k best lower bounds can still reach them, nor the k-th score of bloc
 only those that can get their final scores computed. Scores and ties (smaller vec_id) are exact.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part,
-nor do null vec_ids; only vectors of one length meet; components beyond 31 bits are saturated;
-rows that share a vec_id never meet each other, and are one query; with fewer than k candidates
+nor do null vec_ids; only vectors of one length meet; where a vector's integers are too large
+for scores that doubles hold exactly, its scores are summed as whole numbers of any size, and
+those beyond 63 bits stand as the largest (or smallest) long; rows that share a vec_id never meet each other, and are one query; with fewer than k candidates
 all are returned; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,26 +34,30 @@ SCALE = 1024
 BLOCK, CHUNK = 2048, 256
 #: Shares of a block's lists that are read before bounds are looked at.
 DEPTHS = (0.05, 0.15, 0.3, 0.5, 0.75, 1.0)
+#: Sum of squares below which scores and their bounds are exact in doubles.
+EXACT = 2.0**52
 #: Query chunks whose best scores a task remembers from block to block.
 REMEMBERED = 4096
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of up to ``size`` vectors of one length: block, dim, ids, ints."""
+    """Blocks of up to ``size`` vectors of one length: block, dim, wide, ids, ints.
+
+    Wide blocks hold vectors of squared length ``EXACT`` or more, as they came.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[tuple[int, bool], tuple[list, list]] = {}
 
-        def block(dim: int) -> pa.RecordBatch:
+        def block(key: tuple[int, bool]) -> pa.RecordBatch:
             nonlocal number
-            ids, vectors = held.pop(dim)
+            ids, vectors = held.pop(key)
             number += 1
-            ints = np.floor(np.stack(vectors) * SCALE)
-            ints = np.clip(ints, -(2**31) + 1, 2**31 - 1).astype("<i4")
+            ints = np.stack(vectors).astype("<f8") if key[1] else np.floor(np.stack(vectors) * SCALE).astype("<i4")
             return pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([ints.tobytes()])],
-                ["block", "dim", "ids", "ints"],
+                [pa.array([number]), pa.array([key[0]], pa.int32()), pa.array([key[1]]), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([ints.tobytes()])],
+                ["block", "dim", "wide", "ids", "ints"],
             )
 
         for batch in batches:
@@ -58,16 +65,34 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
                 v = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if not len(v) or not np.isfinite(v).all():
                     continue
-                ids, vectors = held.setdefault(len(v), ([], []))
+                with np.errstate(over="ignore"):
+                    floors = np.floor(v * SCALE)
+                    key = len(v), not (np.abs(floors).max() < 2**31 and float(floors @ floors) < EXACT)
+                ids, vectors = held.setdefault(key, ([], []))
                 ids.append(vec_id)
                 vectors.append(v)
                 if len(ids) == size:
-                    yield block(len(v))
-        for dim in list(held):
-            yield block(dim)
+                    yield block(key)
+        for key in list(held):
+            yield block(key)
 
     usable = rows.filter("vec_id is not null and embedding is not null and not exists(embedding, x -> x is null)")
-    return usable.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "block long, dim int, ids binary, ints binary")
+    return usable.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "block long, dim int, wide boolean, ids binary, ints binary")
+
+
+def whole(data: bytes, wide: bool, dim: int) -> list[list[int]]:
+    """The integers of a block's vectors, whatever their size."""
+    if not wide:
+        return np.frombuffer(data, "<i4").reshape(-1, dim).tolist()
+    # Doubles beyond 2**53 are whole numbers already.
+    return [[math.floor(x * SCALE) if abs(x) < 2.0**53 else int(x) * SCALE for x in v] for v in np.frombuffer(data, "<f8").reshape(-1, dim).tolist()]
+
+
+def best_whole(ids: np.ndarray, vectors: list[list[int]], query_id: int, q: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vec_ids, scores) of the k best, without bounds."""
+    scored = sorted((-sum(map(operator.mul, v, q)), i) for i, v in zip(ids.tolist(), vectors, strict=True) if i != query_id)[:k]
+    most = 2**63 - 1
+    return np.array([i for _, i in scored], np.int64), np.array([max(-most - 1, min(most, -s)) for s, _ in scored], np.int64)
 
 
 class Lists:
@@ -123,10 +148,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         reached: dict[int, np.ndarray] = {}
         for batch in batches:
             for row in range(batch.num_rows):
-                b, dim, ids, ints, chunk, q_ids, q_ints = (c[row].as_py() for c in batch.columns)
+                b, dim, wide, ids, ints, chunk, q_wide, q_ids, q_ints = (c[row].as_py() for c in batch.columns)
+                q_ids = np.frombuffer(q_ids, "<i8")
+                if wide or q_wide:
+                    ids, vectors = np.frombuffer(ids, "<i8"), whole(ints, wide, dim)
+                    for query, q in zip(q_ids.tolist(), whole(q_ints, q_wide, dim), strict=True):
+                        found, score = best_whole(ids, vectors, query, q, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), query, np.int64)), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
+                    continue
                 if b != block:
                     block, lists = b, Lists(ids, ints, dim)
-                q_ids = np.frombuffer(q_ids, "<i8")
                 q_ints = np.frombuffer(q_ints, "<i4").reshape(-1, dim)
                 tops = reached.get(chunk)
                 if tops is None:
@@ -145,10 +176,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     # groups of four, many make groups of 256, so copies of the queries stay a small share.
     n = blocks.count()
     groups = max(1, min(-(-n // 4), max(64, -(-n // 256))))
-    left = blocks.select("block", "dim", "ids", "ints", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("grp"))
-    right = chunks.select(F.col("block").alias("chunk"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("ints").alias("q_ints"),
+    left = blocks.select("block", "dim", "wide", "ids", "ints", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("grp"))
+    right = chunks.select(F.col("block").alias("chunk"), F.col("dim").alias("q_dim"), F.col("wide").alias("q_wide"), F.col("ids").alias("q_ids"), F.col("ints").alias("q_ints"),
                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"))
-    pairs = left.join(right, (left.grp == right.grp) & (left.dim == right.q_dim)).select("block", "dim", "ids", "ints", "chunk", "q_ids", "q_ints")
+    pairs = left.join(right, (left.grp == right.grp) & (left.dim == right.q_dim)).select("block", "dim", "wide", "ids", "ints", "chunk", "q_wide", "q_ids", "q_ints")
     near = pairs.mapInArrow(meet, "query_id long, vec_id long, score long")
     # A group holds up to k rows per block; the limit is applied before the shuffle too.
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
