@@ -12,8 +12,9 @@ occurrence. Blocks and word lists travel as compressed batches.
 
 Defined results: a null or empty text has no ids; null or repeated doc_ids are documents of
 their own; an empty table gives no rows; extra columns are ignored. The input must give the same
-rows in the same order when a task is read again (files do); a checksum over each block's words
-stops the job otherwise.
+rows in the same order when a task is read again (files do): a digest of each block's words in
+their order travels with the words and with the positions, and an unequal one stops the job.
+A vocabulary with an id of 65,536 or more is refused with ValueError.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ from .spaced_words import cut
 
 #: Characters of a block; a longer document is a block of its own.
 BLOCK_CHARS = 8_000_000
-#: Input bytes for each word partition.
-BUCKET_BYTES = 16 << 20
+#: Input bytes for each partition, and word partitions at most: different words grow far slower
+#: than texts, and a block sends one list to each word partition.
+BUCKET_BYTES, WORD_BUCKETS = 16 << 20, 4096
 #: Encoded words that a word partition remembers at once; more are encoded again.
 MEMO_WORDS = 400_000
 
@@ -52,6 +54,8 @@ def encoding(path: str, pattern: str):
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if max(ranks.values(), default=0) >= 1 << 16:
+            raise ValueError(f"{path}: ids beyond 16 bits")
         _ENCODINGS[path, pattern] = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _ENCODINGS[path, pattern]
 
@@ -115,6 +119,12 @@ def _unpack_words(data: bytes) -> list[str]:
     return [data[e - s : e].decode("utf-8", "surrogatepass") for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
+def _digest(words) -> int:
+    """A signed 64-bit digest of words in their order."""
+    data = _SEPARATOR.join(words).encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
 def _bucket_of(word: str, buckets: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets
 
@@ -126,7 +136,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, then=None, schema: st
     mapInArrow would keep one more worker for each task.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = partitions_for(docs, BUCKET_BYTES)
+    partitions = partitions_for(docs, BUCKET_BYTES)
+    buckets = min(WORD_BUCKETS, partitions)
 
     def explode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, words, _ in _blocks(batches, ids=False):
@@ -134,9 +145,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, then=None, schema: st
             for w in words:
                 lists[_bucket_of(w, buckets)].append(w)
             found = [(b, _pack_words(x)) for b, x in enumerate(lists) if x]
+            digest = _digest(w for x in lists for w in x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in found], pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())],
-                ["bucket", "block", "words"],
+                [pa.array([b for b, _ in found], pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array([digest] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())],
+                ["bucket", "block", "digest", "words"],
             )
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,31 +163,33 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, then=None, schema: st
 
         for batch in batches:
             out = []
-            for data in batch.column(2):
+            for data in batch.column(3):
                 ids = [known.get(w) or ids_of(w) for w in _unpack_words(data.as_py())]
                 sizes = np.array([len(x) // 2 for x in ids], "<u4")
                 out.append(zstandard.compress(np.array([len(ids)], "<u4").tobytes() + sizes.tobytes() + b"".join(ids), 3))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(out, pa.binary())], ["block", "bucket", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["block", "bucket", "digest", "data"])
 
     def keep_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, words, found in _blocks(batches, ids=True):
             # Words are numbered anew: by bucket, then in the order in which they were sent.
             bucket = np.fromiter((_bucket_of(w, buckets) for w in words), np.int64, len(words))
-            place = np.empty(len(words), np.uint32)
-            place[np.argsort(bucket, kind="stable")] = np.arange(len(words), dtype=np.uint32)
+            place, order = np.empty(len(words), np.uint32), np.argsort(bucket, kind="stable")
+            place[order] = np.arange(len(words), dtype=np.uint32)
+            names = list(words)
+            digest = _digest(names[i] for i in order.tolist())
             places = [place[p] for _, p in found]
             sizes = np.array([len(p) for p in places], "<u4")
             flat = np.concatenate(places) if places else np.zeros(0, np.uint32)
             planes = [(flat >> s & 0xFF).astype(np.uint8).tobytes() for s in (0, 8, 16, 24)]
             data = np.array([len(sizes), len(words)], "<u4").tobytes() + sizes.tobytes() + b"".join(planes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([zstandard.compress(data, 6)], pa.binary()), pa.array([[d for d, _ in found]], pa.list_(pa.int64()))],
-                ["block", "bucket", "data", "doc_ids"],
+                [pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([digest], pa.int64()), pa.array([zstandard.compress(data, 6)], pa.binary()), pa.array([[d for d, _ in found]], pa.list_(pa.int64()))],
+                ["block", "bucket", "digest", "data", "doc_ids"],
             )
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block, the positions (bucket -1) before the block's words."""
-        now, doc_ids, positions, lists = None, [], b"", []
+        now, mark, doc_ids, positions, lists = None, 0, [], b"", []
 
         def block() -> Iterator[pa.RecordBatch]:
             n, distinct = np.frombuffer(positions, "<u4", 2).tolist()
@@ -208,24 +222,26 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, then=None, schema: st
 
         for batch in batches:
             for k in range(batch.num_rows):
-                at, bucket = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                data = zstandard.decompress(batch.column(2)[k].as_py())
+                at, bucket, digest = (batch.column(c)[k].as_py() for c in range(3))
+                data = zstandard.decompress(batch.column(3)[k].as_py())
                 if at != now:
                     if now is not None:
                         yield from block()
                     if bucket != -1:
                         raise RuntimeError("a block was read again with other words; the input must be replayable")
-                    now, doc_ids, positions, lists = at, batch.column(3)[k].as_py(), data, []
+                    now, mark, doc_ids, positions, lists = at, digest, batch.column(4)[k].as_py(), data, []
+                elif bucket == -1 or digest != mark:
+                    raise RuntimeError("a block was read again with other words; the input must be replayable")
                 else:
                     lists.append(data)
         if now is not None:
             yield from block()
 
-    words = rows.mapInArrow(explode_words, "bucket int, block long, words binary")
-    ids = words.repartition(buckets, "bucket").mapInArrow(encode_words, "block long, bucket int, data binary")
-    positions = rows.mapInArrow(keep_positions, "block long, bucket int, data binary, doc_ids array<long>")
+    words = rows.mapInArrow(explode_words, "bucket int, block long, digest long, words binary")
+    ids = words.repartition(buckets, "bucket").mapInArrow(encode_words, "block long, bucket int, digest long, data binary")
+    positions = rows.mapInArrow(keep_positions, "block long, bucket int, digest long, data binary, doc_ids array<long>")
     both = positions.unionByName(ids, allowMissingColumns=True)
-    gathered = both.repartition(buckets, "block").sortWithinPartitions("block", "bucket")
+    gathered = both.repartition(partitions, "block").sortWithinPartitions("block", "bucket")
     return gathered.mapInArrow((lambda batches: then(assemble(batches))) if then else assemble, schema)
 
 
