@@ -17,11 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where the session names neither, one of our own, but in local mode only: on a cluster a folder
+    of this machine would be another one on each executor, so that is an error.
+    """
     global _OWN_DIR
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    directory = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if directory.isDefined():
+        return str(directory.get()).rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _OWN_DIR is None:
         _OWN_DIR = "file://" + tempfile.mkdtemp(prefix="colloq-")
     return _OWN_DIR
@@ -36,12 +46,16 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back: lineage ends here.
 
-    Lost executors cost a re-read of these files, not a recomputation.
+    Lost executors cost a re-read of these files, not a recomputation. A table at a named ``path``
+    stays; one of our own goes when the interpreter ends.
     """
     spark = df.sparkSession
+    if path is not None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     path = f"{shared_dir(spark)}/colloq-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)

@@ -6,10 +6,13 @@ their token offsets, and the ids as directly addressable codes. Level 0 holds th
 of every id, level 1 the next 8 bits of those ids that need them, and so on. Each level has a
 continuation bitmap (bit i: id i goes on in the next level) and a rank directory (ones before
 each 512-bit block), so id i is found with one rank per level and nothing else is decoded.
+``write_store`` with a path keeps the files, ``open_store`` opens them again, ``tokens_at`` reads
+single ids and ``read_store`` every document.
 
 Defined results: a null or empty text is the end id alone; documents with equal or null doc_id
 are kept, nulls first, equal ids by text hash; an empty table gives no rows; extra columns are
-ignored.
+ignored. ``tokens_at`` gives one row for each different (doc_id, position) asked and document of
+that id, none for positions outside the document or for null doc_ids.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import spaced_words
@@ -102,8 +105,11 @@ _SEGMENT_TYPES = [
 ]
 
 
-def write_store(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
-    """Encode all documents and write the segments; returns the files as read back."""
+def write_store(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = 2) -> DataFrame:
+    """Encode all documents and write the segments to ``path``; returns the files as read back.
+
+    Without a path the files live in the shared folder until the interpreter ends.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = spaced_words.memo("word", vocabulary).encode, struct.pack("<H", end_id)
@@ -136,7 +142,36 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     n = partitions_for(docs, PARTITION_BYTES)
     order = ["doc_id", F.xxhash64("text")]
     ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return written(ordered.mapInArrow(run, SEGMENT_SCHEMA), "tokens")
+    return written(ordered.mapInArrow(run, SEGMENT_SCHEMA), "tokens", path)
+
+
+def open_store(spark: SparkSession, path: str) -> DataFrame:
+    """The segments that ``write_store`` left at ``path``."""
+    return spark.read.schema(SEGMENT_SCHEMA).parquet(path)
+
+
+def tokens_at(store: DataFrame, positions: DataFrame) -> DataFrame:
+    """doc_id, position, token for the (doc_id, position) rows asked, by rank alone.
+
+    The segments' document lists lead to a segment and a place in it; only segments that are asked
+    give their codes, and no level is decoded as a whole. A segment's different places are one
+    row, as many as it has ids at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes, asked in zip(batch.column(0), batch.column(1), strict=True):
+                dac, asked = Dac(codes.as_py()), asked.values.flatten()
+                found = [dac[i] for i in asked[2].to_numpy().tolist()]
+                yield pa.RecordBatch.from_arrays([asked[0], asked[1], pa.array(found, pa.int64())], ["doc_id", "position", "token"])
+
+    asked = positions.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias("position"))
+    asked = asked.filter("doc_id is not null and position >= 0").distinct()
+    places = store.select("part", "before", "offsets", F.posexplode("doc_ids").alias("k", "doc_id"))
+    places = places.select("part", "before", "doc_id", F.expr("offsets[k]").alias("at"), F.expr("offsets[k + 1] - offsets[k]").alias("n"))
+    hits = places.join(asked, "doc_id").filter("position < n")
+    per = hits.groupBy("part", "before").agg(F.collect_list(F.struct("doc_id", "position", (F.col("at") + F.col("position")).alias("i"))).alias("asked"))
+    return store.select("part", "before", "codes").join(per, ["part", "before"]).select("codes", "asked").mapInArrow(run, "doc_id long, position long, token long")
 
 
 def read_store(store: DataFrame) -> DataFrame:
