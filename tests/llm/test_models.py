@@ -1,13 +1,16 @@
 """Operators 6, 7 and 8: brute force, held-out accuracy, and defined edge cases."""
 
 import random
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
 
-from colloq.llm import language, quality, registry, toxicity
+from colloq.llm import common, language, quality, registry, toxicity
+
+from llm_frames import docs_frame
 
 SF = "/root/testdata/sf0.01"
 
@@ -37,11 +40,69 @@ def test_language_edges(spark, odd_docs, empty_docs):
     assert kept.schema == odd_docs.schema and 0 < kept.count() < odd_docs.count()
 
 
-def test_codewords_are_apart():
-    for n in (2, 4, 20):
-        code = language.codewords(n)
-        apart = (code[:, None] != code[None]).sum(2)
-        assert apart[~np.eye(n, dtype=bool)].min() >= 8
+@pytest.mark.parametrize("n", [2, 3, 4, 6, 7, 20, 100])
+def test_codewords_are_apart(n):
+    code = language.codewords(n)
+    columns = {tuple(c * c[0]) for c in code.T}
+    assert len(columns) == code.shape[1] and not any(len(set(c)) < 2 for c in columns)
+    apart = (code[:, None] != code[None]).sum(2)[~np.eye(n, dtype=bool)].min()
+    assert apart == 2 ** (n - 2) if n <= 6 else apart >= 9
+
+
+def plain_nearest(code, weight, margin):
+    loss = [sum(w * np.log1p(np.exp(-m * b)) for b, w, m in zip(c, weight, margin, strict=True)) / len(c) for c in code]
+    return int(np.argmin(loss))
+
+
+@pytest.mark.parametrize("n", [4, 6, 20])
+def test_decoding_corrects_flipped_bits(n):
+    model = language.Model.__new__(language.Model)
+    model.languages, model.code = [str(i) for i in range(n)], language.codewords(n)
+    bits = model.code.shape[1]
+    model.bit_weight = np.ones(bits)
+    for k in range(n):
+        for j in range(bits):
+            margin = 3.0 * model.code[k]
+            margin[j] *= -1
+            assert model.nearest(margin[None])[0][0] == k
+    rng = np.random.default_rng(1)
+    model.bit_weight = rng.random(bits)
+    margins = rng.normal(size=(200, bits)) * 3
+    assert model.nearest(margins)[0].tolist() == [plain_nearest(model.code, model.bit_weight, m) for m in margins]
+
+
+def test_language_query_is_the_brute_force_decoding(spark, odd_docs):
+    """Predictions equal a plain rerun: n-gram counts by hand, margins, nearest codeword."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(30)) for a in ("abcd", "efgh", "ijkl", "mnop", "qrst") for _ in range(20)]
+    docs = docs_frame(spark, texts, first=1000, langs=[f"l{i // 20}" for i in range(100)])
+    model = language.train(docs.union(docs), rows=12)
+    assert model.languages == [f"l{i}" for i in range(5)] and model.code.shape == (5, 15)
+    both = docs.union(odd_docs)
+    found = {r.doc_id: r for r in language.predict(both, model).collect()}
+    for d in both.collect():
+        words = [w for w in re.findall(r"[^\W\d_]+", (d.text or "").lower()) if any(c.isalpha() for c in w)]
+        if not words:
+            assert (found[d.doc_id].lang_pred, found[d.doc_id].score) == ("und", 0)
+            continue
+        c = language.counts(d.text)
+        margin = np.sqrt(c / c.sum()).astype(np.float32) @ model.w + model.b
+        assert found[d.doc_id].lang_pred == model.languages[plain_nearest(model.code, model.bit_weight, margin)]
+    right = [found[1000 + i].lang_pred == f"l{i // 20}" for i in range(100)]
+    assert all(right)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than rows allow in full: fewer rows of each, none left out."""
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(300)]
+    docs = docs_frame(spark, [(n + " ") * 30 for n in names for _ in range(3)], langs=[n for n in names for _ in range(3)])
+    usable = docs.filter((language.fold_of(docs.doc_id, 3) != 1)).select("lang").distinct().count()
+    assert len(language.train(docs).languages) == usable > 256
+
+
+def test_no_language_to_tell_apart(spark):
+    docs = docs_frame(spark, ["one text", "another text", "ein Text", None, ""], langs=["en"] * 5)
+    assert {r.lang_pred for r in language.predict(docs, language.train(docs)).collect()} == {"en", "und"}
 
 
 def test_toxicity_held_out(spark):
@@ -65,9 +126,57 @@ def test_toxicity_edges(spark, odd_docs, empty_docs):
     assert toxicity.keep_clean(odd_docs, model).schema == odd_docs.schema
 
 
-def plain_counts(text):
-    import re
+def plain_features(text):
+    h = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in re.findall(r"[^\W_]+", text.lower())]
+    mixed = lambda x, tag: ((x + tag) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - toxicity.BITS)
+    one = {mixed(x, 1) for x in h}
+    two = {mixed((a << 32) | b, 2) for a, b in zip(h, h[1:])}
+    return sorted(one | two | {mixed((a << 32) | b, 3) for a, b in zip(h, h[2:])})
+
+
+def plain_ftrl(rows):
+    """Textbook FTRL-proximal, one coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * toxicity.L1) / ((toxicity.BETA + np.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for text, label in rows:
+            own = [*plain_features(text), 1 << toxicity.BITS]
+            w = [weight(i) for i in own]
+            g = 1 / (1 + np.exp(-sum(w))) - label
+            for i, x in zip(own, w, strict=True):
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (np.sqrt(before + g * g) - np.sqrt(before)) / toxicity.ALPHA * x
+                n[i] = before + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_toxicity_is_the_brute_force_learner(spark, odd_docs, empty_docs):
+    """The whole chain, sample order included, against a plain learner; long texts keep all features."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(("good", "bad", "ugly", "calm", "vile")) + str(rng.randint(0, 9)) for _ in range(rng.randint(0, 40))) for _ in range(120)]
+    texts[3] = " ".join(f"long{i}" for i in range(9000)) + " vile1"
+    docs = docs_frame(spark, texts).union(odd_docs.filter("doc_id >= 120"))
+    docs = docs.union(docs.filter("doc_id in (5, 6)"))  # repeated rows
+    marks = [(i, None, int("vile" in texts[i])) for i in range(120)]
+    model = toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", common.hashed("toxicity").alias("h")).collect()}
+    sample = [(hashes[i], t, np.array(plain_features(texts[i]), np.int32).tobytes(), texts[i]) for i, _, t in marks if crc_fold(i, 4) != 2 for _ in range(1 + (i in (5, 6)))]
+    want = plain_ftrl([(text, label) for _, label, _, text in sorted(sample)])
+    got = dict(zip(model[0].tolist(), model[1].tolist()))
+    assert got and got.keys() == {i for i, w in want.items() if w}
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in got)
+    for r, d in zip(toxicity.score(docs, model).orderBy("doc_id").collect(), docs.orderBy("doc_id").collect(), strict=True):
+        total = sum(got.get(i, 0.0) for i in [*plain_features(d.text or ""), 1 << toxicity.BITS])
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9 and r.predicted == (r.score >= 0.3)
+    assert toxicity.score(empty_docs, toxicity.train(empty_docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))).count() == 0
 
+
+def plain_counts(text):
     words = [w for w in re.split("[ \x09-\x0d]+", text) if w]
     windows = {}
     for i in range(len(words) - 2):
@@ -95,8 +204,6 @@ def test_quality_counts(spark, odd_docs, empty_docs):
 
 @pytest.mark.parametrize("n_good", [100, 1500])
 def test_quality_cutoffs_are_certified(spark, n_good):
-    from llm_frames import docs_frame
-
     rng = random.Random(2)
     words = lambda mark: " ".join(f"w{rng.randint(0, 10**6)}{mark}" for _ in range(60))
     docs = docs_frame(spark, [words("") for _ in range(n_good)] + [words("###") for _ in range(40)])
@@ -105,3 +212,12 @@ def test_quality_cutoffs_are_certified(spark, n_good):
     kept = {r.doc_id for r in rows if r.kept}
     # Too few good documents certify nothing; with enough, symbols reject the bad ones alone.
     assert len(kept) == n_good + (40 if n_good == 100 else 0)
+
+
+def test_quality_many_strata(spark):
+    """Every stratum has its cutoffs, however many there are."""
+    texts = [" ".join(f"w{i}x{j}{mark}" for j in range(60)) for i in range(1100) for mark in ("", "###")]
+    docs = docs_frame(spark, texts, langs=[f"l{i // 2}" for i in range(2200)])
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(2200)], "doc_id long, quality int, toxic int")
+    assert quality.cutoffs(quality.features(docs), labels).count() == 1100
+    assert quality.judge(docs, labels).filter("kept").count() == 2200  # one good document certifies nothing

@@ -1,11 +1,15 @@
 """Operators 5 and 9 and the pipeline against brute force."""
 
+import math
+import zlib
+
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 
 import corpus_pipeline
-from colloq.llm import components, simhash, topk
+from colloq.llm import common, components, language, packing, pii, simhash, topk, toxicity
 
 from llm_frames import docs_frame
 
@@ -119,6 +123,83 @@ def test_topk(spark, monkeypatch, n):
     assert topk.search(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_keep_one_of_nothing_and_of_null_ids(spark, empty_docs):
+    assert simhash.keep_one(empty_docs).count() == 0
+    text = "one two three four five six seven"
+    docs = docs_frame(spark, [text, "quite another text with other words in it"]).selectExpr("cast(null as long) as doc_id", *docs_frame(spark, ["x"]).columns[1:])
+    assert sorted(r.text for r in simhash.keep_one(docs.union(docs)).collect()) == sorted([text, "quite another text with other words in it"])
+
+
+def test_topk_of_large_components(spark):
+    """Whole numbers of any size; scores beyond 63 bits stand as the largest long."""
+    big = [[2.0**30, 1.0], [2.0**30, 2.0], [3.0e6, -0.5], [1e-3, 5.5], [-(2.0**40), 1.0], [1e300, 1.0], [0.25, 0.125]]
+    rows = [(100 * i, v) for i, v in enumerate(big)] + [(100, [0.5, 0.5])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = [(i, [math.floor(1024 * x) if abs(x) < 2.0**50 else int(x) * 1024 for x in v]) for i, v in rows]
+    most = 2**63 - 1
+    want = set()
+    for q, x in ints:
+        # Rows of one vec_id are one query: its best over both of its vectors.
+        own = [y for i, y in ints if i == q]
+        scored = sorted((-max(-most - 1, min(most, sum(a * b for a, b in zip(y, z)))), i) for y in own for i, z in ints if i != q)[:10]
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
+    found = topk.search(frame, frame).collect()
+    assert {tuple(r) for r in found} == want
+
+
+def test_rows_of_one_vec_id_never_meet(spark):
+    frame = spark.createDataFrame([(0, [1.0]), (0, [2.0]), (7, [1.0]), (7, [1.0])], "vec_id long, embedding array<float>")
+    assert {(r.query_id, r.vec_id) for r in topk.search(frame, frame).collect()} == {(0, 7), (7, 0)}
+
+
+def test_pipeline_edges(spark, odd_docs, empty_docs, tmp_path):
+    """Every stage on odd texts, repeated rows and nothing; extra columns stay."""
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(100)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (odd_docs, odd_docs.union(odd_docs), empty_docs):
+        docs = corpus_pipeline.written(docs, "odd")
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert out.columns == docs.columns, name
+                assert out.exceptAll(docs).isEmpty() or name == "pii", name
+                out.count()
+        assert (out.count() == 0) == docs.isEmpty()
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark):
+    """Each stage's decisions, made again one document at a time, give the same rows."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    weights = dict(zip(*(x.tolist() for x in toxicity.train(docs, labels))))
+    bias = weights.get(1 << toxicity.BITS, 0.0)
+    left = {d: t for d, t in rows.items() if 1 / (1 + math.exp(-bias - sum(weights.get(i, 0.0) for i in toxicity.features(t or "").tolist()))) < 0.3}
+    frame = docs.filter(docs.doc_id.isin(*left))
+    model = language.train(frame)
+    for d in list(left):
+        c = language.counts(left[d] or "")
+        if not c.sum() or model.decode(language.vector(c)[None])[1][0] < language.AMBIGUOUS:
+            del left[d]
+    ids = sorted(left)
+    roots = plain_components([plain_fingerprint(left[d]) for d in ids], ids)
+    left = {d: left[d] for d, root in zip(ids, roots, strict=True) if d == root}
+    found = pii.train(docs.filter(docs.doc_id.isin(*left)))
+    for d, t in left.items():
+        base = pii.base_spans(t or "")
+        left[d] = t and pii.masked(t, base + pii.added_spans([t], [base], found)[0])
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
+    want = {}
+    for d, t in left.items():
+        ids = encode(t or "", add_special_tokens=False).ids + [2]
+        want |= {(d, k, a, n, zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes())): None for k, (a, n) in enumerate(packing.cut_points(len(ids), 1024))}
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+
+
 def test_pipeline_stages(spark):
     """Each stage works on what the one before kept; copies and toxic documents go, clean ones stay."""
     sf = "/root/testdata/sf0.001"
@@ -133,3 +214,16 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, now, sf).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in now.collect()}
     assert corpus_pipeline.run(spark, sf).count() == len(packed)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master, _jsc = "spark://host:7077", spark.sparkContext._jsc
+
+    class Session:
+        conf, sparkContext = spark.conf, Context
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            common.shared_dir(Session)
+    assert common.shared_dir(spark)

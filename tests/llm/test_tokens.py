@@ -5,17 +5,17 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from colloq.llm import bpe, packing, token_store
+from colloq.llm import bpe, packing, spaced_words, token_store
 
 
 def library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -69,6 +69,77 @@ def test_bpe_matches_library_and_decodes(odd_docs, monkeypatch):
         assert tuple(found[r.doc_id]) == want
 
 
+def test_single_tokens_from_the_files(spark, odd_docs, empty_docs, tmp_path, monkeypatch):
+    """Kept files, opened again, give any id by rank; nothing is decoded as a whole."""
+    monkeypatch.setattr(token_store, "SEGMENT_TOKENS", 500)
+    encode, path = library("word_bpe_49k.json"), f"file://{tmp_path}/store"
+    docs = odd_docs.filter("length(text) < 10000 or text is null").union(odd_docs.filter("doc_id = 5"))  # a repeated doc_id
+    token_store.write_store(docs, public_tokenizers.path("word_bpe_49k.json"), path)
+    store = token_store.open_store(spark, path)
+    assert store.count() > 3
+    rows = docs.filter("doc_id is not null").collect()
+    wanted = {r.doc_id: [*encode(r.text or ""), 2] for r in rows}
+    asked = [(d, k) for d, ids in wanted.items() for k in (0, len(ids) // 2, len(ids) - 1, len(ids), -1)] + [(None, 0), (10**9, 0), (1, None)]
+    monkeypatch.setattr(token_store.Dac, "all", None)
+    found = token_store.tokens_at(store, spark.createDataFrame(asked, "doc_id long, position long")).collect()
+    want = {(d, k, wanted[d][k]) for d, k in asked if d in wanted and k is not None and 0 <= k < len(wanted[d])}
+    assert {tuple(r) for r in found} == want
+    assert len(found) == len(want) + len({w for w in want if w[0] == 5})
+    assert token_store.tokens_at(store, spark.createDataFrame([], "doc_id long, position long")).count() == 0
+
+
+def test_repeated_ids_are_documents_of_their_own(spark, odd_docs):
+    twice = odd_docs.union(odd_docs)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    once = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in token_store.read_store(token_store.write_store(odd_docs, path)).collect())
+    both = token_store.read_store(token_store.write_store(twice, path)).orderBy("start").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in both) == sorted(once + once)
+    at = 0
+    for r in both:
+        assert r.start == at
+        at += r.n_tokens
+    pieces = packing.pack(twice, public_tokenizers.path("byte_bpe_50k.json"), capacity=128).collect()
+    assert len(pieces) == 2 * packing.pack(odd_docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=128).count()
+    places = {(r.sequence_id, r.offset) for r in pieces}
+    assert len(places) == len(pieces)
+
+
+def test_fuzz_of_spaced_words():
+    rng = np.random.default_rng(8)
+    parts = ["word", " word", "Word,", ".", "|", "!", "\n", "\n\n", " ", "  ", "\t", "é", " é.", "ß|", "'s", "日本", "Σ", "σ.\nΑΣ", "\u0301", "\x1c", "7", " 7,", "\r\n", "ǅ.", " ʼn!"]
+    for kind, name in (("word", "word_bpe_49k.json"), ("byte", "byte_bpe_50k.json")):
+        encode, whole = spaced_words.memo(kind, public_tokenizers.path(name)).encode, library(name)
+        for _ in range(4000):
+            text = "".join(rng.choice(parts, rng.integers(1, 12)))
+            assert np.frombuffer(encode(text), "<u2").tolist() == whole(text), repr(text)
+
+
+def test_bpe_decodes(spark, odd_docs):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(odd_docs, path, public_tokenizers.PATTERN), path).collect()
+    assert {r.doc_id: bytes(r.text_bytes).decode() for r in decoded} == {r.doc_id: r.text or "" for r in odd_docs.collect()}
+
+
+def test_bpe_stops_when_a_block_reads_differently(spark):
+    """Equal numbers of words in another order must not pass for the same block."""
+
+    def shuffled(batches):
+        import random
+
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                words = text.split(" ")
+                random.SystemRandom().shuffle(words)
+                out.append(" ".join(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "text"])
+
+    docs = spark.createDataFrame([(i, " ".join(f" w{i}x{j}" for j in range(200))) for i in range(5)], "doc_id long, text string")
+    docs = docs.mapInArrow(shuffled, "doc_id long, text string")
+    with pytest.raises(Exception, match="must be replayable"):
+        bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+
+
 def test_bpe_of_nothing(empty_docs):
     assert bpe.digests(empty_docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
@@ -105,6 +176,27 @@ def test_packing(odd_docs, monkeypatch, group):
     assert packing.lower_bound(lengths, 128) <= bins <= 1.05 * packing.lower_bound(lengths, 128) + 5
 
 
+def test_rounds_keep_the_better_packing(spark, monkeypatch):
+    """Groups above their bound exchange pieces; no round makes it worse, whatever the lengths."""
+    rng = np.random.default_rng(5)
+    lengths = rng.choice([30, 34, 45, 51, 60], 4000).tolist()
+    frame = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECES_SCHEMA)
+    monkeypatch.setattr(packing, "pieces", lambda *a: frame)
+    best = {}
+    for group, least in ((100_000, 0.001), (250, 2.0), (250, 0.0)):
+        monkeypatch.setattr(packing, "GROUP_PIECES", group)
+        monkeypatch.setattr(packing, "LEAST_SAVED", least)
+        rows = packing.pack(frame, "", capacity=100).collect()
+        assert sorted(r.length for r in rows) == sorted(lengths) and len({r.doc_id for r in rows}) == 4000
+        used = {}
+        for r in rows:
+            used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+        assert max(used.values()) <= 100
+        best[group, least] = len(used)
+    assert packing.lower_bound(np.array(lengths), 100) <= best[250, 0.0] <= best[250, 2.0]
+    assert packing.bound_of({30: 5, 60: 7}, 100) == packing.lower_bound(np.array([30] * 5 + [60] * 7), 100)
+
+
 def test_packing_of_nothing(empty_docs):
     assert packing.pack(empty_docs, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
