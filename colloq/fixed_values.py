@@ -311,3 +311,18 @@ TECHNICAL_QUESTIONS = (
     r"πως\s+(?:το\s+)?(?:εφτιαξ|υλοποιησ|εκανες|δουλευει)",
     r"γιατι\s+(?:διαλεξ|επελεξ)",
 )
+
+#: Acronyms and the wordings by which a gloss is right.
+ACRONYMS = {
+    "PEFT": ("parameter-efficient", "parameter efficient"),
+    "TRL": ("transformer reinforcement",),
+    "QLoRA": ("quantized low-rank", "quantized low rank"),
+    "LoRA": ("low-rank", "low rank"),
+    "RAG": ("retrieval-augmented", "retrieval augmented"),
+    "NF4": ("normalfloat", "normal float"),
+    "BM25": ("best matching",),
+    "RRF": ("reciprocal rank",),
+}
+
+#: Other writings of technology names.
+TECH_ALIASES = {"krikri": "llama", "chromadb": "chroma", "delta lake": "deltalake", "postgresql": "postgres", "kubernetes": "k8s"}

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed_values as V
 from ..functions.text import fold, fold_text, mentions, negated_before
 
 
@@ -18,15 +19,21 @@ def denied(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return F.array_compact(found)
 
 
-def acronyms(text: Column, expansions: dict[str, Sequence[str]]) -> Column:
-    """Acronyms that are followed by a gloss in brackets other than the accepted ones."""
+def acronyms(text: Column, expansions: dict[str, Sequence[str]] = V.ACRONYMS) -> Column:
+    """A message for each acronym that is given a gloss without one of the accepted wordings.
+
+    A gloss stands in brackets, or after a word for "means"; an acronym without one is fine.
+    """
     issues = []
     for short, accepted in expansions.items():
-        gloss = fold(F.regexp_extract(text, rf"(?iU)\b{short}\b\s*\(([^)]{{3,80}})\)", 1))
+        between = rf"(?iU)\b{short}\b[\s?:,–—-]*(?:\(([^)]{{3,60}})\)|(?:για|=|είναι|ειναι|σημαίνει|σημαινει)\s+([^.!?;]{{3,60}}))"
+        part = lambda k, p=between: F.regexp_extract(text, p, k)
+        gloss = F.lower(F.concat(part(1), part(2)))
         good = F.lit(False)
         for a in accepted:
-            good = good | F.contains(gloss, F.lit(fold_text(a)))
-        issues.append(F.when((gloss != "") & ~good, F.concat(F.lit(f"{short}: "), gloss)))
+            good = good | F.contains(gloss, F.lit(a))
+        message = F.concat(F.lit(f"Το {short} δεν σημαίνει «"), F.trim(gloss), F.lit(f"» — είναι {accepted[0]}"))
+        issues.append(F.when((gloss != "") & ~good, message))
     return F.array_compact(F.array(*issues))
 
 

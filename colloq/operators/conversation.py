@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.text import alternation, capitalise_sentences, fold, fold_text, space_words, trim_to_words
-from .privacy import redact_surnames
+from ..functions.text import alternation, capitalise_sentences, clean_name, fold, fold_text, let, space_words, trim_to_words
+from .privacy import redact_surnames, sanitise
 
 #: A greeting with an optional form of address.
 GREETING = (
@@ -50,6 +50,30 @@ def intent(message: Column, patterns=V.INTENT_PATTERNS, greeting: str = GREETING
     )
 
 
+def explanation(result: Column) -> Column:
+    """Why ``intent`` chose as it did; the first three keywords are named."""
+    named = F.concat(F.lit("Matched "), result["intent"], F.lit(" patterns: "), F.array_join(F.slice(result["keywords"], 1, 3), ", "))
+    empty = (result["confidence"] == 1) & (F.size(result["keywords"]) == 0)
+    none = F.lit("No strong pattern match → casual (no retrieval)")
+    return F.when(F.size(result["keywords"]) > 0, named).when(empty, F.lit("Empty message")).otherwise(none)
+
+
+#: The branches of the router, in order.
+ROUTES = ("sensitive", "personal", "knowledge", "casual", "memory", "schedule", "weather", "news", "devops")
+
+
+def route(intent_: Column, routes: Sequence[str] = ROUTES) -> Column:
+    """The branch (from 0) that an intent takes; null if it has none."""
+    at = F.array_position(F.array(*map(F.lit, routes)), intent_)
+    return F.when(at > 0, (at - 1).cast("int"))
+
+
+def gate(on: bool | Column, value: Column, otherwise: Column | None = None) -> Column:
+    """``value`` where the switch is on, else ``otherwise`` (null)."""
+    on = F.lit(on) if isinstance(on, bool) else on
+    return F.when(F.coalesce(on, F.lit(False)), value).otherwise(otherwise if otherwise is not None else F.lit(None))
+
+
 def first_rule(text: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
     """Name of the first pattern that matches."""
     out = F.lit(default)
@@ -116,6 +140,39 @@ def system_prompt(parts: Sequence[Column], facts: Column, target_words: Column,
     return F.array_join(F.filter(F.array(*parts, F.when(target_words >= least, facts)), lambda p: p.isNotNull() & (p != "")), "\n")
 
 
+#: Label, words aimed at, and instructions of each register.
+REGISTER_STYLE = {
+    "close": ("Κοντινό πρόσωπο", 6, "Μιλάς σε κοντινό σου άνθρωπο. Πολύ χαλαρά, σε δεύτερο ενικό. Μπορείς να είσαι αστείος ή απότομος, όπως με φίλο. Χωρίς εισαγωγές."),
+    "professional": ("Επαγγελματική σχέση", 18, "Μιλάς σε επαγγελματικό πλαίσιο. Ευγενικά αλλά όχι τυπικά — δεύτερο ενικό, χωρίς πληθυντικό ευγενείας εκτός αν σου μιλήσουν έτσι. Απάντησε συγκεκριμένα και, αν χρειάζεται διευκρίνιση, ρώτησε. Χωρίς αργκό και χωρίς βωμολοχίες."),
+    "academic": ("Ακαδημαϊκό πλαίσιο", 40, "Μιλάς σε ακαδημαϊκό πλαίσιο — καθηγητής, επιβλέπων ή εξεταστής. Σαφής και τεκμηριωμένος, στο πρώτο ενικό. Ολοκληρωμένες προτάσεις. Χωρίς αργκό, χωρίς βωμολοχίες, χωρίς υπερβολική οικειότητα. Αν δεν γνωρίζεις κάτι, πες το ευθέως αντί να το επινοήσεις."),
+    "neutral": ("Άγνωστος", 15, "Δεν ξέρεις ποιος σου μιλάει. Φιλικά αλλά συγκρατημένα, σε δεύτερο ενικό. Μη μοιράζεσαι προσωπικές λεπτομέρειες που δεν θα έλεγες σε κάποιον που μόλις γνώρισες."),
+}
+#: The reminder after the facts, and the least words aimed at that take all facts.
+REMINDER = (
+    "ΥΠΕΝΘΥΜΙΣΗ: Τα παραπάνω είναι ΟΛΑ όσα ξέρεις για την υλοποίηση. Μην προσθέσεις εργαλείο, μοντέλο, πλατφόρμα ή αριθμό που δεν γράφεται εκεί, "
+    "ούτε καν αν σου φαίνεται προφανές. Το «δεν το θυμάμαι ακριβώς» είναι σωστή απάντηση· ένα εργαλείο που δεν χρησιμοποίησες δεν είναι."
+)
+ALL_FACTS_FROM = 18
+
+
+def prompt_for(register_: Column, name: Column, message: Column, identity: str, rules: str, facts: str = "", brief: str = "", styles=REGISTER_STYLE) -> Column:
+    """The prompt for a listener: identity, who speaks, style, length, rules and, for formal registers or technical questions, facts.
+
+    Registers that aim at ``ALL_FACTS_FROM`` words or more get all facts, others the brief ones.
+    """
+    tables = [F.create_map(*(F.lit(x) for k, v in styles.items() for x in (k, v[i]))) for i in range(3)]
+    label, words, instructions = (F.try_element_at(t, register_) for t in tables)
+    clean = clean_name(F.coalesce(name, F.lit("")))
+    who = F.when(clean != "", F.concat(F.lit("ΣΥΝΟΜΙΛΗΤΗΣ: Σου μιλάει ο/η "), clean, F.lit(" — "), F.lower(label), F.lit(". Μπορείς να τον προσφωνήσεις με το όνομά του, χωρίς υπερβολή.")))
+    evidence = F.when(words >= ALL_FACTS_FROM, F.lit(facts)).otherwise(F.lit(brief))
+    grounded = (register_.isin(*FORMAL) | technical_question(message)) & (evidence != "")
+    lines = F.array(
+        F.lit(identity), who, F.concat(F.lit("ΥΦΟΣ: "), instructions),
+        F.concat(F.lit("ΜΗΚΟΣ: Γύρω στις "), words.cast("string"), F.lit(" λέξεις. Μην ξεπερνάς αισθητά αυτό το μήκος.")), F.lit(rules),
+        F.when(grounded, F.lit("")), F.when(grounded, evidence), F.when(grounded, F.lit(REMINDER)))
+    return F.array_join(F.array_compact(lines), "\n")
+
+
 # Guardrails -----------------------------------------------------------------------------------
 
 #: Words around a removed name.
@@ -126,9 +183,10 @@ ORPHANS = (
     rf"(?iU)\b(?:{_ARTICLES})\s+(?=(?:{_ARTICLES}|για|από|απο|με|σε|προς|κατά|κατα|χωρίς|χωρις|είναι|ειναι|ήταν|ηταν|έχει|εχει|θα|να|και)\b)",
     r"(?iU)\b(?:με|από|απο|για|σε|προς|μαζί|μαζι)\s+(?:τον|την|το|του|της|τους|τις|τα|οι)\s+(?=(?:μετά|μετα|πριν|χθες|χτες|σήμερα|σημερα|αύριο|αυριο|τώρα|τωρα|αργότερα|αργοτερα)\b)",
 )
-#: Passes over the gap that a removal leaves; each can uncover one more orphan.
-GAP_PASSES = 4
+#: What a pass over the gap can take away: each pass removes at least one of these, or is the last but one.
+_REMOVABLE = rf"(?iU)\b(?:{_ARTICLES}|στον|στην|στο|στου|στης|με|από|απο|για|σε|προς|μαζί|μαζι)\b|[,·]"
 
+#: Accented forms of vowels.
 _ACCENTED = {"α": "ά", "ε": "έ", "η": "ή", "ι": "ίϊΐ", "ο": "ό", "υ": "ύϋΰ", "ω": "ώ"}
 
 
@@ -146,12 +204,25 @@ def _seam(text: Column) -> Column:
 
 
 def close_gap(text: Column) -> Column:
-    """Remove articles and prepositions that lost their name, and tidy punctuation."""
-    for _ in range(GAP_PASSES):
+    """Remove articles and prepositions that lost their name, and tidy punctuation, until nothing changes.
+
+    A removal can uncover the next orphan. The passes are as many as a text has words that could
+    go; once a pass changes nothing the others do no work.
+    """
+
+    def tidied(t: Column) -> Column:
         for pattern in ORPHANS:
-            text = F.regexp_replace(text, pattern, "")
-        text = F.regexp_replace(_seam(text), r"([,·])\s*([,.;!?·])", "$2")
-    return _strip(F.regexp_replace(text, r"^[\s,·]+", ""))
+            t = F.regexp_replace(t, pattern, "")
+        return F.regexp_replace(_seam(t), r"([,·])\s*([,.;!?·])", "$2")
+
+    def step(now: Column, _: Column) -> Column:
+        new = let(tidied(now["text"]), lambda t: F.struct(t.alias("text"), (t == now["text"]).alias("done")))
+        return F.when(now["done"], now).otherwise(new)
+
+    passes = F.sequence(F.lit(0), F.regexp_count(text, F.lit(_REMOVABLE)) + 1)
+    start = F.struct(text.alias("text"), F.lit(False).alias("done"))
+    closed = F.aggregate(passes, start, step, lambda now: now["text"])
+    return _strip(F.regexp_replace(closed, r"^[\s,·]+", ""))
 
 
 def strip_placeholders(text: Column) -> Column:
@@ -208,6 +279,11 @@ def sanitise_output(text: Column, register_: Column | None = None, **surnames) -
     return F.when(register_.isin(*FORMAL), strip_vocatives(out)).otherwise(out) if register_ is not None else out
 
 
+def guarded_reply(raw: Column, register_: Column | None = None, contacts: Sequence[str] = ()) -> Column:
+    """struct(reply, pii_filtered): the guardrails, then the masks as a last defence; whether those changed anything."""
+    return let(guard(raw, register_), lambda t: let(sanitise(t, contacts), lambda r: F.struct(r.alias("reply"), (r != t).alias("pii_filtered"))))
+
+
 # Context from several sources -----------------------------------------------------------------
 
 #: Words per source, all words, and the least worth adding.

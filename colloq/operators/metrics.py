@@ -103,8 +103,8 @@ def pairwise_similarity(rows: DataFrame, id_: str, text: str) -> DataFrame:
 
 
 def mean_similarity(rows: DataFrame, id_: str, text: str) -> DataFrame:
-    """Mean over all pairs, those without a shared word included."""
-    n = rows.agg(F.count("*").alias("n"))
+    """Mean over all pairs of texts with a word, pairs without a shared word included."""
+    n = rows.agg(F.count_if(F.size(T.words(F.col(text))) > 0).alias("n"))
     total = pairwise_similarity(rows, id_, text).agg(F.coalesce(F.sum("jaccard"), F.lit(0.0)).alias("total"))
     return total.crossJoin(n).select("n", F.coalesce(F.try_divide(F.col("total"), F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("mean_similarity"))
 
@@ -197,7 +197,8 @@ def term_coverage(text: Column, terms: Sequence[str]) -> Column:
 
 
 def side_by_side(rows: DataFrame, key: str, pivot: str, value: str, columns: Sequence[str]) -> DataFrame:
-    return rows.groupBy(key).pivot(pivot, list(columns)).agg(F.first(value))
+    """One row per key, one column per pivot value: the value's mean."""
+    return rows.groupBy(key).pivot(pivot, list(columns)).agg(F.avg(value))
 
 
 def markdown(rows: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
@@ -218,3 +219,8 @@ def zip_checked(left: DataFrame, right: DataFrame, pos: str) -> DataFrame:
 def running_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("running", F.sum(value).over(w))
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """Half-even rounding of a double."""
+    return F.bround(value, digits)

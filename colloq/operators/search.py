@@ -16,7 +16,7 @@ K1, B, RRF_K, GATE = 1.5, 0.75, 60, 0.62
 
 @dataclass
 class Index:
-    """postings(id, term, tf), lengths(id, dl), terms(term, df, idf), stats(n, avgdl)."""
+    """postings(id, term, tf, dl), lengths(id, dl), terms(term, df, idf), stats(n, avgdl)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -34,14 +34,18 @@ class Index:
 
 
 def build_index(docs: DataFrame, id_: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> Index:
-    """Index of whole texts; ``terms`` (term) keeps only postings of those terms (lengths count all)."""
-    rows = docs.select(F.col(id_).alias("id"), search_tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
-    lengths = rows.select("id", F.size("tokens").cast("long").alias("dl"))
+    """Index of whole texts; ``terms`` (term) keeps only postings of those terms (lengths count all).
+
+    Postings carry their document's length, so scoring joins no table of documents.
+    """
+    tokens = search_tokens(F.coalesce(text, F.lit("")))
+    lengths = docs.select(F.col(id_).alias("id"), F.size(tokens).cast("long").alias("dl"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    exploded = rows.select("id", F.explode("tokens").alias("term"))
+    rows = docs.select(F.col(id_).alias("id"), tokens.alias("tokens"))
+    exploded = rows.select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
     if terms is not None:
         exploded = exploded.join(terms.select("term").distinct(), "term", "left_semi")
-    postings = exploded.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    postings = exploded.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return Index(postings, lengths, df.join(F.broadcast(stats)).select("term", "df", idf.alias("idf")), stats)
@@ -50,11 +54,12 @@ def build_index(docs: DataFrame, id_: str = "doc_id", text: str = "text", terms:
 def scores(index: Index, query_terms: DataFrame) -> DataFrame:
     """query_id, id, score of matching documents; a term counts as often as the query holds it.
 
-    query_terms: query_id, term. Only matched postings are read; the one-row statistics are broadcast.
+    query_terms: query_id, term. The terms asked meet their idf first, which is small; that side
+    then meets the postings. The one-row statistics are broadcast.
     """
     counted = query_terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hits = index.postings.join(counted, "term").join(index.terms.select("term", "idf"), "term").join(index.lengths, "id")
-    hits = hits.join(F.broadcast(index.stats.select("avgdl")))
+    asked = counted.join(index.terms.select("term", "idf"), "term").join(F.broadcast(index.stats.select("avgdl")))
+    hits = index.postings.join(asked, "term")
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
@@ -76,10 +81,24 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id", t
     return ranked(scores(build_index(docs, id_, text, terms), terms), k)
 
 
-def with_zero_scores(index: Index, scored: DataFrame, queries: DataFrame) -> DataFrame:
-    """All documents for each query, unmatched ones with score 0 (a stated, small query set)."""
-    every = index.lengths.select("id").join(F.broadcast(queries.select("query_id").limit(1000)))
-    return every.join(scored, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
+def ranked_with_zeros(index: Index, scored: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``ranked`` over all documents, unmatched ones with score 0, for every row (query_id) of ``queries``.
+
+    A query with fewer than k matches is filled up with the smallest ids that it lacks; they are
+    among the k smallest of all, so no document meets a query beyond those.
+    """
+    top = ranked(scored, k).select("query_id", "id", "score")
+    found = top.groupBy("query_id").agg(F.count("*").alias("found"))
+    short = queries.select("query_id").distinct().join(found, "query_id", "left").filter(F.coalesce("found", F.lit(0)) < k).select("query_id")
+    first = index.lengths.select("id").orderBy("id").limit(k)
+    fill = short.join(F.broadcast(first)).join(top, ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
+    return ranked(top.unionByName(fill.select("query_id", "id", "score")), k)
+
+
+def embedded_queries(queries: DataFrame, embed, translate=None, text: str = "query") -> DataFrame:
+    """Adds ``vector``: the query, translated for this leg only, then embedded (both column functions)."""
+    asked = F.col(text)
+    return queries.withColumn("vector", embed(translate(asked) if translate else asked))
 
 
 def vector_scores(vectors: DataFrame, query: Column, id_: str, vector: str) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times, vectors
-from ..operators import agency, claims, conversation, dataset, medallion, metrics, privacy, search
+from ..operators import agency, claims, conversation, dataset, formats, medallion, metrics, privacy, search
 from ..session import table
+from ..sources import messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,10 +60,71 @@ def _threads(spark: SparkSession, sf: str) -> DataFrame:
     return medallion.threads(table(spark, sf, "events"), "user_id", "ts", "event_id")
 
 
-@query("select min(event_id) as event_id, min(user_id) as user_id, ts, event_type, value from events where ts is not null and trim(event_type) <> '' group by ts, event_type, value")
+@query("""with m as (select ts, event_id::varchar as chat_id, user_id::varchar as sender, event_type = 'purchase' as is_me,
+case when event_id % 7 = 0 then 'ναι ' || event_type when event_id % 11 = 0 then '  ' else event_type end as text from events)
+select ts, min(chat_id) as chat_id, sender, bool_or(is_me) as is_me, case when regexp_matches(text, '[Ͱ-Ͽ]') then 'el' else 'en' end as language, text
+from m where ts is not null and trim(text) <> '' group by ts, sender, text""")
 def silver_clean_events(spark, sf):
-    rows = table(spark, sf, "events").filter("ts is not null and trim(event_type) <> ''")
-    return rows.groupBy("ts", "event_type", "value").agg(F.min("event_id").alias("event_id"), F.min("user_id").alias("user_id")).select("event_id", "user_id", "ts", "event_type", "value")
+    e = table(spark, sf, "events")
+    text = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("ναι "), "event_type")).when(F.col("event_id") % 11 == 0, "  ").otherwise(F.col("event_type"))
+    rows = e.select(F.col("ts").cast("string").alias("timestamp"), F.col("event_id").cast("string").alias("chat_id"), F.col("user_id").cast("string").alias("sender"),
+                    (F.col("event_type") == "purchase").alias("is_me"), text.alias("text"))
+    return medallion.clean(rows).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+_GOLD = """with m as (select turn, role, text, min(conv_id::varchar) as chat_id from conversations where trim(text) <> '' group by turn, role, text),
+p as (select *, lead(role) over w as next_role, lead(text) over w as response from m window w as (partition by chat_id order by turn, role, text))
+select text as instruction, response, chat_id, 1::bigint as thread_id, case when regexp_matches(text, '[Ͱ-Ͽ]') then 'el' else 'en' end as language
+from p where role <> 'assistant' and next_role = 'assistant' and length(text) >= 2 and length(response) >= 2"""
+
+
+def _gold(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as messages, a minute a turn, through silver to pairs."""
+    time = F.concat(F.lit("2024-01-01 "), F.lpad((10 + F.floor(F.col("turn") / 60)).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit(":00"))
+    rows = table(spark, sf, "conversations").select(time.alias("timestamp"), F.col("conv_id").cast("string").alias("chat_id"), F.col("role").alias("sender"), (F.col("role") == "assistant").alias("is_me"), "text")
+    return medallion.gold_pairs(medallion.silver(rows))
+
+
+@query(_GOLD)
+def gold_pairs(spark, sf):
+    return _gold(spark, sf).select("instruction", "response", "chat_id", long(F.col("thread_id")).alias("thread_id"), "language")
+
+
+@query(f"""select instruction || ' → ' || response as chunk_text, '[' || instruction || ' → ' || response || ']' as embed_text, language, chat_id, thread_id, 16::bigint as width from ({_GOLD})""")
+def gold_chunks(spark, sf):
+    rows = medallion.gold_chunks(_gold(spark, sf), translate=lambda c: F.concat(F.lit("["), c, F.lit("]")), language="en")
+    return rows.select("chunk_text", "embed_text", "language", "chat_id", long(F.col("thread_id")).alias("thread_id"), long(F.size("embedding")).alias("width"))
+
+
+@query("select count(*)::bigint as n, count(*) filter (trim(text) = '' or role = 'system')::bigint as n_invalid from conversations")
+def invalid_pairs(spark, sf):
+    rows = table(spark, sf, "conversations").select(F.col("text").alias("instruction"), F.when(F.col("role") == "system", " ").otherwise(F.lit("y")).alias("response"))
+    return messages.invalid_pairs(rows)
+
+
+@query("select conv_id, string_agg(turn, ',' order by turn) as turns from (select conv_id, turn, row_number() over (partition by conv_id order by turn desc) as k from conversations) where k <= 3 group by conv_id")
+def last_turns(spark, sf):
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("t"))
+    return rows.select("conv_id", F.array_join(F.transform(conversation.last_turns(F.col("t"), 3), lambda t: t.cast("string")), ",").alias("turns"))
+
+
+@query("select doc_id, text, n_chars from documents")
+def zip_by_position(spark, sf):
+    d = table(spark, sf, "documents")
+    return metrics.zip_checked(d.select("doc_id", "text"), d.select("doc_id", "n_chars"), "doc_id").select("doc_id", "text", "n_chars")
+
+
+@query("select event_id, round(sum(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 6) as running from events")
+def running_value(spark, sf):
+    return metrics.running_sum(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", r6(F.col("running")).alias("running"))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') as at from orders")
+def parsed_times(spark, sf):
+    """Order dates written in each of the accepted formats, and read again."""
+    texts = F.array(*(F.date_format("o_orderdate", f) for f in times.FORMATS))
+    text = F.element_at(texts, (F.pmod("o_orderkey", F.lit(len(times.FORMATS))) + 1).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", F.date_format(times.parse_time(text), "yyyy-MM-dd HH:mm").alias("at"))
 
 
 @query(_THREADS + "select event_id, user_id, thread_id from t")
@@ -210,7 +272,7 @@ from (select d.doc_id, coalesce(round(score, 9), 0) as score from d left join b
 def bm25_topk(spark, sf):
     index = search.build_index(table(spark, sf, "documents"), terms=search.query_terms(_queries(spark), "query_id", "query"))
     scored = search.scores(index, search.query_terms(_queries(spark), "query_id", "query")).withColumn("score", F.round("score", 9))
-    top = search.ranked(search.with_zero_scores(index, scored, _queries(spark)), 20)
+    top = search.ranked_with_zeros(index, scored, _queries(spark), 20)
     return top.select(F.col("id").alias("doc_id"), "rank", r6(F.col("score")).alias("score"))
 
 
@@ -338,86 +400,91 @@ def latency_percentiles(spark, sf):
     return p.select("event_type", *(r6(F.col(c)).alias(c) for c in ("mean_s", "median_s", "p95_s")), "n")
 
 
-_ACC = f"""with c as (select c.conv_id, c.turn, c.text, b.text as context from conversations c join benchmark b on b.item_id = c.conv_id % 40),
+_ACC = f"""with b as (select text as context, row_number() over (order by item_id) - 1 as k from benchmark),
+c as (select d.doc_id, d.text, b.context from documents d join b on b.k = coalesce(d.doc_id, 0) % (select count(*) from benchmark)),
 w as (select *, {_W} as w, lower(context) as ctx, array_to_string(regexp_extract_all(lower(context), '[\\p{{L}}\\p{{N}}_]+'), ' ') as cw from c)
 """
 
 
 def _accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("context"))
-    rows = table(spark, sf, "conversations")
-    return rows.join(items, F.col("conv_id") % 40 == F.col("item_id"))
+    """Every document with one benchmark item as context; from as many documents as items on, every item is used."""
+    items = table(spark, sf, "benchmark")
+    n = max(1, items.count())
+    items = items.select(F.col("text").alias("context"), (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("k"))
+    rows = table(spark, sf, "documents")
+    return rows.join(F.broadcast(items), F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(n)) == F.col("k"))
 
 
-@query(_ACC + """, g as (select conv_id, turn, cw, len(w) as n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) as g from w)
-select conv_id, turn, round(case when n < 5 then 0 else len(list_filter(g, lambda x: contains(strip_accents(cw), strip_accents(x)))) / len(g) end, 6) as overlap from g""")
+@query(_ACC + """, g as (select doc_id, cw, len(w) as n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) as g from w)
+select doc_id, round(case when n < 5 then 0 else len(list_filter(g, lambda x: contains(strip_accents(cw), strip_accents(x)))) / len(g) end, 6) as overlap from g""")
 def verbatim_overlap(spark, sf):
-    return _accuracy(spark, sf).select("conv_id", "turn", r6(metrics.verbatim_overlap(F.col("text"), F.col("context"))).alias("overlap"))
+    return _accuracy(spark, sf).select("doc_id", r6(metrics.verbatim_overlap(F.col("text"), F.col("context"))).alias("overlap"))
 
 
-@query(_ACC + """, g as (select conv_id, turn, strip_accents(ctx) as ctx, list_distinct(list_transform(list_filter(w, lambda x: length(x) >= 4), lambda x: strip_accents(x))) as g from w)
-select conv_id, turn, round(case when len(g) = 0 then 1 else len(list_filter(g, lambda x: contains(ctx, x))) / len(g) end, 6) as grounding from g""")
+@query(_ACC + """, g as (select doc_id, strip_accents(ctx) as ctx, list_distinct(list_transform(list_filter(w, lambda x: length(x) >= 4), lambda x: strip_accents(x))) as g from w)
+select doc_id, round(case when len(g) = 0 then 1 else len(list_filter(g, lambda x: contains(ctx, x))) / len(g) end, 6) as grounding from g""")
 def grounding_score(spark, sf):
-    return _accuracy(spark, sf).select("conv_id", "turn", r6(metrics.grounding_score(F.col("text"), F.col("context"))).alias("grounding"))
-
+    return _accuracy(spark, sf).select("doc_id", r6(metrics.grounding_score(F.col("text"), F.col("context"))).alias("grounding"))
 
-_CLAIMS = """list_distinct(list_concat(list_transform(regexp_extract_all(text, '\\b\\d[\\d.,:/]*\\b'), lambda x: strip_accents(lower(x))),
-    list_filter(list_transform(regexp_extract_all(text, '\\b[A-Z][a-z]{2,}\\b'), lambda x: strip_accents(lower(x))), lambda x: x not in ('and', 'the'))))"""
 
-
-@query(f"""select conv_id, turn, list_sort({_CLAIMS}) as claims_list, len({_CLAIMS})::bigint as n from conversations where regexp_matches(text, '^[\\x00-\\x7F]*$')""".replace(
-    f"list_sort({_CLAIMS}) as claims_list", f"array_to_string(list_sort({_CLAIMS}), ',') as claims_list"))
-def claim_extract(spark, sf):
-    found = T.checkable_claims(F.col("text"), ("and", "the"))
-    rows = table(spark, sf, "conversations").filter(F.col("text").rlike(r"^[\x00-\x7F]*\z"))
-    return rows.select("conv_id", "turn", F.array_join(F.sort_array(found), ",").alias("claims_list"), long(F.size(found)).alias("n"))
+def _folded(x: str) -> str:
+    return f"replace(strip_accents(lower({x})), 'ß', 'ss')"
 
 
-@query(_ACC + f""", g as (select conv_id, turn, strip_accents(ctx) as ctx, {_CLAIMS} as g from w where regexp_matches(text, '^[\\x00-\\x7F]*$'))
-select conv_id, turn, round(case when len(g) = 0 then 0 else len(list_filter(g, lambda x: not contains(ctx, x))) / len(g) end, 6) as unsupported from g""")
-def unsupported_specifics(spark, sf):
-    rows = _accuracy(spark, sf).filter(F.col("text").rlike(r"^[\x00-\x7F]*\z"))
-    return rows.select("conv_id", "turn", r6(metrics.unsupported_specifics(F.col("text"), F.col("context"), ("and", "the"))).alias("unsupported"))
+# Word boundaries in DuckDB know ASCII only: numbers are sought with every letter made an x, names among whole words.
+_CLAIMS = f"""list_distinct(list_concat(regexp_extract_all(regexp_replace(text, '[\\p{{L}}\\p{{M}}]', 'x', 'g'), '\\b\\d[\\d.,:/]*\\b'),
+    list_filter(list_transform(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'),
+    lambda x: regexp_matches(x, '^[Α-ΩΆΈΉΊΌΎΏA-Z][α-ωάέήίόύώϊϋΐΰa-z]{{2,}}$')), lambda x: {_folded('x')}), lambda x: x not in ('and', 'the'))))"""
 
 
-_ACC_ALL = f"""with b as (select text as context, row_number() over (order by item_id) - 1 as k from benchmark),
-c as (select d.doc_id, d.text, b.context from documents d join b on b.k = coalesce(d.doc_id, 0) % (select count(*) from benchmark)),
-w as (select *, {_W} as w, lower(context) as ctx, array_to_string(regexp_extract_all(lower(context), '[\\p{{L}}\\p{{N}}_]+'), ' ') as cw from c)
-"""
+@query(f"select doc_id, array_to_string(list_sort({_CLAIMS}), ',') as claims_list, len({_CLAIMS})::bigint as n from documents")
+def claim_extract(spark, sf):
+    found = T.checkable_claims(F.coalesce("text", F.lit("")), ("and", "the"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.sort_array(found), ",").alias("claims_list"), long(F.size(found)).alias("n"))
 
 
-def _accuracy_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document with one benchmark item as context; from as many documents as items on, every item is used."""
-    items = table(spark, sf, "benchmark")
-    n = max(1, items.count())
-    items = items.select(F.col("text").alias("context"), (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("k"))
-    rows = table(spark, sf, "documents")
-    return rows.join(F.broadcast(items), F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(n)) == F.col("k"))
+@query(_ACC + f""", g as (select doc_id, {_folded('ctx')} as ctx, {_CLAIMS} as g from w)
+select doc_id, round(case when len(g) = 0 then 0 else len(list_filter(g, lambda x: not contains(ctx, x))) / len(g) end, 6) as unsupported from g""")
+def unsupported_specifics(spark, sf):
+    score = metrics.unsupported_specifics(F.coalesce("text", F.lit("")), F.col("context"), ("and", "the"))
+    return _accuracy(spark, sf).select("doc_id", r6(score).alias("unsupported"))
 
 
-@query(_ACC_ALL + """, g as (select doc_id, cw, len(w) as n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) as g from w)
-select doc_id, round(case when n < 5 then 0 else len(list_filter(g, lambda x: contains(strip_accents(cw), strip_accents(x)))) / len(g) end, 6) as overlap from g""")
-def verbatim_overlap_all(spark, sf):
-    return _accuracy_all(spark, sf).select("doc_id", r6(metrics.verbatim_overlap(F.col("text"), F.col("context"))).alias("overlap"))
+@query(f"""with u as ({ORACLES['unsupported_specifics']}), v as ({ORACLES['verbatim_overlap']}), g as ({ORACLES['grounding_score']})
+select round(avg(case when unsupported > 0 then 1.0 else 0 end), 6) as unsupported_rate, round(avg(case when overlap > 0.3 then 1.0 else 0 end), 6) as verbatim_rate,
+round(avg(case when grounding < 0.5 then 1.0 else 0 end), 6) as legacy_ungrounded, round(avg(unsupported), 6) as mean_unsupported, round(avg(overlap), 6) as mean_verbatim,
+round(avg(grounding), 6) as mean_grounding, count(*)::bigint as n from u join v using (doc_id) join g using (doc_id)""")
+def accuracy_report(spark, sf):
+    text, context = F.coalesce("text", F.lit("")), F.col("context")
+    rows = _accuracy(spark, sf).select(
+        r6(metrics.unsupported_specifics(text, context, ("and", "the"))).alias("unsupported"), r6(metrics.verbatim_overlap(text, context)).alias("verbatim"),
+        r6(metrics.grounding_score(text, context)).alias("grounding"))
+    a = metrics.accuracy(rows)
+    return a.select(*(c if c == "n" else r6(F.col(c)).alias(c) for c in a.columns))
 
 
-@query(_ACC_ALL + """, g as (select doc_id, strip_accents(ctx) as ctx, list_distinct(list_transform(list_filter(w, lambda x: length(x) >= 4), lambda x: strip_accents(x))) as g from w)
-select doc_id, round(case when len(g) = 0 then 1 else len(list_filter(g, lambda x: contains(ctx, x))) / len(g) end, 6) as grounding from g""")
-def grounding_score_all(spark, sf):
-    return _accuracy_all(spark, sf).select("doc_id", r6(metrics.grounding_score(F.col("text"), F.col("context"))).alias("grounding"))
+@query(_ACC + "select count(*)::bigint as n from c where length(context) > 0 and trim(text) <> ''")
+def groundable_replies(spark, sf):
+    rows = _accuracy(spark, sf).withColumnRenamed("text", "reply")
+    return metrics.groundable(rows).agg(F.count("*").alias("n"))
 
 
-@query(None)
-def claim_extract_all(spark, sf):
-    """Claims of every document; word boundaries in SQL know ASCII letters only."""
-    found = T.checkable_claims(F.coalesce("text", F.lit("")), ("and", "the"))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.sort_array(found), ",").alias("claims_list"), long(F.size(found)).alias("n"))
+@query(f"""with w as (select item_id as id, list_distinct({_W}) as w from benchmark), v as (select * from w where len(w) > 0),
+p as (select len(list_intersect(a.w, b.w)) as shared, len(a.w) + len(b.w) as total from v a join v b on a.id < b.id)
+select (select count(*) from v)::bigint as n, round(coalesce(avg(shared / (total - shared)), 0), 6) as mean_similarity from p""")
+def mean_similarity(spark, sf):
+    m = metrics.mean_similarity(table(spark, sf, "benchmark"), "item_id", "text")
+    return m.select("n", r6(F.col("mean_similarity")).alias("mean_similarity"))
 
 
-@query(None)
-def unsupported_specifics_all(spark, sf):
-    score = metrics.unsupported_specifics(F.coalesce("text", F.lit("")), F.col("context"), ("and", "the"))
-    return _accuracy_all(spark, sf).select("doc_id", r6(score).alias("unsupported"))
+@query("""with r as (select source as model, text as reply, n_chars / 1000.0 as latency,
+((case when contains(lower(text), 'the') then 1 else 0 end) + (case when contains(lower(text), 'station') then 1 else 0 end)) / 2 as coverage from documents)
+select model, round(avg(coverage), 6) as mean_coverage, count(*) filter (coverage = 0)::bigint as non_answers, round(avg(latency), 6) as mean_latency,
+round(avg(len(list_filter(regexp_split_to_array(reply, '\\s+'), lambda x: x <> ''))) filter (trim(reply) <> ''), 6) as mean_words from r group by model""")
+def ablation_report(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("source").alias("model"), F.col("text").alias("reply"), (F.col("n_chars") / 1000).alias("latency"), metrics.term_coverage(F.col("text"), ["the", "station"]).alias("coverage"))
+    a = metrics.ablation(rows)
+    return a.select("model", "non_answers", *(r6(F.col(c)).alias(c) for c in ("mean_coverage", "mean_latency", "mean_words")))
 
 
 @query("""select event_type, count(*) filter (value < 20)::bigint as low, count(*) filter (value >= 20 and value < 60)::bigint as mid,
@@ -445,8 +512,8 @@ def scaling_report(spark, sf):
 @query("""select lang, round(avg(n_chars) filter (source = 'src0'), 6) as src0, round(avg(n_chars) filter (source = 'src1'), 6) as src1
 from documents where source in ('src0', 'src1') group by lang""")
 def side_by_side(spark, sf):
-    rows = table(spark, sf, "documents").filter("source in ('src0', 'src1')").groupBy("lang").pivot("source", ["src0", "src1"]).agg(r6(F.avg("n_chars")))
-    return rows
+    rows = metrics.side_by_side(table(spark, sf, "documents").filter("source in ('src0', 'src1')"), "lang", "source", "n_chars", ["src0", "src1"])
+    return rows.select("lang", *(r6(F.col(c)).alias(c) for c in ("src0", "src1")))
 
 
 @query("""with t as (select event_type, count(*) as n from events group by event_type)
@@ -466,10 +533,9 @@ _EMAIL = "\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b"
 _IBAN = "(?i)\\bGR\\d{2}(?:\\s?\\d){23}\\b"
 
 
-@query(f"select doc_id, regexp_replace(text, '{_EMAIL}', '[EMAIL]', 'g') as text, len(regexp_extract_all(text, '{_EMAIL}'))::bigint as n from documents where contains(text, '@')")
+@query(f"select doc_id, regexp_replace(text, '{_EMAIL}', '[EMAIL]', 'g') as text, len(regexp_extract_all(text, '{_EMAIL}'))::bigint as n from documents")
 def pii_email_mask(spark, sf):
-    rows = table(spark, sf, "documents").filter(F.contains("text", F.lit("@")))
-    return rows.select("doc_id", privacy.mask(F.col("text"), "email").alias("text"), long(privacy.count(F.col("text"), "email")).alias("n"))
+    return table(spark, sf, "documents").select("doc_id", privacy.mask(F.col("text"), "email").alias("text"), long(privacy.count(F.col("text"), "email")).alias("n"))
 
 
 @query(f"""with t as (select o_orderkey, 'pay GR' || lpad((o_orderkey % 97)::varchar, 2, '0') || lpad(o_orderkey::varchar, 23, '7') || ' now' as text from orders)
@@ -482,15 +548,13 @@ def pii_iban_mask(spark, sf):
 
 @query("""with t as (select o_orderkey, case when o_orderkey % 3 = 0 then 'call 69' || lpad((o_orderkey * 7919 % 100000000)::varchar, 8, '0') || '.'
 when o_orderkey % 3 = 1 then 'ring +30 2' || lpad((o_orderkey * 104729 % 1000000000)::varchar, 9, '0') else 'id 12345' || o_orderkey end as text from orders)
-select o_orderkey, case when o_orderkey % 3 = 0 then 'call [ΤΗΛΕΦΩΝΟ].' when o_orderkey % 3 = 1 then 'ring [ΤΗΛΕΦΩΝΟ]' else text end as masked from t
-where o_orderkey % 3 < 2 or not regexp_matches(text, '(^|\\D)(69\\d{8}|2\\d{9})(\\D|$)')""")
+select o_orderkey, case when o_orderkey % 3 = 0 then 'call [ΤΗΛΕΦΩΝΟ].' when o_orderkey % 3 = 1 then 'ring [ΤΗΛΕΦΩΝΟ]' else text end as masked from t""")
 def pii_phone_mask(spark, sf):
     key = F.col("o_orderkey")
     text = F.when(key % 3 == 0, F.concat(F.lit("call 69"), F.lpad((key * 7919 % 100000000).cast("string"), 8, "0"), F.lit("."))).when(
         key % 3 == 1, F.concat(F.lit("ring +30 2"), F.lpad((key * 104729 % 1000000000).cast("string"), 9, "0"))
     ).otherwise(F.concat(F.lit("id 12345"), key.cast("string")))
     rows = table(spark, sf, "orders").select("o_orderkey", text.alias("text"))
-    rows = rows.filter((key % 3 < 2) | ~F.col("text").rlike(r"(^|\D)(69\d{8}|2\d{9})(\D|$)"))
     return rows.select("o_orderkey", privacy.mask(F.col("text"), "phone").alias("masked"))
 
 
@@ -523,10 +587,40 @@ def affected_records(spark, sf):
     return a.select("records", "affected", r6(F.col("share")).alias("share"))
 
 
-@query("select doc_id from documents where false")
+# Numbers as whole words; text without digits cannot change the sum of nine digits.
+_NINE = "list_filter(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+'), lambda x: regexp_matches(x, '^[0-9]{9}$'))"
+
+
+@query(f"""with o as (select 'key ' || lpad((o_orderkey * 7919 % 1000000000)::varchar, 9, '0') || case when o_orderkey % 5 = 0 then ' mail a' || o_orderkey || '@b.org' else '' end as text from orders),
+n as (select 'afm' as category, count(*) filter (list_sum(list_transform(range(1, 9), lambda i: s[i]::int * (1 << (9 - i)::int))) % 11 % 10 = s[9]::int)::bigint as n
+    from (select unnest({_NINE}) as s from o)
+union all select 'email', sum(len(regexp_extract_all(text, '{_EMAIL}')))::bigint from o) select * from n where n > 0""")
 def residual_gate(spark, sf):
-    cleaned = table(spark, sf, "documents").select("doc_id", privacy.mask(F.col("text"), "email").alias("text"))
-    return cleaned.filter(privacy.count(F.col("text"), "email") > 0).select("doc_id")
+    """What remains where nothing was masked; masked texts leave nothing (tested)."""
+    key = F.col("o_orderkey")
+    mail = F.when(key % 5 == 0, F.concat(F.lit(" mail a"), key.cast("string"), F.lit("@b.org"))).otherwise("")
+    rows = table(spark, sf, "orders").select(F.concat(F.lit("key "), F.lpad((key * 7919 % 1000000000).cast("string"), 9, "0"), mail).alias("text"))
+    return privacy.residual(rows, ["text"]).select("category", long(F.col("n")).alias("n"))
+
+
+@query("""with w as (select unnest(regexp_extract_all(text, '[\\p{L}\\p{M}]+')) as token from documents),
+f as (select lower(token) as word, replace(strip_accents(lower(token)), 'ß', 'ss') as f from w)
+select word, count(*)::bigint as n from f where length(f) >= 5 and f not in ('ownown') and (starts_with(f, 'stati') or (f not in ('station', 'action') and not ends_with(f, 'ing') and ends_with(f, 'tion')))
+group by word""")
+def surname_report(spark, sf):
+    return privacy.surname_counts(table(spark, sf, "documents"), ["text"], gazetteer=("stati",), own=("ownown",), suffixes=("tion",), adjectival=("ing",), ordinary=("station",), places=("action",))
+
+
+@query("""with d as (select row_number() over () as row, text as t from documents),
+h as (select row, pos, w from (select row, unnest(range(len(x))) as pos, unnest(x) as w from (select row, regexp_extract_all(t, '\\bof ([a-z]+)', 1) as x from d))
+union select row, pos, w from (select row, unnest(range(len(x))) as pos, unnest(x) as w from (select row, regexp_extract_all(t, '\\bthe ([a-z]+)', 1) as x from d))),
+f as (select w as word, count(*)::bigint as frames from h where length(w) >= 4 group by w),
+n as (select replace(strip_accents(lower(w)), 'ß', 'ss') as word, count(*)::bigint as total from (select unnest(regexp_extract_all(t, '[\\p{L}\\p{M}]+')) as w from d) group by 1)
+select word, frames, total, round(frames / total, 6) as ratio from f left join n using (word) where frames >= 2 and word not in ('that', 'thing')""")
+def mined_names(spark, sf):
+    frames = (r"\bof ([a-z]+)", r"\bthe ([a-z]+)")
+    found = privacy.mine_surnames(table(spark, sf, "documents"), "text", frames, noise=("that",), known=("thing",))
+    return found.select("word", "frames", "total", r6(F.col("ratio")).alias("ratio"))
 
 
 _STEMS, _ENDS = ("thin", "stat", "eau"), ("e", "ion", "ing", "x")
@@ -557,26 +651,37 @@ _RULES = (
 )
 
 
+# Non-ASCII letters become underscores, so that word boundaries fall as they do among all letters.
+_ASCII = "regexp_replace({}, '[À-ÖØ-öø-ɏͰ-Ͽἀ-῿]', '_', 'g')"
+
+
 def _intent_sql() -> str:
-    out = []
+    out, words = [], []
     for k, (name, rules) in enumerate(_RULES):
         best = f"greatest({', '.join(f'case when regexp_matches(t, {chr(39)}{p}{chr(39)}) then {w} else 0 end' for p, w in rules)})"
         out.append(f"case when {best} > 0 then least({best} + {0.1 if name == 'sensitive' else 0}, 1.0) else 0 end as s{k}")
-    return f"""with x as (select conv_id, turn, text, trim(lower(coalesce(text, ''))) as t from conversations),
-s as (select *, {', '.join(out)} from x where regexp_matches(t, '^[ -~]*$') and not regexp_matches(t, '^\\s*(hi|hello|hey|good\\s)'))
-select conv_id, turn, case when t = '' or greatest(s0, s1, s2) < 0.5 then 'casual' when s0 >= s1 and s0 >= s2 then 'sensitive' when s1 >= s2 then 'schedule' else 'casual' end as intent,
-round((case when t = '' then 1 when greatest(s0, s1, s2) < 0.5 then 0.5 else greatest(s0, s1, s2) end)::double, 6) as confidence from s"""
+        found = ", ".join(f"case when regexp_matches(t, {chr(39)}{p}{chr(39)}) then regexp_extract(t, {chr(39)}{p}{chr(39)}) end" for p, _ in rules)
+        words.append(f"array_to_string(list_filter([{found}], lambda x: x is not null), ', ') as k{k}")
+    greeting = conversation.GREETING.replace("(?iU)", "(?i)")
+    edges = "regexp_replace({}, '^[ ,.!;:·—-]+|[ ,.!;:·—-]+$', '', 'g')"
+    return f"""with l as (select conv_id, turn, trim(lower(coalesce(text, ''))) as lowered from conversations),
+g as (select *, {edges.format(f"regexp_replace(lowered, '{greeting}', '', 'g')")} as rest from l),
+x as (select *, {_ASCII.format("case when rest <> '' then rest else lowered end")} as t from g),
+s as (select *, {', '.join(out)}, {', '.join(words)} from x),
+c as (select *, lowered = '' as empty, greatest(s0, s1, s2) as best from s)
+select conv_id, turn, case when empty or best < 0.5 then 'casual' when s0 = best then 'sensitive' when s1 = best then 'schedule' else 'casual' end as intent,
+round((case when empty then 1 when best < 0.5 then 0.5 else best end)::double, 6) as confidence,
+case when empty then 'Empty message' when best < 0.5 then 'No strong pattern match → casual (no retrieval)'
+when s0 = best then 'Matched sensitive patterns: ' || k0 when s1 = best then 'Matched schedule patterns: ' || k1 else 'Matched casual patterns: ' || k2 end as explanation from c"""
 
 
 def _intents(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.trim(F.lower(F.coalesce("text", F.lit(""))))
-    rows = table(spark, sf, "conversations").filter(t.rlike(r"^[ -~]*\z") & ~t.rlike(r"^\s*(hi|hello|hey|good\s)"))
-    return rows.withColumn("i", conversation.intent(F.col("text"), _RULES, greeting=r"^\z"))
+    return table(spark, sf, "conversations").withColumn("i", conversation.intent(F.col("text"), _RULES))
 
 
-@query(_intent_sql().replace("trim(lower(coalesce(text, '')))", "regexp_replace(trim(lower(coalesce(text, ''))), '^[ ,.!;:—-]+|[ ,.!;:—-]+$', '', 'g')"))
+@query(_intent_sql())
 def intent_classify(spark, sf):
-    return _intents(spark, sf).select("conv_id", "turn", "i.intent", r6(F.col("i.confidence")).alias("confidence"))
+    return _intents(spark, sf).select("conv_id", "turn", "i.intent", r6(F.col("i.confidence")).alias("confidence"), conversation.explanation(F.col("i")).alias("explanation"))
 
 
 @query("select intent, count(*)::bigint as n, round(avg(confidence), 6) as mean_confidence from (" + ORACLES["intent_classify"] + ") group by intent")
@@ -584,19 +689,30 @@ def intent_counts(spark, sf):
     return _intents(spark, sf).groupBy("i.intent").agg(F.count("*").alias("n"), r6(F.avg("i.confidence")).alias("mean_confidence"))
 
 
-def _intents_all(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").withColumn("i", conversation.intent(F.col("text"), _RULES))
+@query("select conv_id, turn, case intent when 'sensitive' then 0 when 'casual' then 3 when 'schedule' then 5 end::int as branch, case when turn % 2 = 0 then intent else 'off' end as gated from (" + ORACLES["intent_classify"] + ")")
+def intent_routes(spark, sf):
+    i = F.col("i.intent")
+    return _intents(spark, sf).select("conv_id", "turn", conversation.route(i).alias("branch"), conversation.gate(F.col("turn") % 2 == 0, i, F.lit("off")).alias("gated"))
 
 
-@query(None)
-def intent_classify_all(spark, sf):
-    """The rules of ``intent_classify`` with the greeting rule, over all turns."""
-    return _intents_all(spark, sf).select("conv_id", "turn", "i.intent", r6(F.col("i.confidence")).alias("confidence"))
+@query("""select conv_id, turn, case when regexp_matches(text, '^[A-M]') then 'early' when contains(text, ',') then 'comma' else 'none' end as rule,
+case when contains(lower(text), 'station') or contains(lower(text), 'the') then 'work' when contains(lower(text), 'und') then 'home' end as section from conversations""")
+def first_rules(spark, sf):
+    rows = table(spark, sf, "conversations")
+    return rows.select("conv_id", "turn", conversation.first_rule(F.col("text"), (("^[A-M]", "early"), (",", "comma")), "none").alias("rule"),
+                       conversation.section_for(F.col("text"), (("work", ("station", "The")), ("home", ("und",)))).alias("section"))
 
 
-@query(None)
-def intent_counts_all(spark, sf):
-    return _intents_all(spark, sf).groupBy("i.intent").agg(F.count("*").alias("n"), r6(F.avg("i.confidence")).alias("mean_confidence"))
+@query("""select conv_id, turn, case when trim(text) = '' then 'empty' when contains(lower(text), 'station') then 'refusal' when contains(text, '!') then 'problems'
+when not contains(replace(strip_accents(lower(text)), 'ß', 'ss'), 'the') and not contains(replace(strip_accents(lower(text)), 'ß', 'ss'), 'de') then 'expected term missing'
+when len(regexp_split_to_array(trim(text), '\\s+')) < 5 then 'too short' end as reason,
+case when contains(text, 'statio') then 'refusal' when contains(text, '!') then 'confabulated' else 'clean' end as accuracy, contains(text, ',') as answered from conversations""")
+def reply_verdicts(spark, sf):
+    text = F.col("text")
+    problems = F.filter(F.array(F.when(F.contains(text, F.lit("!")), F.lit("bang"))), lambda x: x.isNotNull())
+    hits = F.filter(F.array(F.when(F.contains(text, F.lit(",")), F.lit("comma"))), lambda x: x.isNotNull())
+    v = claims.verdict(text, problems, hits, 2, "statio")
+    return table(spark, sf, "conversations").select("conv_id", "turn", claims.unusable(text, F.contains(F.lower(text), F.lit("station")), problems, ("the", "de")).alias("reason"), v["accuracy"].alias("accuracy"), v["answered"].alias("answered"))
 
 
 @query(None)
@@ -617,24 +733,13 @@ def intent_sources_budget(spark, sf):
     return out.select(F.col("request_id.conv_id").alias("request_id"), "request_id.part", "context", "total_words", F.array_join("dropped", ",").alias("dropped"))
 
 
-@query("""select conv_id, turn, upper(t[1]) || t[2:] as text from (select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(
-regexp_replace(text, '\\([a-z_]+\\)', '', 'g'), '(?i)\\bof\\b\\s*', '', 'g'), '^\\s+|\\s+$', '', 'g'), '\\s{2,}', ' ', 'g') as t from conversations)
-where not regexp_matches(t, '[.!?]\\s')""")
+@query("""select conv_id, turn, array_to_string(list_transform(string_split(regexp_replace(t, '([.!?]\\s{1,9})([\\p{L}\\p{M}\\p{N}_])', '\\1' || chr(1) || '\\2', 'g'), chr(1)),
+lambda p: upper(p[1]) || p[2:]), '') as text from (select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(
+regexp_replace(text, '\\([a-z_]+\\)', '', 'g'), '(?i)\\bof\\b\\s*', '', 'g'), '^\\s+|\\s+$', '', 'g'), '\\s{2,}', ' ', 'g') as t from conversations)""")
 def guardrail_pipeline(spark, sf):
-    rows = _guarded(spark, sf).filter(~F.col("t").rlike(r"[.!?]\s"))
-    return rows.select("conv_id", "turn", T.capitalise_sentences(F.col("t")).alias("text"))
-
-
-def _guarded(spark: SparkSession, sf: str) -> DataFrame:
     step = conversation.strip_impolite(conversation.strip_emoji_names(F.col("text")), ("of",))
     step = F.regexp_replace(F.regexp_replace(step, r"^\s+|\s+\z", ""), r"\s{2,}", " ")
-    return table(spark, sf, "conversations").select("conv_id", "turn", step.alias("t"))
-
-
-@query(None)
-def guardrail_pipeline_all(spark, sf):
-    """The steps of ``guardrail_pipeline`` over all turns, also those of several sentences."""
-    return _guarded(spark, sf).select("conv_id", "turn", T.capitalise_sentences(F.col("t")).alias("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.capitalise_sentences(step).alias("text"))
 
 
 @query(None)
@@ -651,21 +756,186 @@ def length_check(spark, sf):
     return rows.select("doc_id", "c.text", long(F.col("c.original_length")).alias("original_length"), "c.truncated")
 
 
-@query("""with t as (select conv_id, turn, text || chr(10) || 'On Monday you wrote:' || chr(10) || '> ' || text as body from conversations where not contains(text, chr(10)))
-select conv_id, turn, regexp_replace(split_part(body, chr(10) || 'On Monday', 1), '^\\s+|\\s+$', '', 'g') as text from t""")
+@query("""with t as (select conv_id, turn, text || chr(10) || 'On Monday you wrote:' || chr(10) || '> ' || text as body from conversations)
+select conv_id, turn, regexp_replace(regexp_replace(body, '(?sm)^(?:\\s*>|On [^\\n]{5,80} wrote:\\s*$|-{2,}\\s*Original Message|\\s*--\\s*$).*', ''), '^\\s+|\\s+$', '', 'g') as text from t""")
 def strip_quoted(spark, sf):
-    return _unquoted(table(spark, sf, "conversations").filter(~F.contains("text", F.lit("\n"))))
+    body = F.concat(F.col("text"), F.lit("\nOn Monday you wrote:\n> "), F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.strip_quoted(body).alias("text"))
 
 
-def _unquoted(rows: DataFrame) -> DataFrame:
-    body = F.concat(F.col("text"), F.lit("\nOn Monday you wrote:\n> "), F.col("text"))
-    return rows.select("conv_id", "turn", T.strip_quoted(body).alias("text"))
+@query("""select doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!;?·])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda s: trim(s) <> ''))::bigint as n_sentences,
+len(regexp_extract_all(text, '[\\p{L}\\p{M}]+'))::bigint as n_runs, strip_accents(text) as bare,
+regexp_matches(replace(strip_accents(lower(text)), 'ß', 'ss'), '(^|[^a-z0-9])the([^a-z0-9]|$)') as mentions_the from documents""")
+def text_measures(spark, sf):
+    text = F.col("text")
+    return table(spark, sf, "documents").select(
+        "doc_id", long(F.size(T.sentences_with_ends(text))).alias("n_sentences"), long(F.size(T.letter_runs(text))).alias("n_runs"), T.strip_accents(text).alias("bare"),
+        T.mentions("the", T.fold(text)).alias("mentions_the"))
 
 
-@query(None)
-def strip_quoted_all(spark, sf):
-    """As ``strip_quoted``, also for texts of several lines, which can hold quotes of their own."""
-    return _unquoted(table(spark, sf, "conversations"))
+@query("""with r as (select conv_id, turn, substr(regexp_extract(text, '[\\p{L}\\p{M}]+'), 1, 24) as n, text, role from conversations)
+select conv_id, turn, upper(n[1]) || lower(n[2:]) as name, role || chr(10) || text as lines,
+array_to_string(list_filter(string_split(regexp_replace(text, '([.!;?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: not contains(s, 'the')), ' ') as without_the from r""")
+def clean_names(spark, sf):
+    text = F.col("text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.clean_name(text).alias("name"), T.clipped_lines(F.col("role"), F.lit(""), F.lit(None).cast("string"), text).alias("lines"),
+                                                    claims.without_sentences(text, "the").alias("without_the"))
+
+
+def _trim_sql(budget: int) -> str:
+    """Of the marks, the last that fits counts; a cut at a sentence's end needs none."""
+    words = "len(list_filter(regexp_split_to_array(trim({}), '\\s+'), lambda x: x <> ''))"
+    out = "cut || '…'"
+    for k, mark in enumerate(("? ", "! ", "· ", ". ")):
+        out = f"case when contains(cut, '{mark}') and {words.format(f'h{k}')} >= {budget // 2} then h{k} || '{mark.strip()}' else {out} end"
+    heads = ", ".join(f"regexp_extract(cut, '(?s)^(.*)[{m}] ', 1) as h{k}" for k, m in enumerate("?!·."))
+    return f"""with w as (select conv_id, turn, text, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') as w from conversations),
+c as (select *, array_to_string(w[1:{budget}], ' ') as cut from w), h as (select *, {heads} from c)
+select conv_id, turn, case when len(w) <= {budget} then text when regexp_matches(cut, '[.·!;?]$') then cut else {out} end as text from h"""
+
+
+@query(_trim_sql(12))
+def trimmed_words(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.trim_to_words(F.col("text"), 12).alias("text"))
+
+
+@query("""with r as (select conv_id, turn, text, role, row_number() over (partition by conv_id order by turn) as k from conversations)
+select conv_id, 'ΠΡΟΣΦΑΤΑ EMAILS:' || chr(10) || string_agg('- ' || turn || ': ' || case when role = 'system' then 'Χωρίς θέμα' else role end || ' (από ' || role || ') — ' || text, chr(10) order by turn) as context
+from r where k <= 5 group by conv_id""")
+def email_lines(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.col("turn").cast("string").alias("date"), F.when(F.col("role") != "system", F.col("role")).alias("subject"), F.col("role").alias("sender"), F.col("text").alias("snippet"))
+    return formats.emails(rows, ["conv_id"], "turn")
+
+
+@query(f"""with p as (select *, row_number() over (partition by conv_id order by turn) as k from ({_PAIRS}))
+select conv_id as query_id, string_agg('Q: ' || instruction || chr(10) || 'A: ' || response, chr(10) || '---' || chr(10) order by turn) as context from p where k <= 3 group by conv_id""")
+def retrieved_context(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = _pairs(spark, sf).select(F.col("conv_id").alias("query_id"), F.row_number().over(w).alias("rank"), "instruction", "response")
+    return search.conversation_context(rows)
+
+
+# Greek literals -------------------------------------------------------------------------------
+# The tables hold no Greek: each turn takes one of the texts by its number, and the expected results stand beside them.
+
+
+def _literal(texts) -> Column:
+    at = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(texts))) + 1
+    return F.element_at(F.array(*map(F.lit, texts)), at.cast("int"))
+
+
+def _given(spark: SparkSession, sf: str, texts) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", "turn", _literal(texts).alias("text"))
+
+
+def _expected(**columns) -> str:
+    def value(v) -> str:
+        return "null" if v is None else str(v).lower() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
+
+    lists = ", ".join(f"[{', '.join(map(value, v))}][(conv_id + turn) % {len(v)} + 1] as {c}" for c, v in columns.items())
+    return f"select conv_id, turn, {lists} from conversations"
+
+
+_STEPS = {
+    "gap": (conversation.strip_placeholders, {
+        "μίλησα με τον [NAME] χθες": "μίλησα χθες", "πήγα στον [NAME].": "πήγα στον.", "και ο [NAME] είναι εδώ": "και είναι εδώ", "Ναι [NAME]": "Ναι",
+        "όλα καλά": "όλα καλά", "ναι" + "," * 40 + "!": "ναι!",
+    }),
+    "vocative": (conversation.strip_vocatives, {"έλα ρε φίλε, τι κάνεις": "έλα ρε, τι κάνεις", "ναι μεγάλε!": "ναι!", "όλα καλά": "όλα καλά"}),
+    "leading": (conversation.strip_leading_name, {"Χρηστο τι κάνεις": "τι κάνεις", "τι χρηστο": "τι χρηστο"}),
+    "softened": (conversation.soften, {"τι μαλάκα είναι αυτό": "τι φίλε είναι αυτό", "αυτό γαμησες είναι": "αυτό είναι", "καλά": "καλά"}),
+    "polite": (lambda c: conversation.strip_impolite(c), {"έλα ρε εδώ": "έλα εδώ", "αρεστό": "αρεστό"}),
+    "accented": (conversation.restore_accents, {"Λοιπόν ειναι ναι": "Λοιπόν είναι ναι", "ΕΧΩ, κανεις": "έχω, κάνεις", "όχι": "όχι"}),
+    "technical": (lambda c: conversation.technical_question(c), {"τι τεχνολογίες χρησιμοποίησες": True, "τι κάνεις": False, "με ποιο framework": True}),
+    "formal": (lambda c: conversation.sanitise_output(c, F.lit("academic")), {"έλα φίλε, μίλησα με τον [NAME] χθες": "έλα, μίλησα χθες", "όλα καλά": "όλα καλά"}),
+    "reply": (lambda c: conversation.guarded_reply(c)["reply"], {"πάρε 6912345678": "Πάρε [ΤΗΛΕΦΩΝΟ]", "όλα καλά. ναι": "Όλα καλά. Ναι"}),
+    "pii_filtered": (lambda c: conversation.guarded_reply(c)["pii_filtered"], {"πάρε 6912345678": True, "όλα καλά. ναι": False}),
+}
+
+
+@query(_expected(**{name: cases.values() for name, (_, cases) in _STEPS.items()}))
+def guardrail_steps(spark, sf):
+    rows = table(spark, sf, "conversations")
+    return rows.select("conv_id", "turn", *(step(_literal(list(cases))).alias(name) for name, (step, cases) in _STEPS.items()))
+
+
+_PRIVATE = {
+    "το ΑΒ 123456 και το Χ123456": "το [ΤΑΥΤΟΤΗΤΑ] και το [ΤΑΥΤΟΤΗΤΑ]", "ΑΦΜ 090000045 όχι 090000044": "ΑΦΜ [ΑΦΜ] όχι 090000044",
+    "ΑΜΚΑ 01018012345, 99998012345": "ΑΜΚΑ [ΑΜΚΑ], 99998012345", "πάρε 6912345678 ή +30 2101234567": "πάρε [ΤΗΛΕΦΩΝΟ] ή [ΤΗΛΕΦΩΝΟ]",
+    "ο Μάριος Αβγουλάς είπε": "ο [ΟΝΟΜΑ] είπε", "γράψε στο a.b@c.gr": "γράψε στο [EMAIL]", "τίποτα εδώ": "τίποτα εδώ",
+}
+
+
+@query(_expected(text=_PRIVATE.values()))
+def sanitised_texts(spark, sf):
+    return _given(spark, sf, list(_PRIVATE)).select("conv_id", "turn", privacy.sanitise(F.col("text")).alias("text"))
+
+
+_REGISTERS = {"Καθηγητής": "academic", "η επιβλέπουσά μου": "academic", "συνάδελφος": "professional", "HR": "professional", "ο κολλητός": "close", "μαμά": "close", "γείτονας": "neutral", "": "neutral"}
+
+
+@query(_expected(register=_REGISTERS.values()))
+def registers(spark, sf):
+    return _given(spark, sf, list(_REGISTERS)).select("conv_id", "turn", conversation.register(F.col("text")).alias("register"))
+
+
+def _prompt(register: str, name: str, grounded: bool) -> str:
+    label, words, how = conversation.REGISTER_STYLE[register]
+    who = [f"ΣΥΝΟΜΙΛΗΤΗΣ: Σου μιλάει ο/η {name} — {label.lower()}. Μπορείς να τον προσφωνήσεις με το όνομά του, χωρίς υπερβολή."] if name else []
+    facts = ["", "ALL" if words >= 18 else "BRIEF", conversation.REMINDER] if grounded else []
+    return "\n".join(["ID", *who, f"ΥΦΟΣ: {how}", f"ΜΗΚΟΣ: Γύρω στις {words} λέξεις. Μην ξεπερνάς αισθητά αυτό το μήκος.", "RULES", *facts])
+
+
+_LISTENERS = (("close", "νίκος", "τι κάνεις", "Νίκος", False), ("academic", "", "τι κάνεις", "", True), ("neutral", "42", "τι τεχνολογίες χρησιμοποίησες", "", True), ("professional", "ANNA!", "γεια", "Anna", True))
+
+
+@query(_expected(prompt=[_prompt(r, clean, g) for r, _, _, clean, g in _LISTENERS]))
+def prompts(spark, sf):
+    rows = _given(spark, sf, ["|".join(x[:3]) for x in _LISTENERS]).withColumn("p", F.split("text", r"\|"))
+    return rows.select("conv_id", "turn", conversation.prompt_for(F.col("p")[0], F.col("p")[1], F.col("p")[2], "ID", "RULES", "ALL", "BRIEF").alias("prompt"))
+
+
+_GLOSSES = {
+    "RAG (Retrieval-Augmented Generation)": "", "το RAG; δεν ξέρω": "", "PEFT (PyTorch Elastic Framework)": "Το PEFT δεν σημαίνει «pytorch elastic framework» — είναι parameter-efficient",
+    "Το RAG? είναι ένα σύστημα αξιολόγησης": "Το RAG δεν σημαίνει «ένα σύστημα αξιολόγησης» — είναι retrieval-augmented", "TRL για transformer reinforcement learning": "",
+}
+
+
+@query(_expected(issues=_GLOSSES.values()))
+def acronym_glosses(spark, sf):
+    return _given(spark, sf, list(_GLOSSES)).select("conv_id", "turn", F.array_join(claims.acronyms(F.col("text")), "|").alias("issues"))
+
+
+_DENIED = {"χρησιμοποίησα mongo": "no store", "δεν χρησιμοποίησα mongo": "", "Δεν ξέρω. Χρησιμοποίησα mongo!": "no store", "το django και η mongodb": "no store|no web", "τίποτα": ""}
+
+
+@query(_expected(issues=_DENIED.values()))
+def denied_statements(spark, sf):
+    rules = ((r"\bmongo\w*", "no store"), (r"\bdjango\w*", "no web"))
+    return _given(spark, sf, list(_DENIED)).select("conv_id", "turn", F.array_join(claims.denied(F.col("text"), rules), "|").alias("issues"))
+
+
+_CANONICAL = {"Spark-3.5": "spark", "spark": "spark", "Spar.k": "spark", "n8n": "n8n", "Ray2a": "ray", "other": "", "Duck_DB": "duckdb"}
+
+
+@query(_expected(name=_CANONICAL.values()))
+def canonical_names(spark, sf):
+    return _given(spark, sf, list(_CANONICAL)).select("conv_id", "turn", claims.canonical_name(F.col("text"), ("spark", "n8n", "ray", "duckdb")).alias("name"))
+
+
+@query("""with w as (select k, n from (values ('γιαννησ', 0), ('μαριασ', 1), ('ζωη', 2)) v(n, k)), c as (select (conv_id + turn) % 4 as k from conversations)
+select n as word, count(*)::bigint as n from c join w using (k) group by word""")
+def audited_names(spark, sf):
+    rows = _given(spark, sf, ["ο Γιάννης ήρθε", "της ΜΑΡΊΑΣ", "Ζωή", "Παρασκευή και καλά"])
+    return privacy.audit_names(rows, ["text"])
+
+
+_FIRST = {"εγώ πάω": True, "το σκέφτομαι": True, "κάτω από εδώ": False, "πήγαμε όλοι": False, "θέλω κάτι": True, "η φωνή μου": True}
+
+
+@query(_expected(first=_FIRST.values()))
+def first_person_replies(spark, sf):
+    return _given(spark, sf, list(_FIRST)).select("conv_id", "turn", T.first_person(T.fold(F.col("text"))).alias("first"))
 
 
 @query("""select p_partkey, list_filter(['brass', 'copper', 'steel'], lambda n: regexp_matches(lower(p_type), '(^|[^a-z0-9])' || n || '([^a-z0-9]|$)')
@@ -732,6 +1002,18 @@ def briefing_text(spark, sf):
     return agency.briefing(_signals(spark, sf), ["user_id"], "event_id", _now())
 
 
+@query(_SIG + """, b as (select user_id, sum(weight) as s, string_agg(case urgency when 4 then '!' when 3 then '⏱' else '→' end || ' ' || summary, chr(10) order by weight desc, event_id) as body from f group by user_id),
+m as (select distinct user_id from events where user_id % 3 = 0),
+x as (select coalesce(b.user_id, m.user_id) as user_id, coalesce(s, 0) as s, body, m.user_id is not null as gone from b full join m on b.user_id = m.user_id)
+select user_id, case when gone then 'spoke_degraded' when s >= 3.0 then 'spoke' else 'silent_below_threshold' end as status,
+case when gone or s >= 3.0 then 'Καλημέρα. Σάββατο 20 Ιανουαρίου.' || coalesce(chr(10) || chr(10) || body, '') || case when not gone then '' when body is not null
+then chr(10) || chr(10) || 'Δεν μπόρεσα να δω τα email, το ημερολόγιο — μπορεί να μου ξεφεύγει κάτι.' else chr(10) || chr(10) || 'Δεν μπόρεσα να δω τα email, το ημερολόγιο, οπότε δεν ξέρω αν έχεις κάτι σήμερα.' end else '' end as text from x""")
+def briefing_degraded(spark, sf):
+    """Every third user's mail and calendar could not be read."""
+    gone = table(spark, sf, "events").filter("user_id % 3 = 0").select("user_id").distinct().withColumn("source", F.explode(F.array(F.lit("email"), F.lit("calendar"))))
+    return agency.briefing(_signals(spark, sf), ["user_id"], "event_id", _now(), missing=gone)
+
+
 @query("""select event_id as id, event_type as message, case when event_id % 5 = 0 then 'fixed' else event_type || '!' end as response from events
 where event_id % 3 - 1 = 1""")
 def feedback_export(spark, sf):

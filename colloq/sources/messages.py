@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import fold_text
 from ..functions.times import iso_time
 
 MESSAGE = "timestamp string, chat_id string, sender string, is_me boolean, text string"
@@ -56,12 +59,19 @@ def invalid_pairs(rows: DataFrame) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """doc_id, text, metadata of valid pairs in file order, the first ``most`` of them."""
-    from ..operators.medallion import normalised_pairs
-
-    rows = normalised_pairs(read_pairs(spark, path)).withColumn("index", F.monotonically_increasing_id())
+    """doc_id, text, metadata of valid pairs in file order, the first ``most`` of them.
+
+    The file must be a JSON list. ``metadata.index`` is a pair's place in it, invalid ones counted.
+    """
+    heads = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim(F.regexp_replace("value", r"^[\s\uFEFF]+", "")), 1, 1).alias("c"))
+    if not heads.filter("c <> '['").isEmpty():
+        raise ValueError(f"{path}: expected a JSON list")
+    rows = read_pairs(spark, path).withColumn("index", F.monotonically_increasing_id())
+    have = set(rows.columns)
+    side = lambda c: F.coalesce(*(F.nullif(F.col(x), F.lit("")) for x in (f"{c}_clean", c) if x in have), F.lit(None).cast("string"))
+    rows = rows.select("index", side("instruction").alias("instruction"), side("response").alias("response")).filter("instruction is not null and response is not null")
     rows = rows.select(
-        F.concat(F.lit("pair_"), F.col("index")).alias("doc_id"), F.concat_ws(" → ", "instruction", "response").alias("text"),
+        F.concat(F.lit("pair_"), F.col("index")).alias("doc_id"), F.concat_ws("\n", "instruction", "response").alias("text"),
         F.struct("index", "instruction", "response").alias("metadata"))
     return rows.orderBy("metadata.index").limit(most) if most is not None else rows
 
@@ -84,6 +94,30 @@ def read_fields(rows: DataFrame, fields: list[str]) -> DataFrame:
     return rows.select(F.explode(F.array(*(F.coalesce(F.col(f), F.lit("")) for f in fields))).alias("text"))
 
 
+def read_config(path: str):
+    """A YAML file as nested dicts and lists; see ``lookup`` and ``flatten``."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return yaml.safe_load(f)
+
+
+def read_gazetteer(paths: list[str | None], variable: str | None = None) -> tuple[str, ...]:
+    """Folded terms of the first list that is there: the file that the environment variable names, else one of ``paths``.
+
+    No list at all is no error; ``gazetteer_status`` says so.
+    """
+    for path in (os.environ.get(variable) if variable else None, *paths):
+        if path and os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                return tuple(sorted({fold_text(line.strip()) for line in f if line.strip() and not line.startswith("#")}))
+    return ()
+
+
+def gazetteer_status(terms: tuple[str, ...]) -> str:
+    return f"{len(terms)} confirmed surname stems loaded" if terms else "no surname gazetteer: only distinctive endings are detected"
+
+
 def lookup(tree: dict, path: str, default=None):
     """A value of a nested configuration by dotted path."""
     for key in path.split("."):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,6 +33,37 @@ def export(df: DataFrame, source: str, path: str) -> int:
     return write_jsonl(df, path, "overwrite")
 
 
-def log(df: DataFrame, path: str) -> None:
-    """Append rows to a JSON log."""
+def create_as(spark: SparkSession, table: str, query: str) -> None:
+    """Create or replace a managed table from a query, which may chain common table expressions."""
+    replace(spark.sql(query), table)
+
+
+def write_json_array(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One file with a JSON list, an element a line; rows stream through one writer and are never held together."""
+    lines = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    numbered = lines.withColumn("_i", F.monotonically_increasing_id())
+    first = numbered.agg(F.min("_i").alias("_first"))
+    body = numbered.join(F.broadcast(first)).select(F.concat(F.when(F.col("_i") == F.col("_first"), "").otherwise(","), F.col("value")).alias("value"))
+    mark = lambda c: df.sparkSession.range(1).select(F.lit(c).alias("value"))
+    mark("[").unionAll(body).unionAll(mark("]")).coalesce(1).write.mode(mode).text(path)
+
+
+def log(df: DataFrame, path: str) -> int:
+    """Append rows to a JSON log; the number of lines that it holds then."""
     df.write.mode("append").json(path)
+    return df.sparkSession.read.text(path).count()
+
+
+def append_history(df: DataFrame, path: str) -> DataFrame:
+    """Append entries to a history with their number in it (``entry``, from 0); the whole history, in order.
+
+    A history grows by a few entries a run; it is read, numbered on, and appended to.
+    """
+    spark = df.sparkSession
+    try:
+        before = spark.read.json(path).count()
+    except AnalysisException:
+        before = 0
+    w = Window.orderBy(F.monotonically_increasing_id())
+    df.withColumn("entry", (F.row_number().over(w) - 1 + before).cast("long")).write.mode("append").json(path)
+    return spark.read.json(path).orderBy("entry")

@@ -45,8 +45,13 @@ def test_bm25(spark):
     q = spark.createDataFrame([(1, "σκύλος")], "query_id long, query string")
     assert [r.id for r in search.bm25_top(docs, q, 3).collect()] == [0]
     index = search.build_index(docs)
-    every = search.with_zero_scores(index, search.scores(index, search.query_terms(q, "query_id", "query")), q)
-    assert [r.id for r in search.ranked(every, 3).orderBy("rank").collect()] == [0, 1, 2]
+    scored = search.scores(index, search.query_terms(q, "query_id", "query"))
+    assert [r.id for r in search.ranked_with_zeros(index, scored, q, 3).orderBy("rank").collect()] == [0, 1, 2]
+    assert [r.id for r in search.ranked_with_zeros(index, scored, q, 1).collect()] == [0]
+    many = spark.range(1500).selectExpr("id as query_id", "if(id = 7, 'γάτα english', 'nothing') as query")
+    top = search.ranked_with_zeros(index, search.scores(index, search.query_terms(many, "query_id", "query")), many, 2).collect()
+    assert len(top) == 3000 and [r.id for r in sorted(top, key=lambda r: r.rank) if r.query_id == 7] == [2, 1]
+    assert {(r.rank, r.id) for r in top if r.query_id != 7} == {(1, 0), (2, 1)}
 
 
 def test_index_saved_and_loaded(spark, tmp_path):
@@ -219,7 +224,7 @@ def test_claim_checks(spark):
     rules = [(r"gpt-?4", "no commercial model"), (r"django", "other framework")]
     assert one(spark, "χρησιμοποιεί GPT-4", lambda x: claims.denied(x, rules)) == ["no commercial model"]
     assert one(spark, "δεν χρησιμοποιεί GPT-4", lambda x: claims.denied(x, rules)) == []
-    assert one(spark, "LoRA (Long Range)", lambda x: claims.acronyms(x, {"LoRA": ["low-rank"]})) == ["LoRA: long range"]
+    assert one(spark, "LoRA (Long Range)", lambda x: claims.acronyms(x, {"LoRA": ["low-rank"]})) == ["Το LoRA δεν σημαίνει «long range» — είναι low-rank"]
     assert one(spark, "LoRA (Low-Rank Adaptation)", lambda x: claims.acronyms(x, {"LoRA": ["low-rank"]})) == []
     assert one(spark, "React και Docker", lambda x: claims.unsupported_names(x, F.lit("docker"), ["react", "docker"])) == ["react"]
     assert one(spark, "Node.js", lambda x: claims.canonical_name(x, ["nodejs"])) == "nodejs" and one(spark, "python3.11", lambda x: claims.canonical_name(x, ["python"])) == "python"
@@ -257,3 +262,30 @@ def test_training_sets(spark):
     assert dataset.oversample(f, f.limit(2)).count() == 106
     assert "[INST] a [/INST] b" in one(spark, "a", lambda x: dataset.template(x, F.lit("b"), "mistral"))
     assert dataset.effective_batch(4, 8, 2) == 64
+
+
+def test_nothing_remains_after_the_masks(spark):
+    rows = spark.createDataFrame([("ΑΦΜ 090000045 mail a@b.gr τηλ 6912345678",), (None,)], "text string")
+    assert {r.category for r in privacy.residual(rows, ["text"]).collect()} == {"afm", "email", "phone"}
+    assert privacy.residual(privacy.sanitise_records(rows, ["text"]), ["text"]).isEmpty()
+    with pytest.raises(ValueError):
+        privacy.gate(privacy.audit_names(spark.createDataFrame([("ο Γιάννης",)], "text string"), ["text"]))
+    privacy.gate(privacy.audit_names(spark.createDataFrame([("την Παρασκευή",)], "text string"), ["text"]))
+
+
+def test_translation_is_for_the_vector_leg_alone(spark):
+    q = spark.createDataFrame([(1, "γάτα")], "query_id long, query string")
+    r = search.embedded_queries(q, lambda c: F.array(F.length(c).cast("double")), lambda c: F.concat(c, F.lit("!"))).first()
+    assert (r.query, r.vector) == ("γάτα", [5.0])
+    assert search.embedded_queries(q, lambda c: F.array(F.length(c).cast("double"))).first().vector == [4.0]
+
+
+def test_half_even(spark):
+    got = spark.createDataFrame([(0.5,), (1.5,), (2.5,), (-0.5,)], "x double").select(metrics.rounded(F.col("x"), 0)).collect()
+    assert [r[0] for r in got] == [0.0, 2.0, 2.0, -0.0]
+
+
+def test_clean_verified_writes_only_clean_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("ο Παπαδόπουλος ήρθε",), ("καλά",)], "text string")
+    privacy.clean_verified(rows, ["text"], f"{tmp_path}/out")
+    assert sorted(r.text for r in spark.read.json(f"{tmp_path}/out").collect()) == ["καλά", "ο [SURNAME] ήρθε"]

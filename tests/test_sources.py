@@ -30,7 +30,7 @@ def test_pairs_corpus_terms(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps(rows))
     found = messages.read_pairs(spark, str(tmp_path / "p.json"))
     assert tuple(messages.invalid_pairs(found).first()) == (4, 2)
-    assert [r.text for r in messages.read_corpus(spark, str(tmp_path / "p.json"), 1).collect()] == ["a → b"]
+    assert [r.text for r in messages.read_corpus(spark, str(tmp_path / "p.json"), 1).collect()] == ["a\nb"]
     (tmp_path / "t.txt").write_text("# names\nΑ\n\n Β \n")
     assert [r.term for r in messages.read_terms(spark, str(tmp_path / "t.txt")).collect()] == ["Α", "Β"]
 
@@ -121,3 +121,50 @@ def test_suppression_and_backlog_streams(spark, tmp_path):
     (tmp_path / "log" / "a.json").write_text('{"rating": -1}\n{"rating": 1, "correction": "c"}\n{"rating": 1}\n')
     run_to_memory(streams.pending_count(spark, str(tmp_path / "log")), "pending", "complete")
     assert tuple(spark.table("pending").first()) == (2, 3)
+
+
+def test_corpus_must_be_a_list(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps({"instruction": "a", "response": "b"}))
+    with pytest.raises(ValueError, match="JSON list"):
+        messages.read_corpus(spark, str(tmp_path / "p.json"))
+    rows = [{"instruction": "a"}, {"instruction": "a", "instruction_clean": "x", "response": "b"}, {"instruction": "c", "response": ""}, {"instruction": "e", "response": "f"}]
+    (tmp_path / "q.json").write_text("\n " + json.dumps(rows))
+    found = messages.read_corpus(spark, str(tmp_path / "q.json")).collect()
+    assert [(r.metadata["index"], r.doc_id, r.text) for r in found] == [(1, "pair_1", "x\nb"), (3, "pair_3", "e\nf")]
+
+
+def test_config_and_gazetteer(tmp_path, monkeypatch):
+    (tmp_path / "c.yaml").write_text("a:\n  b: [1, x]\n")
+    assert messages.lookup(messages.read_config(str(tmp_path / "c.yaml")), "a.b") == [1, "x"]
+    (tmp_path / "one.txt").write_text("# c\nΠαπά\n\nΆλφα\n")
+    (tmp_path / "two.txt").write_text("βήτα\n")
+    assert messages.read_gazetteer([None, str(tmp_path / "none"), str(tmp_path / "one.txt")]) == ("αλφα", "παπα")
+    monkeypatch.setenv("NAMES_FILE", str(tmp_path / "two.txt"))
+    assert messages.read_gazetteer([str(tmp_path / "one.txt")], "NAMES_FILE") == ("βητα",)
+    assert messages.gazetteer_status(messages.read_gazetteer([])).startswith("no surname gazetteer")
+    assert messages.gazetteer_status(("α",)).startswith("1 ")
+
+
+def test_jsonl_and_fields(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text('{"timestamp": "t", "chat_id": "c", "sender": "s", "is_me": true, "text": "x"}\n{"text": null}\n')
+    rows = messages.read_jsonl(spark, str(tmp_path / "m.jsonl"))
+    assert rows.count() == 2 and rows.columns == ["timestamp", "chat_id", "sender", "is_me", "text"]
+    assert sorted(r.text for r in messages.read_fields(rows, ["text", "sender"]).collect()) == ["", "", "s", "x"]
+
+
+def test_json_array_log_and_history(spark, tmp_path):
+    rows = spark.range(0, 50, 1, 4).selectExpr("id", "if(id = 3, null, concat('a\"', id)) as t")
+    sinks.write_json_array(rows, f"{tmp_path}/a")
+    (part,) = [p for p in (tmp_path / "a").iterdir() if p.name.startswith("part")]
+    assert json.loads(part.read_text()) == [{"id": i, "t": None if i == 3 else f'a"{i}'} for i in range(50)]
+    sinks.write_json_array(rows.limit(0), f"{tmp_path}/b")
+    assert json.loads(next(p for p in (tmp_path / "b").iterdir() if p.name.startswith("part")).read_text()) == []
+    assert sinks.log(rows, f"{tmp_path}/log") == 50 and sinks.log(rows.limit(2), f"{tmp_path}/log") == 52
+    sinks.append_history(rows.filter("id = 7"), f"{tmp_path}/h")
+    assert [(r.entry, r.id) for r in sinks.append_history(rows.filter("id = 9"), f"{tmp_path}/h").collect()] == [(0, 7), (1, 9)]
+
+
+def test_table_from_a_query(spark):
+    for n in (1, 2):
+        sinks.create_as(spark, "made_from_a_query", f"with a as (select {n} as x), b as (select x + 1 as y from a) select y from b")
+        assert [r.y for r in spark.table("made_from_a_query").collect()] == [n + 1]

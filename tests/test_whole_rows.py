@@ -56,11 +56,11 @@ def intent(text):
 
 def test_intents_of_all_turns(spark, place):
     want = [(c, t, *intent(x)) for c, t, _, x in turns(spark, place)]
-    same(map(tuple, registry.QUERIES["intent_classify_all"](spark, place).collect()), want)
+    same(map(tuple, registry.QUERIES["intent_classify"](spark, place).drop("explanation").collect()), want)
     groups = defaultdict(list)
     for *_, name, confidence in want:
         groups[name].append(confidence)
-    found = {r.intent: (r.n, r.mean_confidence) for r in registry.QUERIES["intent_counts_all"](spark, place).collect()}
+    found = {r.intent: (r.n, r.mean_confidence) for r in registry.QUERIES["intent_counts"](spark, place).collect()}
     assert found == {k: (len(v), pytest.approx(sum(v) / len(v), abs=1e-6)) for k, v in groups.items()}
 
 
@@ -75,7 +75,7 @@ def test_guardrails_of_all_turns(spark, place):
         text = re.sub(r"\bof\b\s*", "", re.sub(r"\([a-z_]+\)", "", text).strip(), flags=re.I)
         return capitalised(re.sub(r"\s{2,}", " ", text.strip()))
 
-    found = registry.QUERIES["guardrail_pipeline_all"](spark, place).collect()
+    found = registry.QUERIES["guardrail_pipeline"](spark, place).collect()
     same(map(tuple, found), [(c, t, guarded(x)) for c, t, _, x in turns(spark, place)])
 
 
@@ -86,7 +86,7 @@ def test_quotes_of_all_turns(spark, place):
         lines = f"{text}\nOn Monday you wrote:\n> {text}".split("\n")
         return "\n".join(lines[: next(i for i, x in enumerate(lines) if mark.match(x))]).strip(" \t\n\x0b\f\r")
 
-    found = registry.QUERIES["strip_quoted_all"](spark, place).collect()
+    found = registry.QUERIES["strip_quoted"](spark, place).collect()
     same(map(tuple, found), [(c, t, None if x is None else own(x)) for c, t, _, x in turns(spark, place)])
 
 
@@ -106,7 +106,7 @@ def claims(text):
 def test_claims_of_all_documents(spark, place):
     docs = [tuple(r) for r in spark.read.parquet(f"{place}/documents.parquet").select("doc_id", "text").collect()]
     items = [r.text for r in spark.read.parquet(f"{place}/benchmark.parquet").orderBy("item_id").collect()]
-    found = registry.QUERIES["claim_extract_all"](spark, place).collect()
+    found = registry.QUERIES["claim_extract"](spark, place).collect()
     same(map(tuple, found), [(i, ",".join(sorted(claims(x or ""))), len(claims(x or ""))) for i, x in docs])
     want, used = [], set()
     for i, x in docs:
@@ -114,4 +114,4 @@ def test_claims_of_all_documents(spark, place):
         used.add(k)
         want.append((i, round(sum(c not in T.fold_text(items[k]) for c in own) / len(own), 6) if own else 0.0))
     assert used == set(range(len(items)))
-    same(map(tuple, registry.QUERIES["unsupported_specifics_all"](spark, place).collect()), want)
+    same(map(tuple, registry.QUERIES["unsupported_specifics"](spark, place).collect()), want)
