@@ -33,6 +33,8 @@ GRIDS = {
     "long_words": (30.0, 25.0, 20.0, 17.0, 15.0, 13.0, 12.0),
 }
 
+#: Places of windows that share a number with 40 bits of their hash.
+_PLACES = 1 << 24
 _SPACE = "[ \\\\x09-\\\\x0D]+"
 
 
@@ -43,18 +45,20 @@ def features(docs: DataFrame) -> DataFrame:
         f"filter(split(coalesce(text, ''), '{_SPACE}'), w -> w <> '') as words",
         "filter(split(coalesce(text, ''), '\\n'), x -> x rlike '[^ \\\\x09-\\\\x0D]') as lines",
     )
-    # Windows sorted by hash, then text: equal ones stand side by side, in n log n for any text.
+    # A window is a number: 40 bits of its hash above its place. Sorted, windows of one hash stand side by
+    # side; only those with a neighbour are compared by their texts. Beyond 2**24 words all are compared.
     rows = rows.selectExpr(
-        "doc_id", "stratum", "size(words) as n", "length(array_join(words, '')) as word_chars",
+        "doc_id", "stratum", "words", "size(words) as n", "length(array_join(words, '')) as word_chars",
         "regexp_count(text, '[#*$%&|<>]') as n_symbols", "regexp_count(text, '[!]') as n_bangs",
         "size(lines) as n_lines", "size(lines) - size(array_distinct(lines)) as n_dup_lines",
-        "if(size(words) < 3, array(), transform(slice(words, 1, greatest(size(words) - 2, 0)), "
-        "(w, i) -> concat(w, ' ', words[i + 1], ' ', words[i + 2]))) as windows",
+        "if(size(words) < 3, cast(array() as array<bigint>), sort_array(transform(slice(words, 1, greatest(size(words) - 2, 0)), "
+        f"(w, i) -> (xxhash64(w, words[i + 1], words[i + 2]) & {-_PLACES}L) | cast(i % {_PLACES} as bigint)))) as ordered",
     )
-    rows = rows.withColumn("ordered", F.expr("sort_array(transform(windows, (t, i) -> struct(xxhash64(t) as h, t as t, i as i)))"))
+    near = f"filter(ordered, (v, j) -> (j > 0 and ((v ^ ordered[j - 1]) & {-_PLACES}L) = 0) or (j < size(ordered) - 1 and ((v ^ ordered[j + 1]) & {-_PLACES}L) = 0))"
+    rows = rows.withColumn("places", F.expr(f"if(n > {_PLACES}, sequence(0, greatest(n - 3, 0)), transform({near}, v -> cast(v & {_PLACES - 1}L as int)))"))
+    rows = rows.withColumn("found", F.expr("sort_array(transform(places, i -> struct(concat_ws(' ', words[i], words[i + 1], words[i + 2]) as t, i as i)))"))
     rows = rows.withColumn("twice", F.expr(
-        "filter(ordered, (s, j) -> (j > 0 and ordered[greatest(j - 1, 0)].h = s.h and ordered[greatest(j - 1, 0)].t = s.t) "
-        "or (j < size(ordered) - 1 and ordered[least(j + 1, size(ordered) - 1)].h = s.h and ordered[least(j + 1, size(ordered) - 1)].t = s.t))"))
+        "filter(found, (s, j) -> (j > 0 and found[j - 1].t = s.t) or (j < size(found) - 1 and found[j + 1].t = s.t))"))
     rows = rows.withColumn("n_repeat_words", F.expr("size(array_distinct(flatten(transform(twice, s -> array(s.i, s.i + 1, s.i + 2)))))"))
     ratio = "coalesce(try_divide(cast({} as double), cast({} as double)), 0D)"
     return rows.selectExpr(

@@ -190,7 +190,10 @@ def plain_counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
 
 
-def test_quality_counts(spark, odd_docs, empty_docs):
+@pytest.mark.parametrize("places", [1 << 24, 4, 1 << 62])
+def test_quality_counts(spark, odd_docs, empty_docs, monkeypatch, places):
+    """The same counts where all windows are compared (more words than places) and where hashes collide (2 bits)."""
+    monkeypatch.setattr(quality, "_PLACES", places)
     labels = spark.createDataFrame([(1, None, 0), (None, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     found = {r.doc_id: r for r in quality.judge(odd_docs, labels).collect()}
     assert len(found) == odd_docs.count()
