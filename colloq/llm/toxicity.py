@@ -6,8 +6,8 @@ epoch over a bounded sample of labelled documents with per-coordinate rates and
 penalties; L1 leaves few non-zero weights, which are what is broadcast.
 
 The sample is ``TRAIN_ROWS`` labelled documents at most, those with the smallest hash of doc_id,
-with all features of their whole texts. It is written and streamed to the driver once per epoch,
-one of ``TRAIN_PARTS`` parts at a time.
+with all features of their whole texts. They come to the driver as Arrow, each row's features as
+compressed differences (about 2 kB a document), and only one row is unpacked at a time.
 
 Defined results: a null or empty text has no features and is scored by the bias alone; with no
 labelled rows all scores are (nearly) 0; documents with several labels count once for each; null labels
@@ -23,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, smallest, written
+from .common import fold_of, smallest
 
 BITS = 20
-TRAIN_ROWS, TRAIN_PARTS = 20_000, 16
+TRAIN_ROWS = 20_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2.0, 1.0
 THRESHOLD = 0.3
@@ -80,24 +81,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [features(text.as_py() or "").astype(np.int32).tobytes() for text in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["h", "toxic", "f"])
+            out = [zstandard.compress(np.diff(features(text.as_py() or ""), prepend=0).astype("<i4").tobytes(), 3) for text in batch.column(2)]
+            tie = pa.array(list(map(zlib.crc32, out)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tie, pa.array(out, pa.binary())], ["h", "toxic", "tie", "f"])
 
     ids = F.col("doc_id").cast("long")
     known = labels.select(ids.alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
     chosen = smallest(known, rows, "toxicity")
     texts = docs.select(ids.alias("doc_id"), "text")
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("h", "toxic", "text").mapInArrow(extract, "h long, toxic int, f binary")
-    order = ["h", "toxic", "f"]
-    rows_ = written(sample, "toxicity").repartitionByRange(TRAIN_PARTS, "h").sortWithinPartitions(*order)
-    model, seen = Ftrl(), 0
-    for _ in range(EPOCHS):
-        for r in rows_.toLocalIterator():
-            model.learn(np.frombuffer(r.f, np.int32), r.toxic)
-            seen += 1
-    if not seen:
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("h", "toxic", "text").mapInArrow(extract, "h long, toxic int, tie long, f binary")
+    found = sample.toArrow()
+    h, toxic, tie = (found.column(c).to_numpy() for c in ("h", "toxic", "tie"))
+    order = np.lexsort((tie, toxic, h)).tolist()
+    if not order:
         return np.array([1 << BITS]), np.array([-700.0])
+    model, packed = Ftrl(), found.column("f")
+    for _ in range(EPOCHS):
+        for i in order:
+            model.learn(np.cumsum(np.frombuffer(zstandard.decompress(packed[i].as_py()), "<i4")), int(toxic[i]))
     w = model.weights(slice(None))
     keep = np.flatnonzero(w)
     return keep, w[keep]
