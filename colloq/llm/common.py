@@ -106,6 +106,13 @@ def smallest(rows: DataFrame, wanted: int, salt: str) -> DataFrame:
     return marked.filter(below(F.col("h"), wanted, F.lit(float(max(n, 1))))).orderBy("h", *rows.columns).limit(wanted)
 
 
+def slices(batches, rows: int):
+    """The batches in pieces of at most ``rows`` rows."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, rows):
+            yield whole.slice(k, rows)
+
+
 def words_of(text: str, lower: bool = False) -> list[bytes]:
     """Maximal runs without space, tab, LF, VT, FF, CR, as UTF-8; ``lower`` lowers A-Z only."""
     data = text.encode("utf-8", "surrogatepass")

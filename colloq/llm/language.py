@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import below, fold_of, hashed, written
+from .common import below, fold_of, hashed, slices, written
 
 BITS = 12
 ROWS_PER_LANGUAGE, TRAIN_ROWS = 500, 16_000
@@ -178,12 +178,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                lang, value, flag = _judge(shared.value, batch.column(2))
-                arrays = [*batch.columns[:2], pa.array(lang.tolist(), pa.string()), pa.array(value), pa.array(flag.astype(bool))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
+        for batch in slices(batches, 256):
+            lang, value, flag = _judge(shared.value, batch.column(2))
+            arrays = [*batch.columns[:2], pa.array(lang.tolist(), pa.string()), pa.array(value), pa.array(flag.astype(bool))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     held = (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text")
@@ -196,10 +194,8 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                lang, _, flag = _judge(shared.value, batch.column(at))
-                yield batch.filter(pa.array(((lang != UNKNOWN) & ~flag).astype(bool)))
+        for batch in slices(batches, 256):
+            lang, _, flag = _judge(shared.value, batch.column(at))
+            yield batch.filter(pa.array(((lang != UNKNOWN) & ~flag).astype(bool)))
 
     return docs.mapInArrow(run, docs.schema)
