@@ -5,7 +5,7 @@ pre-token pattern can cross such a cut, so the ids of a text are the ids of its
 one after another, and a spaced word need be encoded only once per worker. Pre-tokens are then
 merged by the library's own model. A text that holds the content of an added token (such as
 ``<|endoftext|>``) goes through the library whole, which gives that token its own id. Ids are kept
-as little-endian uint16 (all vocabularies here have fewer than 65,536 ids).
+as little-endian uint16; a vocabulary with an id of 65,536 or more is refused with ValueError.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import re
 from array import array
 from operator import attrgetter
 
-#: Spaced words that one worker remembers (about 100 MB); later ones are encoded again.
-MEMO_WORDS = 400_000
+#: Spaced words that one worker remembers (about 80 MB); later ones are encoded again.
+MEMO_WORDS = 300_000
 #: Words longer than this are encoded but never remembered.
 MEMO_CHARS = 64
 
@@ -58,11 +58,20 @@ class Memo(dict):
         super().__init__()
         self.encode_word = encode_word
         self.added = encode_word.added
+        self.line = encode_word("\n")
+        self.marks = {c: encode_word(c) for c in ".,!|?;:"}
 
     def __missing__(self, word: str) -> bytes:
         if word == " " or word[:1] == " " and word[1:2].isspace():
             raise _Unsafe
-        ids = self.encode_word(word)
+        if "\n" in word and len(parts := word.split("\n")) == 2 and all(parts) and not (parts[0][-1].isspace() or parts[1][0].isspace()):
+            # A single line break between non-spaces is a pre-token of its own; such words hardly come again.
+            return self[parts[0]] + self.line + self[parts[1]]
+        mark = self.marks.get(word[-1:])
+        if mark and (last := word[-2:-1]).isalnum() and last < "ɐ" and last != "İ" and (stem := self.get(word[:-1])):
+            ids = stem + mark  # a mark after a letter or digit is a pre-token of its own
+        else:
+            ids = self.encode_word(word)
         if len(self) < MEMO_WORDS and len(word) <= MEMO_CHARS:
             self[word] = ids
         return ids
@@ -79,7 +88,7 @@ class Memo(dict):
                 return b"".join(map(self.__getitem__, text.replace(" ", _MARK + " ").split(_MARK)))
             except _Unsafe:
                 pass
-        return b"".join([self.get(w) or self.encode_word(w) for w in _CUT.split(text)])
+        return b"".join([self.encode_word(w) for w in _CUT.split(text)])
 
 
 _ID = attrgetter("id")
@@ -96,6 +105,8 @@ class _LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        if max(self.library.get_vocab(with_added_tokens=True).values(), default=0) >= 1 << 16:
+            raise ValueError(f"{path}: ids beyond 16 bits")
         added = self.library.get_added_tokens_decoder().values()
         if any(t.normalized for t in added):
             raise ValueError(f"{path}: added tokens that match normalized text")
@@ -120,8 +131,15 @@ class _LibraryEncoder:
     def whole(self, text: str) -> bytes:
         return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def spaced(self, word: str) -> str:
+        """The model's letters for a space and ASCII letters after it."""
+        raise NotImplementedError
+
     def __call__(self, word: str) -> bytes:
-        if not word.isascii() and (max(word) >= "ɐ" or "İ" in word):
+        if word.isascii():
+            if word[:1] == " " and word[1:].isalpha():
+                return array("H", map(_ID, self.tokenize(self.spaced(word)))).tobytes()
+        elif (max(word) >= "ɐ" or "İ" in word):
             return self.whole(word)
         ids = []
         for p in self.pieces(word):
@@ -132,6 +150,9 @@ class _LibraryEncoder:
 class ByteLevelEncoder(_LibraryEncoder):
     """Byte-level BPE: a space belongs to the word after it."""
 
+    def spaced(self, word: str) -> str:
+        return "Ġ" + word[1:]
+
     def pieces(self, word: str) -> list[str]:
         if word[:1] == " ":
             if word[1:].isalpha():
@@ -148,6 +169,9 @@ class WordEndEncoder(_LibraryEncoder):
     U+0130, which goes through the library.
     """
 
+    def spaced(self, word: str) -> str:
+        return word[1:].lower()
+
     def pieces(self, word: str) -> list[str]:
         word = word.lower()
         if word[:1] == " ":
