@@ -14,8 +14,9 @@ import re
 from array import array
 from operator import attrgetter
 
-#: Spaced words that one worker remembers (about 80 MB); later ones are encoded again.
-MEMO_WORDS = 300_000
+#: Spaced words that one worker remembers (about 250 bytes each); later ones are encoded again. Where
+#: other operators share the workers, as in a pipeline that packs, the memo is smaller.
+MEMO_WORDS = {"byte": 300_000, "word": 400_000}
 #: Words longer than this are encoded but never remembered.
 MEMO_CHARS = 64
 
@@ -54,9 +55,9 @@ def byte_letters() -> dict[int, str]:
 class Memo(dict):
     """Spaced word -> its ids as bytes."""
 
-    def __init__(self, encode_word):
+    def __init__(self, encode_word, most: int):
         super().__init__()
-        self.encode_word = encode_word
+        self.encode_word, self.most = encode_word, most
         self.added = encode_word.added
         self.line = encode_word("\n")
         self.marks = {c: encode_word(c) for c in ".,!|?;:"}
@@ -72,7 +73,7 @@ class Memo(dict):
             ids = stem + mark  # a mark after a letter or digit is a pre-token of its own
         else:
             ids = self.encode_word(word)
-        if len(self) < MEMO_WORDS and len(word) <= MEMO_CHARS:
+        if len(self) < self.most and len(word) <= MEMO_CHARS:
             self[word] = ids
         return ids
 
@@ -139,7 +140,7 @@ class _LibraryEncoder:
         if word.isascii():
             if word[:1] == " " and word[1:].isalpha():
                 return array("H", map(_ID, self.tokenize(self.spaced(word)))).tobytes()
-        elif (max(word) >= "ɐ" or "İ" in word):
+        elif max(word) >= "ɐ" or "İ" in word:
             return self.whole(word)
         ids = []
         for p in self.pieces(word):
@@ -189,5 +190,5 @@ def memo(kind: str, path: str) -> Memo:
     """This worker's memo for a vocabulary file; ``kind`` is ``byte`` or ``word``."""
     if (kind, path) not in _MEMOS:
         encoder = {"byte": ByteLevelEncoder, "word": WordEndEncoder}[kind]
-        _MEMOS[kind, path] = Memo(encoder(path))
+        _MEMOS[kind, path] = Memo(encoder(path), MEMO_WORDS[kind])
     return _MEMOS[kind, path]
