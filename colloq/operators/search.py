@@ -13,6 +13,9 @@ from ..functions.vectors import cosine, doubles
 #: Saturation, length normalisation, fusion constant, similarity gate.
 K1, B, RRF_K, GATE = 1.5, 0.75, 60, 0.62
 
+#: Query terms that are broadcast at most (about 50 MB); more are joined by a shuffle.
+BROADCAST_TERMS = 500_000
+
 
 @dataclass
 class Index:
@@ -44,7 +47,10 @@ def build_index(docs: DataFrame, id_: str = "doc_id", text: str = "text", terms:
     rows = docs.select(F.col(id_).alias("id"), tokens.alias("tokens"))
     exploded = rows.select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
     if terms is not None:
-        exploded = exploded.join(terms.select("term").distinct(), "term", "left_semi")
+        wanted = terms.select("term").distinct()
+        # Counted first: a bounded list goes to every task, so that tokens not asked for are never shuffled.
+        few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        exploded = exploded.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
     postings = exploded.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
