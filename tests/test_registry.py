@@ -36,7 +36,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_other_queries_run(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() >= 0
+    assert registry.QUERIES[name](spark, SF).count() > 0
 
 
 def test_flagship(spark):
