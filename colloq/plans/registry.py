@@ -1,13 +1,10 @@
 """Registered queries over the driver tables, each beside its DuckDB equivalent.
 
-A query is registered with ``@query(sql)``; its name is the function's. Floats are rounded to six
-digits, since engines add in different orders.
+Floats are rounded to six digits, since engines add in different orders.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,36 +13,8 @@ from ..functions import times, vectors
 from ..operators import agency, claims, conversation, dataset, formats, medallion, metrics, privacy, search
 from ..session import table
 from ..sources import messages
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
-
-
-def r6(c: Column) -> Column:
-    return F.round(c, 6)
-
-
-def long(c: Column) -> Column:
-    return c.cast("long")
-
+from . import literals, round_trips  # noqa: F401 - they register their queries
+from .catalog import ORACLES, QUERIES, expected as _expected, given as _given, literal as _literal, long, oracle_sql, queries, query, r6  # noqa: F401
 
 # Sessions and pairs ---------------------------------------------------------------------------
 
@@ -819,23 +788,6 @@ def retrieved_context(spark, sf):
 # The tables hold no Greek: each turn takes one of the texts by its number, and the expected results stand beside them.
 
 
-def _literal(texts) -> Column:
-    at = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(texts))) + 1
-    return F.element_at(F.array(*map(F.lit, texts)), at.cast("int"))
-
-
-def _given(spark: SparkSession, sf: str, texts) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", _literal(texts).alias("text"))
-
-
-def _expected(**columns) -> str:
-    def value(v) -> str:
-        return "null" if v is None else str(v).lower() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
-
-    lists = ", ".join(f"[{', '.join(map(value, v))}][(conv_id + turn) % {len(v)} + 1] as {c}" for c, v in columns.items())
-    return f"select conv_id, turn, {lists} from conversations"
-
-
 _STEPS = {
     "gap": (conversation.strip_placeholders, {
         "μίλησα με τον [NAME] χθες": "μίλησα χθες", "πήγα στον [NAME].": "πήγα στον.", "και ο [NAME] είναι εδώ": "και είναι εδώ", "Ναι [NAME]": "Ναι",
@@ -938,10 +890,9 @@ def first_person_replies(spark, sf):
     return _given(spark, sf, list(_FIRST)).select("conv_id", "turn", T.first_person(T.fold(F.col("text"))).alias("first"))
 
 
-@query("""select p_partkey, list_filter(['brass', 'copper', 'steel'], lambda n: regexp_matches(lower(p_type), '(^|[^a-z0-9])' || n || '([^a-z0-9]|$)')
-and not contains(lower(p_name), n)) as names from part""".replace("select p_partkey, list_filter", "select p_partkey, array_to_string(list_filter").replace(") as names", "), ',') as names"))
+@query("""select p_partkey, array_to_string(list_filter(['economy', 'small', 'standard', 'promo'], lambda n: contains(lower(p_type), n) and not contains(lower(p_name), n)), ',') as names from part""")
 def unsupported_names(spark, sf):
-    found = claims.unsupported_names(F.col("p_type"), F.regexp_replace("p_name", "[^a-z]+", " "), ("brass", "copper", "steel"))
+    found = claims.unsupported_names(F.col("p_type"), F.col("p_name"), ("economy", "small", "standard", "promo"))
     return table(spark, sf, "part").select("p_partkey", F.array_join(found, ",").alias("names"))
 
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN_DIR: str | None = None
+
 #: Adaptive execution chooses join strategies and splits skewed partitions at run time.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,3 +25,40 @@ def session(name: str = "colloq", **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where the session names neither, one of our own, but in local mode only: on a cluster a folder
+    of this machine would be another one on each executor, so that is an error.
+    """
+    global _OWN_DIR
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    directory = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if directory.isDefined():
+        return str(directory.get()).rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if _OWN_DIR is None:
+        _OWN_DIR = "file://" + tempfile.mkdtemp(prefix="colloq-")
+    return _OWN_DIR
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session may have ended; nothing depends on it
+        pass
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there goes when the interpreter ends."""
+    path = f"{shared_dir(spark)}/colloq-{tag}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path

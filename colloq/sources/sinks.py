@@ -39,13 +39,13 @@ def create_as(spark: SparkSession, table: str, query: str) -> None:
 
 
 def write_json_array(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One file with a JSON list, an element a line; rows stream through one writer and are never held together."""
-    lines = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    numbered = lines.withColumn("_i", F.monotonically_increasing_id())
-    first = numbered.agg(F.min("_i").alias("_first"))
-    body = numbered.join(F.broadcast(first)).select(F.concat(F.when(F.col("_i") == F.col("_first"), "").otherwise(","), F.col("value")).alias("value"))
-    mark = lambda c: df.sparkSession.range(1).select(F.lit(c).alias("value"))
-    mark("[").unionAll(body).unionAll(mark("]")).coalesce(1).write.mode(mode).text(path)
+    """One file with a JSON list, an element a line, in the order of ``df``; its one writer sorts, and spills, on its disk."""
+    numbered = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).withColumn("_i", F.monotonically_increasing_id())
+    comma = F.when(F.row_number().over(Window.orderBy("_i")) == 1, "").otherwise(",")
+    body = numbered.select(F.concat(comma, "value").alias("value"), "_i")
+    mark = lambda c, at: df.sparkSession.range(1).select(F.lit(c).alias("value"), F.lit(at).cast("long").alias("_i"))
+    lines = mark("[", -1).unionAll(body).unionAll(mark("]", (1 << 63) - 1))
+    lines.coalesce(1).sortWithinPartitions("_i").select("value").write.mode(mode).text(path)
 
 
 def log(df: DataFrame, path: str) -> int:

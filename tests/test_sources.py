@@ -157,6 +157,9 @@ def test_json_array_log_and_history(spark, tmp_path):
     sinks.write_json_array(rows, f"{tmp_path}/a")
     (part,) = [p for p in (tmp_path / "a").iterdir() if p.name.startswith("part")]
     assert json.loads(part.read_text()) == [{"id": i, "t": None if i == 3 else f'a"{i}'} for i in range(50)]
+    sinks.write_json_array(rows.orderBy(F.desc("id")).select("id"), f"{tmp_path}/c")
+    (part,) = [p for p in (tmp_path / "c").iterdir() if p.name.startswith("part")]
+    assert [x["id"] for x in json.loads(part.read_text())] == list(range(49, -1, -1))
     sinks.write_json_array(rows.limit(0), f"{tmp_path}/b")
     assert json.loads(next(p for p in (tmp_path / "b").iterdir() if p.name.startswith("part")).read_text()) == []
     assert sinks.log(rows, f"{tmp_path}/log") == 50 and sinks.log(rows.limit(2), f"{tmp_path}/log") == 52
