@@ -29,6 +29,8 @@ _LATIN_PATTERN = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 )
 _LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+#: Characters whose lower-case or composed form is the library's business.
+_BEYOND = re.compile("[İɐ-\U0010ffff]")
 _CUT = re.compile(r"(?= \S)")
 
 
@@ -84,6 +86,7 @@ class Memo(dict):
         for token in self.added:
             if token in text:
                 return self.encode_word.whole(text)
+        text = self.encode_word.normal(text)
         if _MARK not in text:
             try:
                 return b"".join(map(self.__getitem__, text.replace(" ", _MARK + " ").split(_MARK)))
@@ -129,6 +132,10 @@ class _LibraryEncoder:
     def pieces(self, word: str) -> list[str]:
         raise NotImplementedError
 
+    def normal(self, text: str) -> str:
+        """A text of fewer different words with the same ids."""
+        return text
+
     def whole(self, text: str) -> bytes:
         return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -170,6 +177,9 @@ class WordEndEncoder(_LibraryEncoder):
     U+0130, which goes through the library.
     """
 
+    def normal(self, text: str) -> str:
+        return text if _BEYOND.search(text) else text.lower()
+
     def spaced(self, word: str) -> str:
         return word[1:].lower()
 
