@@ -2,50 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: str | None = None
+from ..session import scratch, shared_dir  # noqa: F401 - the tests of this subpackage ask for the folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
-
-    Where the session names neither, one of our own, but in local mode only: on a cluster a folder
-    of this machine would be another one on each executor, so that is an error.
-    """
-    global _OWN_DIR
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    directory = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if directory.isDefined():
-        return str(directory.get()).rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if _OWN_DIR is None:
-        _OWN_DIR = "file://" + tempfile.mkdtemp(prefix="colloq-")
-    return _OWN_DIR
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001 - the session may have ended; nothing depends on it
-        pass
-
-
 def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back: lineage ends here.
 
@@ -56,9 +22,8 @@ def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     if path is not None:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    path = f"{shared_dir(spark)}/colloq-{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
