@@ -104,8 +104,8 @@ def contains_any(folded: Column, markers: Sequence[str]) -> Column:
 
 
 def count_chars(text: Column, ranges: str) -> Column:
-    """Characters of a regular-expression class body."""
-    return F.regexp_count(text, F.lit(f"[{ranges}]"))
+    """Characters of a regular-expression class body; whole runs are matched, far fewer than characters."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{ranges}]+", ""))
 
 
 GREEK = "Ͱ-Ͽἀ-῿"
@@ -123,14 +123,15 @@ FIRST_PERSON_PRONOUNS = ("εγω", "μου", "μενα", "μας", "εμεις")
 
 
 def first_person(folded: Column) -> Column:
-    """First-person singular by inflection (-ω, -μαι) or pronoun."""
+    """First-person singular by inflection (-ω, -μαι) or pronoun; a text without ω and μ, which all have, is not split."""
     tokens = F.regexp_extract_all(folded, F.lit(r"(?U)\w+"), 0)
     verb = F.exists(
         tokens,
         lambda w: ((F.endswith(w, F.lit("ω")) & (F.length(w) >= 3)) | (F.endswith(w, F.lit("μαι")) & (F.length(w) >= 5)))
         & ~w.isin(*OMEGA_EXCEPTIONS),
     )
-    return verb | F.exists(tokens, lambda w: w.isin(*FIRST_PERSON_PRONOUNS))
+    found = verb | F.exists(tokens, lambda w: w.isin(*FIRST_PERSON_PRONOUNS))
+    return F.when(F.contains(folded, F.lit("ω")) | F.contains(folded, F.lit("μ")), found).when(folded.isNotNull(), F.lit(False))
 
 
 #: Capitalised words that start sentences and name nothing.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,7 +56,11 @@ def style_profile(rows: DataFrame, keys: Sequence[str] = (), text: str = "text",
         rate(F.col("first")).alias("first_person_rate"), rate(F.col("tell")).alias("assistant_tell_rate"), F.count("*").alias("n_samples"),
     )
     vocabulary = usable.select(*keys, F.explode(tokens).alias("word")).distinct().groupBy(*keys).agg(F.count("*").alias("_types"))
-    joined = means.join(vocabulary, list(keys), "left") if keys else means.crossJoin(F.broadcast(vocabulary))
+    if keys:
+        types = vocabulary.select("_types", *(F.col(k).alias(f"_{k}") for k in keys))
+        joined = means.join(types, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), "left")
+    else:
+        joined = means.crossJoin(F.broadcast(vocabulary))
     ratio = F.coalesce(F.try_divide(F.col("_types"), F.col("_words")), F.lit(0.0))
     return joined.select(*keys, *(ratio.alias(c) if c == "type_token_ratio" else F.col(c) for c in STYLE_WEIGHTS), "n_samples")
 

@@ -79,6 +79,12 @@ def profile(spark, texts):
     return metrics.style_profile(spark.createDataFrame([(t,) for t in texts], "text string"))
 
 
+def test_style_profile_of_a_null_group(spark):
+    rows = spark.createDataFrame([(None, "one two two"), ("g", "θέλω τρία"), ("g", None)], "k string, text string")
+    found = {r.k: (round(r.type_token_ratio, 6), r.first_person_rate, r.n_samples) for r in metrics.style_profile(rows, ["k"]).collect()}
+    assert found == {None: (0.666667, 0.0, 1), "g": (1.0, 1.0, 1)}
+
+
 def test_style(spark):
     human, tool = profile(spark, HUMAN).first(), profile(spark, ASSISTANT).first()
     assert human.first_person_rate == 1.0 and human.assistant_tell_rate == 0 and tool.assistant_tell_rate == 1.0 and human.greek_ratio == 1.0
