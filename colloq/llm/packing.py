@@ -41,11 +41,11 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
-    """One row per piece of every document."""
+def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, memo_words: int = spaced_words.MEMO_WORDS) -> DataFrame:
+    """One row per piece of every document; a worker remembers the ids of ``memo_words`` spaced words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = spaced_words.memo("byte", vocabulary).encode
+        encode = spaced_words.memo("byte", vocabulary, memo_words).encode
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -143,9 +143,12 @@ def _pack_groups(rows: DataFrame, groups: int, round_: int, capacity: int) -> Da
     return rows.withColumn("grp", salt).groupBy("grp").applyInArrow(pack, _PACKED)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
-    """Pack all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = written(pieces(docs, vocabulary, end_id, capacity), "pieces")
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, memo_words: int = spaced_words.MEMO_WORDS) -> DataFrame:
+    """Pack all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    ``memo_words`` is smaller where other operators share the workers' memory.
+    """
+    cut = written(pieces(docs, vocabulary, end_id, capacity, memo_words), "pieces")
     full = cut.filter(F.col("length") == capacity).select(
         "*", (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )

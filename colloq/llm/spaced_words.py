@@ -14,9 +14,8 @@ import re
 from array import array
 from operator import attrgetter
 
-#: Spaced words that one worker remembers (about 250 bytes each); later ones are encoded again. Where
-#: other operators share the workers, as in a pipeline that packs, the memo is smaller.
-MEMO_WORDS = {"byte": 300_000, "word": 400_000}
+#: Spaced words that one worker remembers (about 250 bytes each); later ones are encoded again.
+MEMO_WORDS = 400_000
 #: Words longer than this are encoded but never remembered.
 MEMO_CHARS = 64
 
@@ -196,9 +195,10 @@ class WordEndEncoder(_LibraryEncoder):
 _MEMOS: dict[tuple[str, str], Memo] = {}
 
 
-def memo(kind: str, path: str) -> Memo:
-    """This worker's memo for a vocabulary file; ``kind`` is ``byte`` or ``word``."""
+def memo(kind: str, path: str, most: int = MEMO_WORDS) -> Memo:
+    """This worker's memo of ``most`` words for a vocabulary file; ``kind`` is ``byte`` or ``word``."""
     if (kind, path) not in _MEMOS:
         encoder = {"byte": ByteLevelEncoder, "word": WordEndEncoder}[kind]
-        _MEMOS[kind, path] = Memo(encoder(path), MEMO_WORDS[kind])
+        _MEMOS[kind, path] = Memo(encoder(path), most)
+    _MEMOS[kind, path].most = most
     return _MEMOS[kind, path]
