@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, packing, pii, quality, secret_scan, simhash, token_store, topk, toxicity
+from . import bpe, golden, language, packing, pii, quality, secret_scan, sharding, simhash, token_store, topk, toxicity, treaps
 from .common import table
 
 
@@ -57,9 +57,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op12_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.golden(table(spark, sf_dir, "clients"))
+
+
+def op13_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_store, op3_pii_boosted, op4_byte_bpe, op5_exact_topk, op6_risk_controlled_quality, op7_language_codes, op8_toxicity_ftrl, op9_simhash_golay, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_store, op3_pii_boosted, op4_byte_bpe, op5_exact_topk, op6_risk_controlled_quality, op7_language_codes, op8_toxicity_ftrl, op9_simhash_golay, op10_best_fit_packing, op11_minimax_sharding, op12_golden_record, op13_inverted_treaps)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_topk": topk.oracle(), "op6_risk_controlled_quality": quality.oracle()}
+    return {"op5_exact_topk": topk.oracle(), "op6_risk_controlled_quality": quality.oracle(),
+            "op11_minimax_sharding": sharding.oracle(), "op12_golden_record": golden.oracle(), "op13_inverted_treaps": treaps.oracle()}
