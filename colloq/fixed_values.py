@@ -88,6 +88,27 @@ PLACE_NAMES = (
     "ροδοπη", "ροδοπης", "αρκαδια", "πελοποννησο", "πελοποννησου", "μακεδονια", "θρακη",
 )
 
+#: Places in a sentence where a name is expected; the name is the one capturing group.
+NAME_FRAMES = (
+    r"\b(?:στον|στην|στου|στης)\s+([^\W\d_]{4,})",
+    r"\b(?:του|της|τον|την)\s+([^\W\d_]{4,})",
+    r"\b(?:με|απο|για)\s+τον?\s+([^\W\d_]{4,})",
+    r"\bκ\.\s*([^\W\d_]{4,})",
+    r"\b(?:κυριο|κυριε|κυρια)\s+([^\W\d_]{4,})",
+    r"\b(?:ο|η)\s+([^\W\d_]{4,})\s+(?:ειπε|λεει|ελεγε|εστειλε|ρωτησε)",
+    r"\b(?:στειλε|στειλ|γραψε|ρωτα|ρωτησε|πες)\s+(?:στον|στην|του|της)?\s*([^\W\d_]{4,})",
+)
+
+#: Words that stand where names do and are none.
+FRAME_NOISE = (
+    "εαυτο", "εαυτου", "αρχη", "αρχης", "ωρα", "ωρας", "μερα", "μερας", "δουλεια", "δουλειας", "σχολη", "σχολης",
+    "σπιτι", "σπιτιου", "αλλο", "αλλη", "αλλον", "ιδιο", "ιδια", "καθε", "οποιο", "οποια", "πρωτο", "πρωτη",
+    "τελευταιο", "τελευταια", "θεμα", "θεματος", "εβδομαδα", "εβδομαδας", "μηνα", "χρονο", "χρονια", "βραδυ", "πρωι",
+    "απογευμα", "τηλεφωνο", "μαιλ", "email", "μηνυμα", "παιδι", "παιδια", "κοσμο", "κοσμος", "ανθρωπο", "ανθρωπος",
+    "εταιρεια", "εταιρειας", "γραφειο", "μαγαζι", "νοσοκομειο", "πανεπιστημιο", "τραπεζα", "τραπεζας", "αυτοκινητο",
+    "μηχανη",
+)
+
 #: Words without accents and their spelling.
 ACCENTS = {
     "ειναι": "είναι", "εχω": "έχω", "εχει": "έχει", "εχεις": "έχεις", "εχουμε": "έχουμε", "κανω": "κάνω",

@@ -1,4 +1,4 @@
-"""Masking of structured identifiers, contacts and morphological names; leak gates and mining.
+"""Masking of structured identifiers, contacts and morphological names; leak gates.
 
 Masks are chained expressions in one projection; names are judged token by token, so no offsets
 are needed and nothing leaves the JVM.
@@ -208,22 +208,5 @@ def clean_verified(rows: DataFrame, fields: Sequence[str], path: str, **lists) -
     cleaned.write.mode("errorifexists").json(path)
 
 
-def mine_surnames(texts: DataFrame, text: str, frames: Sequence[str], noise: Sequence[str] = (), known: Sequence[str] = (), least: int = 2) -> DataFrame:
-    """word, frames, total, ratio: words that often stand where names do, known ones left out.
-
-    A position counts once, however many frames capture it (patterns capture in group 1).
-    """
-    rows = texts.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("t"))
-    total = rows.select(F.explode(F.regexp_extract_all("t", F.lit(r"(?U)[^\W\d_]+"), 0)).alias("w")).groupBy(fold(F.col("w")).alias("word")).agg(F.count("*").alias("total"))
-    hits = None
-    for pattern in frames:
-        found = rows.select("row", F.posexplode(F.regexp_extract_all("t", F.lit(pattern), 1)).alias("pos", "w"))
-        hits = found if hits is None else hits.unionByName(found)
-    hits = hits.filter(F.length("w") >= 4).select("row", fold(F.col("w")).alias("word"), "pos").distinct().groupBy("word").agg(F.count("*").alias("frames"))
-    drop = [fold_text(x) for x in (*noise, *known)]
-    kept = hits.filter((F.col("frames") >= least) & ~F.col("word").isin(*drop) & ~surname(F.col("word")) & ~given_name(F.col("word")))
-    return kept.join(total, "word", "left").withColumn("ratio", F.col("frames") / F.col("total")).orderBy(F.desc("ratio"), F.desc("frames"), "word")
-
-
 def bare(text: Column) -> Column:
     return strip_accents(text)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times, vectors
-from ..operators import agency, claims, conversation, dataset, formats, medallion, metrics, privacy, search
+from ..operators import agency, claims, conversation, dataset, formats, medallion, metrics, mining, privacy, search
 from ..session import table
 from ..sources import messages
 from . import literals, round_trips  # noqa: F401 - they register their queries
@@ -580,24 +580,50 @@ def surname_report(spark, sf):
     return privacy.surname_counts(table(spark, sf, "documents"), ["text"], gazetteer=("stati",), own=("ownown",), suffixes=("tion",), adjectival=("ing",), ordinary=("station",), places=("action",))
 
 
-@query("""with d as (select row_number() over () as row, text as t from documents),
-h as (select row, pos, w from (select row, unnest(range(len(x))) as pos, unnest(x) as w from (select row, regexp_extract_all(t, '\\bof ([a-z]+)', 1) as x from d))
-union select row, pos, w from (select row, unnest(range(len(x))) as pos, unnest(x) as w from (select row, regexp_extract_all(t, '\\bthe ([a-z]+)', 1) as x from d))),
-f as (select w as word, count(*)::bigint as frames from h where length(w) >= 4 group by w),
-n as (select replace(strip_accents(lower(w)), 'ß', 'ss') as word, count(*)::bigint as total from (select unnest(regexp_extract_all(t, '[\\p{L}\\p{M}]+')) as w from d) group by 1)
-select word, frames, total, round(frames / total, 6) as ratio from f left join n using (word) where frames >= 2 and word not in ('that', 'thing')""")
+#: Frames that overlap: "of the X" is in two of them, and "of X and" in two.
+_FRAMES = (
+    r"(?:^|[^\p{L}])(?:of|the|de|la|der|und) ([^\W\d_]{4,})", r"(?:^|[^\p{L}])(?:of the|in the|de la|en la) ([^\W\d_]{4,})",
+    r"([^\W\d_]{4,}) (?:and|that|y|que) ",
+)
+
+
+def _spans_sql(frames, columns="doc_id, text") -> str:
+    """Captured spans, marked by a replacement in DuckDB's own dialect; places are running sums over the parts."""
+    letters = "[\\p{L}\\p{M}]{4,}"
+    marked = []
+    for f in frames:
+        before, after = f.split(r"([^\W\d_]{4,})")
+        marked.append(f"select rid, {columns}, string_split(regexp_replace(text, '({before})({letters})({after})', '\\1' || chr(1) || '\\2' || chr(1) || '\\3', 'gi'), chr(1)) as parts from d".replace("\\\\", "\\"))
+    return f"""d as (select row_number() over () as rid, {columns} from documents),
+m as ({' union all '.join(marked)}),
+q as (select rid, {columns.replace(', text', '')}, unnest(list_transform(range(1, len(parts) // 2 + 1), lambda i: {{'start': length(array_to_string(parts[1:2 * i - 1], '')), 'word': parts[2 * i]}})) as s from m),
+spans as (select distinct rid, {columns.replace(', text', '')}, s.start as start, s.word as word from q)"""
+
+
+_FOLDED = "replace(strip_accents(lower({})), 'ß', 'ss')"
+
+
+@query(f"""with {_spans_sql(_FRAMES)},
+f as (select {_FOLDED.format("word")} as word, count(*)::bigint as frames from spans group by 1),
+n as (select {_FOLDED.format("w")} as word, count(*)::bigint as total from (select unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}]+')) as w from d) group by 1)
+select word, frames, total, round(frames / total, 6) as ratio from f join n using (word) where frames >= 2 and word not in ('that', 'with')
+and not exists (select 1 from (select distinct lower(substr(brand, 1, 2)) || 'e' as stem from items union select 'thin') where starts_with(word, stem))""")
 def mined_names(spark, sf):
-    frames = (r"\bof ([a-z]+)", r"\bthe ([a-z]+)")
-    found = privacy.mine_surnames(table(spark, sf, "documents"), "text", frames, noise=("that",), known=("thing",))
+    stems = table(spark, sf, "items").selectExpr("lower(substr(brand, 1, 2)) || 'e' as stem").union(spark.range(1).selectExpr("'thin' as stem"))
+    found = mining.mine_surnames(table(spark, sf, "documents"), "text", _FRAMES, noise=("that",), gazetteer=stems, own=("with",))
     return found.select("word", "frames", "total", r6(F.col("ratio")).alias("ratio"))
 
 
+@query(f"with {_spans_sql(_FRAMES)} select doc_id, start::int as start, word from spans")
+def framed_names(spark, sf):
+    return mining.with_places(table(spark, sf, "documents"), "text", _FRAMES, ["doc_id"])
+
+
 _STEMS, _ENDS = ("thin", "stat", "eau"), ("e", "ion", "ing", "x")
 
 
 @query("""select doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+'),
-lambda t: case when regexp_matches(strip_accents(lower(t)), '^(?:(?:thin|stat|eau)(?:ing|ion|e|x)?|the)$') then '[NAME]' else t end), '') as text from documents
-where doc_id % 1 = 0""".replace("\nwhere doc_id % 1 = 0", ""))
+lambda t: case when regexp_matches(strip_accents(lower(t)), '^(?:(?:thin|stat|eau)(?:ing|ion|e|x)?|the)$') then '[NAME]' else t end), '') as text from documents""")
 def name_redaction(spark, sf):
     text = privacy.redact_given_names(F.col("text"), stems=_STEMS, endings=_ENDS, exact=("the",), keep=("none",))
     return table(spark, sf, "documents").select("doc_id", text.alias("text"))

@@ -171,11 +171,6 @@ def test_surnames(spark, word, yes):
     assert one(spark, "Παπαδάκης!", lambda x: privacy.redact_surnames(x)) == "[SURNAME]!"
 
 
-def test_surname_mining(spark):
-    f = spark.createDataFrame([("ο κυριος Βλαχος ηρθε",), ("ο κυριος Βλαχος εφυγε και ο Βλαχος",)], "t string")
-    assert [(r.word, r.frames, r.total) for r in privacy.mine_surnames(f, "t", [r"(?U)κυριος (\w+)"]).collect()] == [("βλαχοσ", 2, 3)]
-
-
 @pytest.mark.parametrize(
     "text, intent",
     [
