@@ -13,7 +13,7 @@ from ..functions import times, vectors
 from ..operators import agency, claims, conversation, dataset, formats, medallion, metrics, mining, privacy, search
 from ..session import table
 from ..sources import messages
-from . import literals, round_trips  # noqa: F401 - they register their queries
+from . import literals, round_trips, shop  # noqa: F401 - they register their queries
 from .catalog import ORACLES, QUERIES, expected as _expected, given as _given, literal as _literal, long, oracle_sql, queries, query, r6  # noqa: F401
 
 # Sessions and pairs ---------------------------------------------------------------------------

@@ -62,3 +62,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/colloq-{tag}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
     return path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a new table in the shared folder, read back: lineage ends here, and the rows stay as they are.
+
+    What depends on how rows were dealt to tasks (partition numbers, samples) is fixed by this.
+    """
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
