@@ -2,10 +2,11 @@
 
 Texts are read in blocks. A block's words (spaced words, see ``spaced_words``) are exploded with
 their positions; positions stay in the block as numbers of its distinct words, and only the
-distinct words travel, to the partition of their hash, where each is encoded once for the whole
-corpus. The ids come back to the block, are joined to its positions, and the documents are put
-together again. Decoding joins ids with the table of token bytes: one row per rank, so its size
-is fixed by the vocabulary file, and it is broadcast.
+distinct words travel, to the partition of their hash, where each is encoded once as long as the
+partition's memo (``MEMO_WORDS``) holds it, else again with the same result. The ids come back to
+the block, are joined to its positions, and the documents are put together again. Decoding joins
+ids with the table of token bytes: one row per rank, so its size is fixed by the vocabulary file,
+and it is broadcast.
 
 A word's hash decides its partition, so a frequent word costs one row per block, not one per
 occurrence. Blocks and word lists travel as compressed batches.

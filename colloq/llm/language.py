@@ -12,11 +12,12 @@ loss is chosen, ``score`` is its share of exp(-``SHARPNESS`` * loss), and a shar
 
 Training learns every language. It takes ``ROWS_PER_LANGUAGE`` documents of each, or fewer where
 all together would be more than ``TRAIN_ROWS`` (one of each at least), those with the smallest
-hash of doc_id; prediction reads whole texts.
+hash of doc_id; a doc_id that stands on several rows is learned from once for each of its languages, from
+the text with the smallest vector. Prediction reads whole texts.
 
 Defined results: null text or no letter: ``und``, score 0, not ambiguous; nothing to learn from:
 ``und`` for all; ties go to the language first in the alphabet; a null doc_id is never held out
-nor learned from; repeated rows are predicted alike; an empty table gives no rows; extra columns
+nor learned from, nor is an empty lang; repeated rows are predicted alike; an empty table gives no rows; extra columns
 are ignored.
 """
 
@@ -134,13 +135,13 @@ class Model:
 def train(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model | None:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [vector(counts(t.as_py())).astype(np.float32).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["h", "lang", "x"])
+            out = [vector(counts(t.as_py())).astype(np.float32).tobytes() for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["doc_id", "h", "lang", "x"])
 
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     usable = usable.filter("doc_id is not null and text is not null and lang is not null and lang <> ''")
     usable = usable.filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
-    counted = written(usable.groupBy("lang").agg(F.count("*").cast("double").alias("n")), "languages")
+    counted = written(usable.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).cast("double").alias("n")), "languages")
     n_languages = counted.count()
     if not n_languages:
         return None
@@ -148,12 +149,14 @@ def train(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model | None:
     # Only documents under a hash bound of their language are ranked, so no task gets a whole language.
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = usable.select("doc_id", "lang", hashed("language").alias("h")).join(counted, "lang")
-    ids = ids.filter(below(F.col("h"), rows, F.col("n"))).drop("n")
+    ids = ids.filter(below(F.col("h"), rows, F.col("n"))).drop("n").distinct()
     ids = ids.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rows).drop("k")
     # Ids are broadcast where their number is bounded; beyond, there is one for each language.
     near = F.broadcast(ids) if n_languages <= TRAIN_ROWS else ids
-    chosen = usable.join(near, ["doc_id", "lang"]).select("h", "lang", "text")
-    found = sorted((r.h, r.lang, r.x) for r in chosen.mapInArrow(extract, "h long, lang string, x binary").collect())
+    chosen = usable.join(near, ["doc_id", "lang"]).select("doc_id", "h", "lang", "text").mapInArrow(extract, "doc_id long, h long, lang string, x binary")
+    # One row for each chosen one: equal doc_ids meet here, map-side first.
+    one = chosen.groupBy("doc_id", "lang").agg(F.min("h").alias("h"), F.min("x").alias("x"))
+    found = sorted((r.h, r.lang, r.x) for r in one.collect())
     number = {lang: k for k, lang in enumerate(sorted({lang for _, lang, _ in found}))}
     if not number:
         return None

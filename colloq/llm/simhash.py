@@ -282,5 +282,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
         return docs.join(stay, docs.doc_id == stay._stay, "left_semi")
     found = near_duplicates(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text"))
     stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stay"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(stay, numbered._row == stay._stay, "left_semi").drop("_row")
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    return numbered.join(stay, numbered[row] == stay._stay, "left_semi").drop(row)

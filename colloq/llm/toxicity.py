@@ -6,11 +6,12 @@ epoch over a bounded sample of labelled documents with per-coordinate rates and
 penalties; L1 leaves few non-zero weights, which are what is broadcast.
 
 The sample is ``TRAIN_ROWS`` labelled documents at most, those with the smallest hash of doc_id,
-with all features of their whole texts. They come to the driver as Arrow, each row's features as
-compressed differences (about 2 kB a document), and only one row is unpacked at a time.
+with all features of their whole texts. A doc_id that stands on several rows of either table is learned from
+once for each label, from the text whose features have the smallest checksum. The rows come to the driver as Arrow,
+each row's features as compressed differences (about 2 kB a document), and only one row is unpacked at a time.
 
 Defined results: a null or empty text has no features and is scored by the bias alone; with no
-labelled rows all scores are (nearly) 0; documents with several labels count once for each; null labels
+labelled rows all scores are (nearly) 0; documents with both labels count once for each; null labels
 and null doc_ids are not learned from, and a null doc_id is never held out; repeated rows are
 scored alike; an empty table gives no rows; extra columns are ignored.
 """
@@ -81,17 +82,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [zstandard.compress(np.diff(features(text.as_py() or ""), prepend=0).astype("<i4").tobytes(), 3) for text in batch.column(2)]
+            out = [zstandard.compress(np.diff(features(text.as_py() or ""), prepend=0).astype("<i4").tobytes(), 3) for text in batch.column(3)]
             tie = pa.array(list(map(zlib.crc32, out)), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tie, pa.array(out, pa.binary())], ["h", "toxic", "tie", "f"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], tie, pa.array(out, pa.binary())], ["doc_id", "h", "toxic", "tie", "f"])
 
     ids = F.col("doc_id").cast("long")
     known = labels.select(ids.alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
+    known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)).distinct()
     chosen = smallest(known, rows, "toxicity")
     texts = docs.select(ids.alias("doc_id"), "text")
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("h", "toxic", "text").mapInArrow(extract, "h long, toxic int, tie long, f binary")
-    found = sample.toArrow()
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "h", "toxic", "text").mapInArrow(extract, "doc_id long, h long, toxic int, tie long, f binary")
+    # One row for each chosen one: equal doc_ids meet here, map-side first.
+    found = sample.groupBy("doc_id", "toxic").agg(F.min("h").alias("h"), F.min(F.struct("tie", "f")).alias("x")).select("h", "toxic", "x.tie", "x.f").toArrow()
     h, toxic, tie = (found.column(c).to_numpy() for c in ("h", "toxic", "tie"))
     order = np.lexsort((tie, toxic, h)).tolist()
     if not order:

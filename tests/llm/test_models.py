@@ -161,11 +161,11 @@ def test_toxicity_is_the_brute_force_learner(spark, odd_docs, empty_docs):
     texts = [" ".join(rng.choice(("good", "bad", "ugly", "calm", "vile")) + str(rng.randint(0, 9)) for _ in range(rng.randint(0, 40))) for _ in range(120)]
     texts[3] = " ".join(f"long{i}" for i in range(9000)) + " vile1"
     docs = docs_frame(spark, texts).union(odd_docs.filter("doc_id >= 120"))
-    docs = docs.union(docs.filter("doc_id in (5, 6)"))  # repeated rows
+    docs = docs.union(docs.filter("doc_id in (5, 6)"))  # repeated rows count once
     marks = [(i, None, int("vile" in texts[i])) for i in range(120)]
     model = toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
     hashes = {r.doc_id: r.h for r in docs.select("doc_id", common.hashed("toxicity").alias("h")).collect()}
-    sample = [(hashes[i], t, np.array(plain_features(texts[i]), np.int32).tobytes(), texts[i]) for i, _, t in marks if crc_fold(i, 4) != 2 for _ in range(1 + (i in (5, 6)))]
+    sample = [(hashes[i], t, np.array(plain_features(texts[i]), np.int32).tobytes(), texts[i]) for i, _, t in marks if crc_fold(i, 4) != 2]
     want = plain_ftrl([(text, label) for _, label, _, text in sorted(sample)])
     got = dict(zip(model[0].tolist(), model[1].tolist()))
     assert got and got.keys() == {i for i, w in want.items() if w}
@@ -224,3 +224,30 @@ def test_quality_many_strata(spark):
     labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(2200)], "doc_id long, quality int, toxic int")
     assert quality.cutoffs(quality.features(docs), labels).count() == 1100
     assert quality.judge(docs, labels).filter("kept").count() == 2200  # one good document certifies nothing
+
+
+def test_samples_are_bounded_where_one_id_repeats(spark, monkeypatch):
+    """10,000 rows of one doc_id count once for each label or language, in any order of rows."""
+    texts = [f"some words {i} of text number {i * 7}" for i in range(10_000)]
+    hot = docs_frame(spark, texts).selectExpr("cast(2 as long) as doc_id", "text", "if(doc_id % 2 = 0, 'en', 'es') as lang")
+    rest = docs_frame(spark, texts[:60], first=10).select("doc_id", "text", "lang")
+    docs = hot.union(rest)
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic").union(spark.createDataFrame([(2, 1)] * 40, "doc_id long, toxic int"))
+    seen = []
+    learn = toxicity.Ftrl.learn
+    monkeypatch.setattr(toxicity.Ftrl, "learn", lambda self, found, label: (seen.append((tuple(found), label)), learn(self, found, label))[1])
+    first = toxicity.train(docs, labels, 20)
+    once = list(seen)
+    assert 0 < len(once) <= 20 * toxicity.EPOCHS
+    again = toxicity.train(docs.orderBy("text").repartition(3), labels, 20)
+    assert seen[len(once):] == once and all(np.array_equal(a, b) for a, b in zip(first, again, strict=True))
+    sizes = []
+
+    class Kept(language.Model):
+        def __init__(self, languages, x, y):
+            sizes.append(np.bincount(y).tolist())
+            super().__init__(languages, x, y)
+
+    monkeypatch.setattr(language, "Model", Kept)
+    one, two = language.train(docs, 25), language.train(docs.orderBy("text").repartition(3), 25)
+    assert max(max(s) for s in sizes) <= 25 and np.array_equal(one.w, two.w)
