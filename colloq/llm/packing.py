@@ -119,6 +119,9 @@ def _bound(count: np.ndarray, capacity: int) -> int:
     return best
 
 
+#: Bits of a sequence's number for its place in the group and for the group; what is above is the round.
+_BIN_BITS, _GROUP_BITS = 20, 30
+MOST_ROUNDS = (1 << 63 - _BIN_BITS - _GROUP_BITS) - 1
 _PACKED = PIECES_SCHEMA + ", bin long, offset long, room int, gap int"
 
 
@@ -132,7 +135,7 @@ def _pack_groups(rows: DataFrame, groups: int, round_: int, capacity: int) -> Da
         where, offset = best_fit_decreasing(lengths, capacity)
         used = np.bincount(where, weights=lengths).astype(np.int64)
         gap = len(used) - lower_bound(lengths, capacity)
-        name = (round_ << 60) + (group << 28) + where
+        name = (round_ << _GROUP_BITS + _BIN_BITS) + (group << _BIN_BITS) + where
         columns = {c: found.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
         columns |= {"bin": pa.array(name), "offset": pa.array(offset)}
         columns |= {"room": pa.array((capacity - used[where]).astype(np.int32)), "gap": pa.array(np.full(len(where), gap, np.int32))}
@@ -161,7 +164,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024
         n = sum(r.n for r in lengths)
         if not n:
             break
-        groups = max(1, -(-n // GROUP_PIECES))
+        # Pieces that were one group are dealt to two, for another chance.
+        groups = max(1 if kept is None else min(2, n), -(-n // GROUP_PIECES))
         if kept is not None and replaced <= bound_of({r.length: r.n for r in lengths}, capacity):
             done.append(kept)  # no packing of these pieces takes fewer
             break
@@ -173,8 +177,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024
             done.append(kept)
             break
         few = kept is not None and replaced - bins < LEAST_SAVED * replaced
-        # One group, dealt anew, would be packed the same way again.
-        if not left or groups == 1 or few:
+        if not left or few or round_ == MOST_ROUNDS:
             done.append(packed)
             break
         done.append(packed.filter(~open_))

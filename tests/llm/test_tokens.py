@@ -231,3 +231,8 @@ def test_added_tokens_as_the_library_has_them(spark):
     found = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()}
     ids = [letters.encode(x, add_special_tokens=False).ids + [2] for x in SPECIAL]
     assert ids[1] == [50256, 2] and found == {k: (len(x), crc(x)) for k, x in enumerate(ids)}
+
+
+def test_sequence_numbers_of_many_rounds_differ():
+    most = (packing.MOST_ROUNDS << packing._GROUP_BITS + packing._BIN_BITS) + (((1 << packing._GROUP_BITS) - 1) << packing._BIN_BITS) + packing.GROUP_PIECES
+    assert most < 1 << 63 and packing.GROUP_PIECES < 1 << packing._BIN_BITS
