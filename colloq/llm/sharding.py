@@ -111,7 +111,7 @@ def minimax(groups: DataFrame, shards: int = SHARDS) -> Cuts:
         "top", "total", "aggregate(top, named_struct('n', 0, 'rest', coalesce(total, 0L), 'on', true), (s, x) -> "
         f"if({fits}, named_struct('n', s.n + 1, 'rest', s.rest - x.size, 'on', true), named_struct('n', s.n, 'rest', s.rest, 'on', false))) as s")
     first = tried.selectExpr("s.n", "s.rest", "transform(slice(top, 1, s.n), x -> x.place) as alone",
-                             "coalesce(top[0].size, 0L) as largest", "coalesce(get(top, s.n).size, 0L) as next").first()
+                             "coalesce(get(top, 0).size, 0L) as largest", "coalesce(get(top, s.n).size, 0L) as next").first()
     if not first.rest:
         return Cuts(first.alone, [], first.largest)
     left, rest = shards - first.n, groups.filter(~F.col("place").isin(first.alone)) if first.alone else groups
