@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.text import fold, fold_text, mentions, negated_before
+from . import near_names
 
 
 def denied(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -58,26 +58,20 @@ def unsupported_names(text: Column, facts: Column, vocabulary: Sequence[str], al
     return F.array_compact(F.array(*out))
 
 
-def corrupted_names(rows: DataFrame, text: str, names: Sequence[str], least: int = 5, ratio: float = 0.85) -> DataFrame:
-    """token, name, ratio: near misses of known names among the distinct tokens of all rows.
+def corrupted_names(rows: DataFrame, text: str, names: Sequence[str] | DataFrame, least: int = 5, ratio: float = 0.85) -> DataFrame:
+    """token, name, ratio: near misses of known names (a list, or a table (name)) among the distinct tokens of all rows.
 
-    Matching blocks have no built-in form: distinct tokens are prefiltered by edit distance in the
-    JVM, and only the few that are left are measured in Arrow batches.
+    Tokens shorter than ``least`` and known names themselves do not count. Candidates come from an equality
+    join on parts of names; only the few that are left are measured in Arrow batches.
     """
-    lowered = sorted({n.lower() for n in names})
-    tokens = rows.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w.-]+"), 0)).alias("token")).distinct()
-    near = F.filter(F.array(*map(F.lit, lowered)), lambda n: F.levenshtein(F.col("token"), n) <= F.greatest(F.lit(2), F.ceil(F.length(n) * 0.3)))
-    some = tokens.filter(F.length("token") >= least).filter(~F.col("token").isin(*lowered)).withColumn("near", near).filter(F.size("near") > 0)
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from difflib import SequenceMatcher
-
-        for batch in batches:
-            best = [max(((SequenceMatcher(None, t, n).ratio(), n) for n in near), default=(0.0, "")) for t, near in zip(batch["token"], batch["near"], strict=True)]
-            out = pd.DataFrame({"token": batch["token"], "name": [b[1] for b in best], "ratio": [b[0] for b in best]})
-            yield out[out["ratio"] >= ratio]
-
-    return some.mapInPandas(measure, "token string, name string, ratio double")
+    if not isinstance(names, DataFrame):
+        names = rows.sparkSession.createDataFrame([(n,) for n in sorted({*names})], "name string")
+    lowered = names.select(F.lower("name").alias("name")).filter("name <> ''").distinct()
+    # A name shorter than this is near no token that counts.
+    long = lowered.filter(F.length("name") * (2 - ratio) / ratio >= least - 1e-9)
+    tokens = rows.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w.-]+"), 0)).alias("token")).filter(F.length("token") >= least).distinct()
+    some = tokens.join(lowered.withColumnRenamed("name", "token"), "token", "left_anti")
+    return near_names.measured(near_names.candidates(some, long, ratio), ratio)
 
 
 def verdict(reply: Column, problems: Column, hits: Column, expected: int, refusal: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import quantiles, sessions
+from ..operators import near_names, quantiles, sessions
 from ..session import table
 from .catalog import query, r6
 
@@ -55,3 +55,12 @@ def click_value_quantiles(spark, sf):
 @query(_quantiles_sql("sale_lines", "vendor_id", "amount"))
 def vendor_amount_quantiles(spark, sf):
     return _quantiles(table(spark, sf, "sale_lines"), "amount", "vendor_id")
+
+
+@query(None)  # edits of all pairs are too slow in SQL
+def near_name_candidates(spark, sf):
+    """Pairs of tokens and names that few enough deletions and insertions part."""
+    tokens = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[\w.-]+"), 0)).alias("token")).filter("length(token) >= 5").distinct()
+    names = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{11,}"), 0)).alias("name")).distinct()
+    some = tokens.join(names.withColumnRenamed("name", "token"), "token", "left_anti")
+    return near_names.candidates(some, names).select("token", "name", F.col("edits").cast("long").alias("edits"))
