@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import search_tokens
+from ..functions.text import let, search_tokens
 from ..functions.vectors import cosine, doubles
+from ..session import written
 
 #: Saturation, length normalisation, fusion constant, similarity gate.
 K1, B, RRF_K, GATE = 1.5, 0.75, 60, 0.62
@@ -17,44 +18,88 @@ K1, B, RRF_K, GATE = 1.5, 0.75, 60, 0.62
 BROADCAST_TERMS = 500_000
 
 
+#: Folders of a stored index that a term's postings may be in; a query reads those of its terms.
+BUCKETS = 64
+
+
 @dataclass
 class Index:
-    """postings(id, term, tf, dl), lengths(id, dl), terms(term, df, idf), stats(n, avgdl)."""
+    """postings(id, term, tf, dl), lengths(id, dl), terms(term, df, idf), stats(n, total, avgdl).
+
+    A stored index is a folder of segments, one for each lot of documents; their counts are added up
+    when it is opened, so new documents are a new segment and nothing is written again. Ids are those
+    of different documents.
+    """
 
     postings: DataFrame
     lengths: DataFrame
     terms: DataFrame
     stats: DataFrame
 
-    def save(self, path: str) -> None:
-        for name in ("postings", "lengths", "terms", "stats"):
-            frame = getattr(self, name)
-            (frame.sort("term") if "term" in frame.columns else frame).write.mode("overwrite").parquet(f"{path}/{name}")
+    def save(self, path: str, segment: str = "0") -> None:
+        """Write as a segment that is not there yet."""
+        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS))
+        postings = self.postings.select("id", "term", "tf", "dl", bucket.alias("bucket")).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term")
+        postings.write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+        self.lengths.write.parquet(f"{path}/lengths/segment={segment}")
+        self.terms.select("term", "df").write.parquet(f"{path}/terms/segment={segment}")
+        self.stats.select("n", "total").write.parquet(f"{path}/stats/segment={segment}")
 
     @staticmethod
-    def load(spark, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "terms", "stats")))
+    def load(spark, path: str, terms: DataFrame | None = None) -> Index:
+        """Open all segments; with ``terms`` (term) only the folders of those terms are read."""
+        postings, lengths, known, stats = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "terms", "stats"))
+        if terms is not None:  # at most BUCKETS numbers
+            asked = [r.b for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("b")).distinct().collect()]
+            postings = postings.filter(F.col("bucket").isin(asked))
+        stats = stats.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).withColumn("avgdl", F.try_divide("total", "n"))
+        df = known.groupBy("term").agg(F.sum("df").alias("df"))
+        return Index(postings.select("id", "term", "tf", "dl"), lengths.select("id", "dl"), _weighted(df, stats), stats)
+
+
+def _weighted(df: DataFrame, stats: DataFrame) -> DataFrame:
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return df.join(F.broadcast(stats)).select("term", "df", idf.alias("idf"))
+
+
+def counted(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, dl, terms, tfs: each document's terms and how often they stand in it, counted within the row.
+
+    A written table: the texts are read and split once, and nothing is shuffled.
+    """
+
+    def runs(tokens: Column) -> Column:
+        def ends(t: Column) -> Column:
+            places = F.sequence(F.lit(1), F.size(t) + 1)  # one beyond, so that an empty list has none to compare
+            return F.filter(places, lambda i: (i <= F.size(t)) & ~F.get(t, i - 1).eqNullSafe(F.get(t, i)))
+
+        def rows(t: Column, e: Column) -> Column:
+            terms = F.transform(e, lambda i: F.get(t, i - 1))
+            tfs = F.transform(e, lambda i, k: (i - F.when(k == 0, 0).otherwise(F.get(e, k - 1))).cast("long"))
+            return F.struct(F.size(t).cast("long").alias("dl"), terms.alias("terms"), tfs.alias("tfs"))
+
+        return let(F.array_sort(tokens), lambda t: let(ends(t), lambda e: rows(t, e)))
+
+    found = docs.select(F.col(id_).alias("id"), runs(search_tokens(F.coalesce(text, F.lit("")))).alias("x"))
+    return written(found.select("id", "x.dl", "x.terms", "x.tfs"), "counted")
 
 
 def build_index(docs: DataFrame, id_: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> Index:
     """Index of whole texts; ``terms`` (term) keeps only postings of those terms (lengths count all).
 
-    Postings carry their document's length, so scoring joins no table of documents.
+    Everything comes from one written table of counts. Postings carry their document's length, so
+    scoring joins no table of documents. Ids must be unique.
     """
-    tokens = search_tokens(F.coalesce(text, F.lit("")))
-    lengths = docs.select(F.col(id_).alias("id"), F.size(tokens).cast("long").alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    rows = docs.select(F.col(id_).alias("id"), tokens.alias("tokens"))
-    exploded = rows.select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    rows = counted(docs, id_, text)
+    lengths = rows.select("id", "dl")
+    stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), F.avg("dl").alias("avgdl"))
+    postings = rows.select("id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("id", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"), "dl")
     if terms is not None:
         wanted = terms.select("term").distinct()
-        # Counted first: a bounded list goes to every task, so that tokens not asked for are never shuffled.
+        # Counted first: a bounded list goes to every task, so that other postings are never shuffled.
         few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        exploded = exploded.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
-    postings = exploded.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return Index(postings, lengths, df.join(F.broadcast(stats)).select("term", "df", idf.alias("idf")), stats)
+        postings = written(postings.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").select("id", "term", "tf", "dl"), "postings")
+    return Index(postings, lengths, _weighted(postings.groupBy("term").agg(F.count("*").alias("df")), stats), stats)
 
 
 def scores(index: Index, query_terms: DataFrame) -> DataFrame:
@@ -93,7 +138,7 @@ def ranked_with_zeros(index: Index, scored: DataFrame, queries: DataFrame, k: in
     A query with fewer than k matches is filled up with the smallest ids that it lacks; they are
     among the k smallest of all, so no document meets a query beyond those.
     """
-    top = ranked(scored, k).select("query_id", "id", "score")
+    top = written(ranked(scored, k).select("query_id", "id", "score"), "top")
     found = top.groupBy("query_id").agg(F.count("*").alias("found"))
     short = queries.select("query_id").distinct().join(found, "query_id", "left").filter(F.coalesce("found", F.lit(0)) < k).select("query_id")
     first = index.lengths.select("id").orderBy("id").limit(k)
@@ -131,7 +176,7 @@ def hybrid(lexical: DataFrame, vector: DataFrame | None, k: int, threshold: floa
     else:
         vec = ranked(vector, depth).select("query_id", "id", F.col("rank").alias("vec_rank"))
         fused = lex.join(vec, ["query_id", "id"], "full")
-        near = vector.select("query_id", "id", F.col("score").alias("similarity"))
+        near = vector.select("query_id", "id", F.col("score").alias("similarity")).join(fused.select("query_id", "id"), ["query_id", "id"], "left_semi")
         fused = fused.join(near, ["query_id", "id"], "left").filter(F.coalesce("similarity", F.lit(0.0)) >= threshold)
     part = lambda c: F.coalesce(1.0 / (rrf_k + F.col(c)), F.lit(0.0))
     fused = fused.withColumn("score", part("bm25_rank") + part("vec_rank"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import times, vectors
 from ..operators import agency, claims, conversation, dataset, formats, medallion, metrics, mining, privacy, search
-from ..session import table
+from ..session import scratch, table
 from ..sources import messages
 from . import literals, round_trips, shop  # noqa: F401 - they register their queries
 from .catalog import ORACLES, QUERIES, expected as _expected, given as _given, literal as _literal, long, oracle_sql, queries, query, r6  # noqa: F401
@@ -283,21 +283,37 @@ def hybrid_gate(spark, sf):
     return search.hybrid(lex, vec, 10, threshold=0.05).select("id", F.round("score", 9).alias("score"), "similarity", "rank")
 
 
-@query(f"""with d as materialized (select doc_id, {_TOK} as tokens from documents),
+_RETRIEVAL = f"""with d as materialized (select doc_id, {_TOK} as tokens from documents),
 s as (select count(*) as n, avg(len(tokens)) as avgdl from d),
 q as materialized (select item_id, term, count(*) as qtf from (select item_id, unnest({_TOK}) as term from benchmark) group by item_id, term),
 p as materialized (select doc_id, term, count(*) as tf from (select doc_id, unnest(tokens) as term from d) where term in (select term from q) group by doc_id, term),
 i as (select term, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf from (select term, count(*) as df from p group by term), s),
 b as (select item_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(tokens) / avgdl))), 9) as score
 from p join q using (term) join i using (term) join d using (doc_id), s group by item_id, doc_id)
-select item_id, doc_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, round(score, 6) as score from b qualify rank <= 5""")
-def batch_retrieval(spark, sf):
+select item_id, doc_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, round(score, 6) as score from b qualify rank <= 5"""
+
+
+def _retrieved(spark, sf, index) -> DataFrame:
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     terms = search.query_terms(asked, "query_id", "query")
-    scored = search.scores(search.build_index(table(spark, sf, "documents"), terms=terms), terms).withColumn("score", F.round("score", 9))
+    scored = search.scores(index(terms), terms).withColumn("score", F.round("score", 9))
     return search.ranked(scored, 5).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", r6(F.col("score")).alias("score"))
 
 
+@query(_RETRIEVAL)
+def batch_retrieval(spark, sf):
+    return _retrieved(spark, sf, lambda terms: search.build_index(table(spark, sf, "documents"), terms=terms))
+
+
+@query(_RETRIEVAL)
+def stored_index_retrieval(spark, sf):
+    """From a stored index that was filled in two lots; only the folders of the asked terms are read."""
+    docs, path = table(spark, sf, "documents"), scratch(spark, "index")
+    for lot in (0, 1):
+        search.build_index(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == lot)).save(path, str(lot))
+    return _retrieved(spark, sf, lambda terms: search.Index.load(spark, path, terms))
+
+
 # Metrics --------------------------------------------------------------------------------------
 
 _W = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"

@@ -93,3 +93,24 @@ def test_exact_quantiles(spark, sort_rows, buckets, monkeypatch):
     whole = quantiles.latency(finite, "v", (), sort_rows).first()
     assert whole[1:] == metrics.latency(finite, "v").first()[1:]
     assert quantiles.latency(frame.limit(0), "v", ["k"], sort_rows).count() == 0
+
+
+def test_index_reads_texts_once_and_grows(spark, tmp_path):
+    from colloq.operators import search
+
+    texts = ["a b b c", "", None, "b é b", "C c c d", "zz a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.id: (r.dl, dict(zip(r.terms, r.tfs))) for r in search.counted(docs).collect()}
+    assert rows == {0: (4, {"a": 1, "b": 2, "c": 1}), 1: (0, {}), 2: (0, {}), 3: (2, {"b": 2}), 4: (4, {"c": 3, "d": 1}), 5: (2, {"zz": 1, "a": 1})}
+    asked = spark.createDataFrame([(1, "b c"), (2, "a a zz")], "query_id long, query string")
+    terms = search.query_terms(asked, "query_id", "query")
+    whole = search.build_index(docs)
+    for lot in (0, 1):
+        search.build_index(docs.filter(F.col("doc_id") % 2 == lot)).save(str(tmp_path / "index"), str(lot))
+    stored = search.Index.load(spark, str(tmp_path / "index"), terms)
+    want = tuples(search.scores(whole, terms))
+    got = tuples(search.scores(stored, terms))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(got, want))
+    assert tuples(stored.terms.select("term", "df")) == tuples(whole.terms.select("term", "df"))
+    plan = search.scores(search.build_index(docs, terms=terms), terms)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan.split("query")[0] and "PartitionFilters: [bucket" in stored.postings._jdf.queryExecution().executedPlan().toString()
