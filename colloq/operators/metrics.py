@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import set_join
 
 #: Phrases of an assistant, and admissions of not knowing.
 ASSISTANT_TELLS = (
@@ -97,7 +98,8 @@ def _share_found(items: Column, folded: Column, found: bool, empty: float) -> Co
 def pairwise_similarity(rows: DataFrame, id_: str, text: str) -> DataFrame:
     """id_a, id_b, jaccard of all pairs that share a word, by a join on words.
 
-    Pairs that share none have similarity 0 and are not produced; ``mean_similarity`` counts them.
+    Pairs that share none have similarity 0 and are not produced; ``mean_similarity`` counts them. For a
+    threshold ``set_join.similar_pairs`` compares far fewer.
     """
     tokens = rows.select(F.col(id_).alias("id"), F.explode(F.array_distinct(T.words(F.col(text)))).alias("word"))
     sizes = tokens.groupBy("id").agg(F.count("*").alias("n"))
@@ -109,9 +111,7 @@ def pairwise_similarity(rows: DataFrame, id_: str, text: str) -> DataFrame:
 
 def mean_similarity(rows: DataFrame, id_: str, text: str) -> DataFrame:
     """Mean over all pairs of texts with a word, pairs without a shared word included."""
-    n = rows.agg(F.count_if(F.size(T.words(F.col(text))) > 0).alias("n"))
-    total = pairwise_similarity(rows, id_, text).agg(F.coalesce(F.sum("jaccard"), F.lit(0.0)).alias("total"))
-    return total.crossJoin(n).select("n", F.coalesce(F.try_divide(F.col("total"), F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("mean_similarity"))
+    return set_join.mean_similarity(rows, T.words(F.col(text)))
 
 
 def reliability(rows: DataFrame, keys: Sequence[str] = (), text: str = "text", refusals: Sequence[str] = REFUSALS, tells: Sequence[str] = ASSISTANT_TELLS) -> DataFrame:
