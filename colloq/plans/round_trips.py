@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import medallion
 from ..session import scratch, table
 from ..sources import files, messages, sinks
-from ..streaming import streams
+from ..streaming import stateful, streams
 from .catalog import long, query
 
 _STAMP = "timestamp '2024-01-01 10:00:00' + to_minutes(turn::int)"
@@ -296,3 +296,20 @@ def stream_pending(spark, sf):
     sinks.write_jsonl(rows, path)
     waiting = _whole(streams.pending_count(spark, path), "pending-out")
     return waiting.select(long(F.col("pending")).alias("pending"), "n")
+
+
+@query("""with g as (select *, lag(ts) over (partition by user_id order by ts, event_id) as prev from events),
+t as (select *, sum(case when prev is null or ts - prev >= interval 4 hours then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from g),
+s as (select user_id, min(ts) as start_ts, max(ts) + interval 4 hours as end_ts, count(*)::bigint as n from t group by user_id, k)
+select * from s where end_ts <= (select max(ts) from events) - interval 1 day""")
+def stream_closed_sessions(spark, sf):
+    """Sessions written once they are closed, over four lots in the order of time; those of the last day stay open."""
+    source, path, checkpoint = (scratch(spark, f"closed-{x}") for x in ("in", "out", "checkpoint"))
+    rows = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    lot = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
+    for k in range(4):
+        rows.filter(lot == k).coalesce(1).write.mode("append").parquet(source)
+    closed = stateful.closed_sessions(stateful.lots(spark, "user_id long, ts timestamp", source), "user_id", "ts")
+    stateful.run(closed, path, checkpoint)
+    s = spark.read.parquet(path)
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start_ts"), F.col("end").cast("timestamp_ntz").alias("end_ts"), "n")
