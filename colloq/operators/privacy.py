@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.text import alternation, fold, fold_text, strip_accents
+from ..sources import publish
 
 #: Placeholders and patterns, in the order in which they are applied.
 PLACEHOLDERS = {
@@ -202,10 +203,9 @@ def surname_counts(rows: DataFrame, fields: Sequence[str], **lists) -> DataFrame
 
 
 def clean_verified(rows: DataFrame, fields: Sequence[str], path: str, **lists) -> None:
-    """Redact, scan again, and write only if nothing is left."""
+    """Redact, write aside, scan the files written, and move them to their place only if nothing is left."""
     cleaned = rows.withColumns({f: redact_surnames(F.col(f), **lists) for f in fields})
-    gate(surname_counts(cleaned, fields, **lists), "surnames remain")
-    cleaned.write.mode("errorifexists").json(path)
+    publish.publish(cleaned, path, lambda files: gate(surname_counts(files, fields, **lists), "surnames remain"), "json")
 
 
 def bare(text: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import near_names, quantiles, sessions, set_join
-from ..session import table
+from ..operators import increments, near_names, quantiles, sessions, set_join
+from ..session import scratch, table
 from .catalog import query, r6
 
 #: Rows of a run and of a sort, small, so that the tables' hot keys are split at every size.
@@ -76,3 +76,18 @@ def similar_turns(spark, sf):
     rows = table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     found = set_join.similar_pairs(rows, "id", T.words(F.col("text")), 0.5)
     return found.select("id_a", "id_b", r6(F.col("jaccard")).alias("jaccard"))
+
+
+@query("""with m as (select distinct ts, client_id, kind from clicks where ts is not null and trim(kind) <> ''),
+p as (select client_id::varchar as chat_id, ts, kind as text, lead(kind) over w as response, lead(ts) over w as response_ts from m window w as (partition by client_id order by ts, kind))
+select * from p where text not in ('purchase', 'signup') and response in ('purchase', 'signup') and length(text) >= 2 and floor(epoch(response_ts)) - floor(epoch(ts)) <= 14400""")
+def incremental_pairs(spark, sf):
+    """Clicks in three lots by their arrival, each lot rewriting the days that it touches; the whole result is that of one run."""
+    rows = table(spark, sf, "clicks").select(
+        F.col("ts").cast("string").alias("timestamp"), F.col("client_id").cast("string").alias("chat_id"), F.col("client_id").cast("string").alias("sender"),
+        F.coalesce(F.col("kind").isin("purchase", "signup"), F.lit(False)).alias("is_me"), F.col("kind").alias("text"), F.month("arrived_at").alias("lot"))
+    days = increments.Days(spark, scratch(spark, "days"))
+    for lot in (F.col("lot") <= 2, F.col("lot") == 3, F.coalesce(F.col("lot"), F.lit(9)) >= 4):
+        days.add(rows.filter(lot).drop("lot"))
+    found = days.table("pairs")
+    return found.select("chat_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "text", "response", F.col("response_ts").cast("timestamp_ntz").alias("response_ts"))

@@ -6,6 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import publish
+from .publish import write_json_array  # noqa: F401 - a sink like the others
+
 
 def ensure_schema(spark: SparkSession, name: str) -> None:
     spark.sql(f"create schema if not exists {name}")
@@ -27,8 +30,8 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
 
 
 def export(df: DataFrame, source: str, path: str) -> int:
-    """Like ``write_jsonl``, but never onto its own source."""
-    if source.rstrip("/") == path.rstrip("/"):
+    """Like ``write_jsonl``, but never onto its own source, however the paths are written."""
+    if publish.same_place(df.sparkSession, source, path):
         raise ValueError("the export would overwrite its source")
     return write_jsonl(df, path, "overwrite")
 
@@ -38,16 +41,6 @@ def create_as(spark: SparkSession, table: str, query: str) -> None:
     replace(spark.sql(query), table)
 
 
-def write_json_array(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One file with a JSON list, an element a line, in the order of ``df``; its one writer sorts, and spills, on its disk."""
-    numbered = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).withColumn("_i", F.monotonically_increasing_id())
-    comma = F.when(F.row_number().over(Window.orderBy("_i")) == 1, "").otherwise(",")
-    body = numbered.select(F.concat(comma, "value").alias("value"), "_i")
-    mark = lambda c, at: df.sparkSession.range(1).select(F.lit(c).alias("value"), F.lit(at).cast("long").alias("_i"))
-    lines = mark("[", -1).unionAll(body).unionAll(mark("]", (1 << 63) - 1))
-    lines.coalesce(1).sortWithinPartitions("_i").select("value").write.mode(mode).text(path)
-
-
 def log(df: DataFrame, path: str) -> int:
     """Append rows to a JSON log; the number of lines that it holds then."""
     df.write.mode("append").json(path)
