@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import increments, near_names, quantiles, sessions, set_join
 from ..session import scratch, table
+from ..sources import trees
 from .catalog import query, r6
 
 #: Rows of a run and of a sort, small, so that the tables' hot keys are split at every size.
@@ -91,3 +92,22 @@ def incremental_pairs(spark, sf):
         days.add(rows.filter(lot).drop("lot"))
     found = days.table("pairs")
     return found.select("chat_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "text", "response", F.col("response_ts").cast("timestamp_ntz").alias("response_ts"))
+
+
+@query("""with recursive t(v, path, depth) as (
+select json(props), '$', 0 from clicks where props is not null and json_valid(props) union all
+select e.value, t.path || case json_type(t.v) when 'OBJECT' then '.' || e.key else '[' || e.key || ']' end, depth + 1
+from t, json_each(t.v) e where json_type(t.v) in ('OBJECT', 'ARRAY') and not (json_type(t.v) = 'OBJECT' and e.key in ('tags', 'ver')))
+select path, depth, case json_type(v) when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then 'null' else 'leaf' end as kind,
+case when json_type(v) not in ('OBJECT', 'ARRAY', 'NULL') then v->>'$' end as value, count(*)::bigint as n from t group by all""")
+def click_props_tree(spark, sf):
+    """Every node of the clicks' nested properties but two dropped members, counted by path and value."""
+    found = trees.nodes(table(spark, sf, "clicks"), ["click_id"], "props", drop=("tags", "ver"))
+    return found.groupBy("path", "depth", "kind", "value").agg(F.count("*").alias("n"))
+
+
+@query("""select click_id, coalesce(case when json_valid(props) then props->>'$.device.os' end, 'unknown') as os, case when json_valid(props) then props->>'$.items[0].sku' end as sku from clicks""")
+def click_props_lookup(spark, sf):
+    os = trees.lookup("props", "device.os", "unknown")
+    sku = F.try_variant_get(F.try_parse_json("props"), "$.items[0].sku", "string")
+    return table(spark, sf, "clicks").select("click_id", os.alias("os"), sku.alias("sku"))
