@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import increments, near_names, quantiles, sessions, set_join
+from ..operators import increments, near_names, quantiles, sessions, set_join, vector_index
 from ..session import scratch, table
 from ..sources import trees
 from .catalog import query, r6
@@ -111,3 +111,14 @@ def click_props_lookup(spark, sf):
     os = trees.lookup("props", "device.os", "unknown")
     sku = F.try_variant_get(F.try_parse_json("props"), "$.items[0].sku", "string")
     return table(spark, sf, "clicks").select("click_id", os.alias("os"), sku.alias("sku"))
+
+
+@query("""with v as materialized (select vec_id, embedding::double[] as e from embeddings where embedding is not null and list_dot_product(embedding::double[], embedding::double[]) > 0),
+s as (select q.vec_id as query_id, v.vec_id as id, round(list_cosine_similarity(q.e, v.e), 9) as score from v, v q where q.vec_id % 10 = 0)
+select query_id, id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, id)::int as rank from s qualify rank <= 5""")
+def vector_batch_topk(spark, sf):
+    """Every tenth vector asks all vectors."""
+    rows = table(spark, sf, "embeddings")
+    index = vector_index.build(rows, "vec_id", "embedding")
+    found = vector_index.search(index, rows.filter("vec_id % 10 = 0"), "vec_id", "embedding", 5)
+    return found.select("query_id", "id", r6(F.col("score")).alias("score"), "rank")
