@@ -88,6 +88,17 @@ PLACE_NAMES = (
     "ροδοπη", "ροδοπης", "αρκαδια", "πελοποννησο", "πελοποννησου", "μακεδονια", "θρακη",
 )
 
+#: A question that takes an event for granted, and what replaces a claim about a calendar that was not read.
+PRESUPPOSES_EVENT = (
+    r"\b(?:θα|να)\s+\w+(?:ουμε|ούμε|ομαστε|όμαστε)\b"
+    r"|\bτι\s+ωρα\s+(?:θα|ειναι)\b"
+    r"|\b(?:η|την|στη|στην)\s+(?:συναντηση|εκδηλωση|παρουσιαση|δοκιμη|προβα|εξεταση|τελετη)\b"
+    r"|\b(?:το|στο)\s+(?:ραντεβου|μαθημα|meeting|call)\b"
+    r"|\bαυτο\s+που\s+(?:ειπαμε|λεγαμε|κανονισαμε)\b"
+)
+SCHEDULE_REFUSAL = "Δεν μπορώ να δω το ημερολόγιό μου τώρα, οπότε δεν ξέρω τι έχω. Πες μου τι ώρα σε βολεύει και το κοιτάζω."
+SCHEDULE_ASK_WHICH = "Σε τι αναφέρεσαι; Δεν μπορώ να δω το ημερολόγιό μου αυτή τη στιγμή, οπότε πες μου για ποιο πράγμα λες και τα κανονίζουμε."
+
 #: Places in a sentence where a name is expected; the name is the one capturing group.
 NAME_FRAMES = (
     r"\b(?:στον|στην|στου|στης)\s+([^\W\d_]{4,})",

@@ -102,3 +102,16 @@ def asserts(reply: Column, pattern: str) -> Column:
     """Whether a sentence that is no question matches."""
     parts = F.split(reply, r"(?<=[.!;?·])\s+|\n+")
     return F.exists(parts, lambda s: s.rlike(pattern) & ~F.trim(s).rlike(r"[;?]\z"))
+
+
+def without_schedule_claims(reply: Column, intent: Column, calendar_read: Column, message: Column, claim: str, presupposes: str = V.PRESUPPOSES_EVENT,
+                            refusal: str = V.SCHEDULE_REFUSAL, ask: str = V.SCHEDULE_ASK_WHICH, schedule: str = "schedule") -> Column:
+    """struct(text, replaced): a reply that claims something of a calendar that was not read becomes a refusal.
+
+    Only for the intent ``schedule``; a sentence that asks is no claim (see ``asserts``). Where the message takes an
+    event for granted, the reply asks which one. Both patterns look at folded texts, in either case. Nulls claim nothing.
+    """
+    claimed = (intent == schedule) & ~F.coalesce(calendar_read, F.lit(False)) & asserts(fold(reply), f"(?iU){claim}")
+    claimed = F.coalesce(claimed, F.lit(False))
+    instead = F.when(fold(F.coalesce(message, F.lit(""))).rlike(f"(?iU){presupposes}"), ask).otherwise(refusal)
+    return F.struct(F.when(claimed, instead).otherwise(reply).alias("text"), claimed.alias("replaced"))

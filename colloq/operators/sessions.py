@@ -94,3 +94,17 @@ def pairs_scan(rows: DataFrame, chat: str, ts: str, tie: str, is_me: Column, tex
 def sessions_of(threaded: DataFrame, chat: str, ts: str) -> DataFrame:
     """A row per thread: chat, thread_id, start, last, n; counted map-side, so a hot chat costs a row per task and thread."""
     return threaded.groupBy(chat, "thread_id").agg(F.min(ts).alias("start"), F.max(ts).alias("last"), F.count("*").alias("n"))
+
+
+def row_numbers(rows: DataFrame, order: list[str], name: str, parts: int = 0) -> DataFrame:
+    """Adds ``name``: numbers from 0 over all rows in the order of the columns, without one task that sees all.
+
+    Rows are dealt by ranges, numbered in their range, and moved by how many rows stand in the ranges before: a table
+    of a row for each range.
+    """
+    dealt = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
+    dealt = written(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+    counted = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counted.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return own.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, F.col("_own") - 1 + F.col("_before")).drop("_part", "_p", "_own", "_before")

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times, vectors
-from ..operators import agency, claims, conversation, dataset, formats, medallion, metrics, mining, privacy, search
+from ..operators import agency, claims, conversation, dataset, formats, medallion, metrics, mining, privacy, search, sessions
 from ..session import scratch, table
 from ..sources import messages
-from . import literals, round_trips, shop  # noqa: F401 - they register their queries
+from . import computed, literals, round_trips, shop  # noqa: F401 - they register their queries
 from .catalog import ORACLES, QUERIES, expected as _expected, given as _given, literal as _literal, long, oracle_sql, queries, query, r6  # noqa: F401
 
 # Sessions and pairs ---------------------------------------------------------------------------
@@ -395,9 +395,9 @@ def _accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with one benchmark item as context; from as many documents as items on, every item is used."""
     items = table(spark, sf, "benchmark")
     n = max(1, items.count())
-    items = items.select(F.col("text").alias("context"), (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("k"))
+    items = sessions.row_numbers(items.select("item_id", F.col("text").alias("context")), ["item_id"], "k").drop("item_id")
     rows = table(spark, sf, "documents")
-    return rows.join(F.broadcast(items), F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(n)) == F.col("k"))
+    return rows.join(items, F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(n)) == F.col("k"))
 
 
 @query(_ACC + """, g as (select doc_id, cw, len(w) as n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) as g from w)
@@ -494,11 +494,13 @@ def scaling_report(spark, sf):
     return metrics.scaling(t).select("num_workers", "seconds", *(r6(F.col(c)).alias(c) for c in ("speedup", "efficiency", "overhead_s")))
 
 
-@query("""select lang, round(avg(n_chars) filter (source = 'src0'), 6) as src0, round(avg(n_chars) filter (source = 'src1'), 6) as src1
-from documents where source in ('src0', 'src1') group by lang""")
+_SOURCES = [f"src{k}" for k in range(20)]
+
+
+@query("select lang, " + ", ".join(f"round(avg(n_chars) filter (source = '{s}'), 6) as {s}" for s in _SOURCES) + " from documents group by lang")
 def side_by_side(spark, sf):
-    rows = metrics.side_by_side(table(spark, sf, "documents").filter("source in ('src0', 'src1')"), "lang", "source", "n_chars", ["src0", "src1"])
-    return rows.select("lang", *(r6(F.col(c)).alias(c) for c in ("src0", "src1")))
+    rows = metrics.side_by_side(table(spark, sf, "documents"), "lang", "source", "n_chars", _SOURCES)
+    return rows.select("lang", *(r6(F.col(c)).alias(c) for c in _SOURCES))
 
 
 @query("""with t as (select event_type, count(*) as n from events group by event_type)

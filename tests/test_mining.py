@@ -71,3 +71,17 @@ def test_places(spark):
     assert sorted((r.start, r.word) for r in mining.with_places(rows, "t", frames, ["id"]).collect()) == want
     assert rows.select(F.size(mining.captures(F.lit(None).cast("string"), "(x)"))).first()[0] in (None, -1)
     assert mining.ranked_report(mining.mine_surnames(rows, "t", frames, least=1)).count() > 0
+
+
+def test_claims_of_an_unread_calendar(spark):
+    from colloq.operators import claims
+
+    rows = [
+        ("Θα πάω στο πάρτυ.", "schedule", False, "τι κάνεις;"), ("Θα πάω στο πάρτυ.", "schedule", None, "Τι ώρα θα ξεκινήσουμε;"), ("Θα πάω στο πάρτυ;", "schedule", False, "τι"),
+        ("Θα πάω στο πάρτυ.", "schedule", True, "τι"), ("Θα πάω στο πάρτυ.", "casual", False, "τι"), (None, "schedule", False, None), ("Καλά. Ναι;\nθα παω", "schedule", False, None),
+    ]
+    frame = spark.createDataFrame(rows, "reply string, intent string, ok boolean, message string")
+    c = claims.without_schedule_claims(F.col("reply"), F.col("intent"), F.col("ok"), F.col("message"), r"\bθα\s+παω\b")
+    found = [(r.c.text, r.c.replaced) for r in frame.select(c.alias("c")).collect()]
+    assert [x for _, x in found] == [True, True, False, False, False, False, True]
+    assert [t for t, _ in found] == [V.SCHEDULE_REFUSAL, V.SCHEDULE_ASK_WHICH, rows[2][0], rows[3][0], rows[4][0], None, V.SCHEDULE_REFUSAL]

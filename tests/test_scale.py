@@ -114,3 +114,10 @@ def test_index_reads_texts_once_and_grows(spark, tmp_path):
     assert tuples(stored.terms.select("term", "df")) == tuples(whole.terms.select("term", "df"))
     plan = search.scores(search.build_index(docs, terms=terms), terms)._jdf.queryExecution().executedPlan().toString()
     assert "regexp" not in plan.split("query")[0] and "PartitionFilters: [bucket" in stored.postings._jdf.queryExecution().executedPlan().toString()
+
+
+def test_row_numbers(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000, None if i % 50 == 0 else i) for i in range(1000)], "a long, b long")
+    found = sessions.row_numbers(rows, ["a"], "k", parts=7).collect()
+    assert sorted(r.k for r in found) == list(range(1000)) and all(r.k == r.a for r in found)
+    assert sessions.row_numbers(rows.limit(0), ["a"], "k").count() == 0
