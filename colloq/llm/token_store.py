@@ -1,13 +1,14 @@
 """Token ids in directly addressable codes (operator 2).
 
 File format: a Parquet table of segments in ascending document order. A segment holds up to
-``SEGMENT_TOKENS`` ids (more only for one longer document) of consecutive documents: their ids,
-their token offsets, and the ids as directly addressable codes. Level 0 holds the lowest 8 bits
+``SEGMENT_TOKENS`` ids (more only for one longer document) of consecutive documents: the least and largest id that
+is not null, their ids, their token offsets, and the ids as directly addressable codes. Level 0 holds the lowest 8 bits
 of every id, level 1 the next 8 bits of those ids that need them, and so on. Each level has a
 continuation bitmap (bit i: id i goes on in the next level) and a rank directory (ones before
 each 512-bit block), so id i is found with one rank per level and nothing else is decoded.
 ``write_store`` with a path keeps the files, ``open_store`` opens them again, ``tokens_at`` reads
-single ids and ``read_store`` every document.
+single ids and ``read_store`` every document. Segments stand in the order of doc_ids, so the statistics that
+Parquet keeps of least and largest ids leave out all files and row groups that are not asked.
 
 Defined results: a null or empty text is the end id alone; documents with equal or null doc_id
 are kept, nulls first, equal ids by text hash; an empty table gives no rows; extra columns are
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import spaced_words
@@ -33,6 +34,8 @@ from .common import partitions_for, written
 SEGMENT_TOKENS = 1 << 20
 CHUNK_BITS = 8
 BLOCK_BITS = 512
+#: Ranges of doc_ids that a lookup filters segments by, at most.
+RANGES = 64
 #: Input bytes for each range partition.
 PARTITION_BYTES = 8 << 20
 
@@ -98,9 +101,9 @@ class Dac:
         return out
 
 
-SEGMENT_SCHEMA = "part int, before long, doc_ids array<long>, offsets array<long>, n_tokens long, codes binary"
+SEGMENT_SCHEMA = "part int, before long, first_id long, last_id long, doc_ids array<long>, offsets array<long>, n_tokens long, codes binary"
 _SEGMENT_TYPES = [
-    ("part", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+    ("part", pa.int32()), ("before", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
     ("offsets", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("codes", pa.binary()),
 ]
 
@@ -121,7 +124,8 @@ def write_store(docs: DataFrame, vocabulary: str, path: str | None = None, end_i
         def segment() -> pa.RecordBatch:
             offsets = np.concatenate(([0], np.cumsum([len(c) // 2 for c in codes])))
             data = dac_encode(np.frombuffer(b"".join(codes), "<u2"))
-            values = (part, before, ids, offsets.tolist(), int(offsets[-1]), data)
+            there = [i for i in ids if i is not None] or [None]
+            values = (part, before, there[0], there[-1], ids, offsets.tolist(), int(offsets[-1]), data)
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, (_, t) in zip(values, _SEGMENT_TYPES, strict=True)], [n for n, _ in _SEGMENT_TYPES]
             )
@@ -150,11 +154,24 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SEGMENT_SCHEMA).parquet(path)
 
 
+def _between(asked: DataFrame) -> Column:
+    """Whether a segment may hold an asked doc_id: within one of at most ``RANGES`` ranges, which have gaps between them."""
+    shares = [k / RANGES for k in range(1, RANGES)]
+    cuts = asked.agg(F.percentile_approx("doc_id", shares, 100 * RANGES)).first()[0] or []
+    held = F.array(*(F.lit(c) for c in sorted({*cuts}))).cast("array<bigint>")
+    ranges = asked.groupBy(F.size(F.filter(held, lambda c: c <= F.col("doc_id"))).alias("r")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    found = F.lit(False)
+    for r in ranges.collect():
+        found = found | ((F.col("first_id") <= r.high) & (F.col("last_id") >= r.low))
+    return found
+
+
 def tokens_at(store: DataFrame, positions: DataFrame) -> DataFrame:
     """doc_id, position, token for the (doc_id, position) rows asked, by rank alone.
 
-    The segments' document lists lead to a segment and a place in it; only segments that are asked
-    give their codes, and no level is decoded as a whole. A segment's different places are one
+    The ids asked are put into at most ``RANGES`` ranges, which the scan is filtered by. The document lists of what
+    is left lead to a segment and a place in it; only segments that are asked give their codes, and no
+    level is decoded as a whole. A segment's different places are one
     row, as many as it has ids at most.
     """
 
@@ -167,11 +184,13 @@ def tokens_at(store: DataFrame, positions: DataFrame) -> DataFrame:
 
     asked = positions.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias("position"))
     asked = asked.filter("doc_id is not null and position >= 0").distinct()
-    places = store.select("part", "before", "offsets", F.posexplode("doc_ids").alias("k", "doc_id"))
+    asked = written(asked, "asked")
+    near = store.filter(_between(asked))
+    places = near.select("part", "before", "offsets", F.posexplode("doc_ids").alias("k", "doc_id"))
     places = places.select("part", "before", "doc_id", F.expr("offsets[k]").alias("at"), F.expr("offsets[k + 1] - offsets[k]").alias("n"))
     hits = places.join(asked, "doc_id").filter("position < n")
     per = hits.groupBy("part", "before").agg(F.collect_list(F.struct("doc_id", "position", (F.col("at") + F.col("position")).alias("i"))).alias("asked"))
-    return store.select("part", "before", "codes").join(per, ["part", "before"]).select("codes", "asked").mapInArrow(run, "doc_id long, position long, token long")
+    return near.select("part", "before", "codes").join(per, ["part", "before"]).select("codes", "asked").mapInArrow(run, "doc_id long, position long, token long")
 
 
 def read_store(store: DataFrame) -> DataFrame:

@@ -86,6 +86,9 @@ def test_single_tokens_from_the_files(spark, odd_docs, empty_docs, tmp_path, mon
     assert {tuple(r) for r in found} == want
     assert len(found) == len(want) + len({w for w in want if w[0] == 5})
     assert token_store.tokens_at(store, spark.createDataFrame([], "doc_id long, position long")).count() == 0
+    one = spark.createDataFrame([(40, 0), (150, 0)], "doc_id long, position long")
+    near = store.filter(token_store._between(one))
+    assert 0 < near.count() < store.count() / 2 and "PushedFilters: [Or(" in near._jdf.queryExecution().executedPlan().toString()
 
 
 def test_repeated_ids_are_documents_of_their_own(spark, odd_docs):
