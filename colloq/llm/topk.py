@@ -36,6 +36,8 @@ BLOCK, CHUNK = 2048, 256
 DEPTHS = (0.05, 0.15, 0.3, 0.5, 0.75, 1.0)
 #: Sum of squares below which scores and their bounds are exact in doubles.
 EXACT = 2.0**52
+#: Blocks whose sorted lists a task keeps (about 2 MB each at 64 dimensions), the last met.
+HELD = 16
 #: Query chunks whose best scores a task remembers from block to block.
 REMEMBERED = 4096
 
@@ -144,7 +146,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     chunks = _packed(queries, CHUNK)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, lists = None, None
+        held: dict[int, Lists] = {}  # the blocks met last; the join may give blocks in any order
         reached: dict[int, np.ndarray] = {}
         for batch in batches:
             for row in range(batch.num_rows):
@@ -156,8 +158,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                         found, score = best_whole(ids, vectors, query, q, k)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), query, np.int64)), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
                     continue
-                if b != block:
-                    block, lists = b, Lists(ids, ints, dim)
+                lists = held.pop(b, None) or Lists(ids, ints, dim)
+                held[b] = lists
+                if len(held) > HELD:
+                    del held[next(iter(held))]
                 q_ints = np.frombuffer(q_ints, "<i4").reshape(-1, dim)
                 tops = reached.get(chunk)
                 if tops is None:
