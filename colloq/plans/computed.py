@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import claims, privacy
+from .. import fixed_values as V
+from ..operators import claims, conversation, privacy
 from ..session import scratch, table
-from .catalog import query
+from .catalog import query, r6
 
 _FOLDED = "replace(strip_accents(lower({})), 'ß', 'ss')"
 _SENTENCES = "string_split(regexp_replace(regexp_replace({}, '([.!;?·])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1))"
@@ -62,3 +63,58 @@ def verified_documents(spark, sf):
     lists = {"gazetteer": ("stati",), "suffixes": ("tion",), "adjectival": ("ing",), "ordinary": ("station",), "places": ("action",)}
     privacy.clean_verified(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text"], path, **lists)
     return spark.read.schema("doc_id long, text string").json(path)
+
+
+#: Letters beyond ASCII become underscores, so that RE2's word boundaries fall as they do among all letters.
+_ASCII = "regexp_replace({}, '[À-ÖØ-öø-ɏͰ-Ͽἀ-῿]', '_', 'g')"
+
+
+def _intent_sql(patterns, boosted: str = "sensitive") -> str:
+    """Every pattern of every group in SQL: the best group, its confidence, and what its patterns found."""
+    scores, words, pick, found = [], [], "", ""
+    quoted = lambda p: "'(?i)" + p.replace("'", "''") + "'"
+    for k, (name, rules) in enumerate(patterns):
+        best = f"greatest({', '.join(f'case when regexp_matches(t, {quoted(p)}) then {w} else 0 end' for p, w in rules)}, 0)"
+        scores.append(f"case when {best} > 0 then least({best} + {0.1 if name == boosted else 0}, 1.0) else 0 end as s{k}")
+        hits = ", ".join(f"case when regexp_matches(t, {quoted(p)}) then regexp_extract(t, {quoted(p)}) end" for p, _ in rules)
+        words.append(f"array_to_string(list_filter([{hits}], lambda x: x is not null), '|') as k{k}")
+        pick += f" when s{k} = best then '{name}'"
+        found += f" when s{k} = best then k{k}"
+    greeting = conversation.GREETING.replace("(?iU)", "(?i)")
+    edges = "regexp_replace({}, '^[ ,.!;:·—-]+|[ ,.!;:·—-]+$', '', 'g')"
+    return f"""with l as (select conv_id, turn, trim(lower(coalesce(text, ''))) as lowered from conversations),
+g as (select *, {edges.format(f"regexp_replace(lowered, '{greeting}', '', 'g')")} as rest from l),
+x as (select *, {_ASCII.format("case when rest <> '' then rest else lowered end")} as t from g),
+s as (select *, {', '.join(scores)}, {', '.join(words)} from x),
+c as (select *, lowered = '' as empty, greatest({', '.join(f's{k}' for k in range(len(patterns)))}) as best from s)
+select conv_id, turn, case when empty or best < 0.5 then 'casual'{pick} end as intent,
+round((case when empty then 1 when best < 0.5 then 0.5 else best end)::double, 6) as confidence,
+case when empty or best < 0.5 then ''{found} end as keywords from c"""
+
+
+def _intents(spark, sf, patterns):
+    i = conversation.intent(F.col("text"), patterns)
+    return table(spark, sf, "conversations").select("conv_id", "turn", i.alias("i")).select(
+        "conv_id", "turn", "i.intent", r6(F.col("i.confidence")).alias("confidence"), F.array_join("i.keywords", "|").alias("keywords"))
+
+
+@query(_intent_sql(V.INTENT_PATTERNS))
+def intent_full_tables(spark, sf):
+    """The full pattern tables over all turns."""
+    return _intents(spark, sf, V.INTENT_PATTERNS)
+
+
+#: A Latin pattern or two for each branch of the router.
+_NINE = (
+    ("sensitive", ((r"\bhe\b", 0.8),)), ("personal", ((r"\bthat\b", 0.9), (r"ndly\b", 0.75))), ("knowledge", ((r"\bwith\b", 0.85), (r"stion", 0.7))),
+    ("memory", ((r"\bdes?\b", 0.9),)), ("schedule", ((r"\band\b", 0.8), (r"\bund\b", 0.9))), ("weather", ((r"\bin\b", 0.7),)),
+    ("news", ((r"\bis\b", 0.85),)), ("devops", ((r"\bto\b", 0.75), (r"ción", 0.9))), ("casual", ((r"^[a-e]", 0.6),)),
+)
+_ROUTED = "list_position(['sensitive', 'personal', 'knowledge', 'casual', 'memory', 'schedule', 'weather', 'news', 'devops'], intent) - 1"
+
+
+@query(f"select conv_id, turn, intent, confidence, ({_ROUTED})::int as branch from ({_intent_sql(tuple((n, tuple((p.replace('ción', 'ci_n'), w) for p, w in r)) for n, r in _NINE))})")
+def nine_routes(spark, sf):
+    """Every branch of the router, by patterns that the texts hold."""
+    found = _intents(spark, sf, _NINE)
+    return found.select("conv_id", "turn", "intent", "confidence", conversation.route(F.col("intent")).alias("branch"))

@@ -728,12 +728,6 @@ def reply_verdicts(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", claims.unusable(text, F.contains(F.lower(text), F.lit("station")), problems, ("the", "de")).alias("reason"), v["accuracy"].alias("accuracy"), v["answered"].alias("answered"))
 
 
-@query(None)
-def intent_full_tables(spark, sf):
-    """The full pattern tables over all turns."""
-    return table(spark, sf, "conversations").select("conv_id", "turn", conversation.intent(F.col("text")).alias("i")).select("conv_id", "turn", "i.intent", "i.confidence", F.array_join("i.keywords", "|").alias("keywords"))
-
-
 @query(None)
 def intent_sources_budget(spark, sf):
     """Context of each conversation: its turns as sources, six to a request, in the intent's order, within the budget."""
