@@ -68,14 +68,13 @@ def near_name_candidates(spark, sf):
     return near_names.candidates(some, names).select("token", "name", F.col("edits").cast("long").alias("edits"))
 
 
-@query("""with w as materialized (select conv_id * 1000 + turn as id, list_distinct(regexp_extract_all(replace(lower(text), 'ς', 'σ'), '[\\p{L}\\p{M}\\p{Nd}_]+')) as w from conversations),
+@query("""with w as materialized (select doc_id as id, list_distinct(regexp_extract_all(replace(lower(text), 'ς', 'σ'), '[\\p{L}\\p{M}\\p{Nd}_]+')) as w from documents),
 u as (select id, unnest(w) as x, len(w) as n from w),
 p as (select a.id as id_a, b.id as id_b, count(*) as shared, any_value(a.n) as na, any_value(b.n) as nb from u a join u b using (x) where a.id < b.id group by 1, 2)
 select id_a, id_b, round(shared / (na + nb - shared), 6) as jaccard from p where shared / (na + nb - shared) >= 0.5 - 1e-9""")
-def similar_turns(spark, sf):
-    """Turns whose words are alike by half or more."""
-    rows = table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    found = set_join.similar_pairs(rows, "id", T.words(F.col("text")), 0.5)
+def similar_documents(spark, sf):
+    """Documents whose words are alike by half or more."""
+    found = set_join.similar_pairs(table(spark, sf, "documents"), "doc_id", T.words(F.col("text")), 0.5)
     return found.select("id_a", "id_b", r6(F.col("jaccard")).alias("jaccard"))
 
 
