@@ -108,7 +108,10 @@ def candidates(tokens: DataFrame, names: DataFrame, ratio: float = 0.85) -> Data
     keys = written(name_keys(known, lengths, ratio), "name-keys")
     sizes = sorted({size for n in lengths for _, size in segments(n, ratio)})
     near = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    asked = token_keys(tokens.select("token").filter("token <> ''").distinct(), sizes)
+    # Tokens that are too short or too long for every name have no keys.
+    least, longest = floor(lengths[0] * ratio / (2 - ratio)), floor(lengths[-1] * (2 - ratio) / ratio) + 1
+    some = tokens.select("token").filter(F.length("token").between(max(1, least), longest)).distinct()
+    asked = token_keys(some, sizes)
     a, b = F.length("token"), F.length("name")
     most = edits_allowed(a, b, ratio)
     fits = (F.least(a, b) * 2 >= (a + b) * ratio - _EPS) & (F.abs(F.col("t.at") - F.col("n.at")) <= most)
