@@ -44,10 +44,15 @@ def threads(rows: DataFrame, chat: str, ts: str, tie: str, minutes: int = GAP_MI
 
 
 def sessions(rows: DataFrame, chat: str, ts: str, minutes: int = GAP_MINUTES) -> DataFrame:
-    """The same sessions by ``session_window``: one row each with start, end and size."""
-    window = F.session_window(F.col(ts), f"{minutes} minutes")
-    return rows.groupBy(F.col(chat), window.alias("w")).agg(F.count("*").alias("n")).select(
-        chat, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    """The same sessions by ``session_window``: one row each with start, end (``minutes`` after its last row) and size.
+
+    As in ``threads``, a gap is counted in whole seconds: windows are those of floored times, half a second
+    longer than the gap, so that neither a fraction nor a limit met exactly decides. Rows without a time are left out.
+    """
+    whole = F.col(ts) - F.make_dt_interval(secs=F.date_part(F.lit("second"), ts) % 1)
+    window = F.session_window(whole, f"{minutes * 60_000 + 500} milliseconds")
+    found = rows.groupBy(F.col(chat), window.alias("w")).agg(F.min(ts).alias("start"), F.max(ts).alias("last"), F.count("*").alias("n"))
+    return found.select(chat, "start", (F.col("last") + F.make_dt_interval(mins=F.lit(minutes))).alias("end"), "n")
 
 
 def pairs(rows: DataFrame, keys: list[str], order: list[str], is_me: Column, text: str, ts: str | None = None, minutes: int = GAP_MINUTES) -> DataFrame:
