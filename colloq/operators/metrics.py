@@ -95,6 +95,11 @@ def _share_found(items: Column, folded: Column, found: bool, empty: float) -> Co
     return T.let(folded, lambda inside: T.let(items, lambda v: share(v, inside)))
 
 
+def _folded(words: Column, fold) -> Column:
+    """The words, which hold no space, folded in one go."""
+    return T.let(words, lambda w: F.when(F.size(w) == 0, w).otherwise(F.split(fold(F.array_join(w, " ")), " ")))
+
+
 def pairwise_similarity(rows: DataFrame, id_: str, text: str) -> DataFrame:
     """id_a, id_b, jaccard of all pairs that share a word, by a join on words.
 
@@ -130,10 +135,10 @@ def latency(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
         F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95_s"), F.count(value).alias("n"))
 
 
-def grounding_score(response: Column, context: Column, least: int = 4) -> Column:
+def grounding_score(response: Column, context: Column, least: int = 4, words=T.words, fold=T.fold) -> Column:
     """Share of the response's longer words that occur in the context; 1 if it has none."""
-    long = F.array_distinct(F.transform(F.filter(T.words(response), lambda w: F.length(w) >= least), T.fold))
-    return _share_found(long, T.fold(F.coalesce(context, F.lit(""))), True, 1.0)
+    long = F.array_distinct(_folded(F.array_distinct(F.filter(words(response), lambda w: F.length(w) >= least)), fold))
+    return _share_found(long, fold(F.coalesce(context, F.lit(""))), True, 1.0)
 
 
 def unsupported_specifics(response: Column, context: Column, starters: Sequence[str] = T.SENTENCE_STARTERS) -> Column:
@@ -142,10 +147,22 @@ def unsupported_specifics(response: Column, context: Column, starters: Sequence[
     return _share_found(claims, T.fold(F.coalesce(context, F.lit(""))), False, 0.0)
 
 
-def verbatim_overlap(response: Column, context: Column, n: int = 5) -> Column:
-    """Share of the response's n-grams copied from the context; 0 below n words."""
-    grams = F.transform(T.ngrams(T.words(response), n), T.fold)
-    return _share_found(grams, T.fold(F.array_join(T.words(F.coalesce(context, F.lit(""))), " ")), True, 0.0)
+def verbatim_overlap(response: Column, context: Column, n: int = 5, words=T.words, fold=T.fold) -> Column:
+    """Share of the response's n-grams copied from the context; 0 below n words.
+
+    A text is folded as a whole, and an n-gram is put together only where the context has its second word.
+    """
+
+    def share(w: Column, inside: Column) -> Column:
+        def copied(i: Column) -> Column:
+            gram = F.contains(inside, F.array_join(F.slice(w, i + 1, n), " "))
+            return F.contains(inside, F.concat(F.lit(" "), F.get(w, i + 1), F.lit(" "))) & gram if n > 2 else gram
+
+        grams = F.size(w) - (n - 1)
+        return F.when(grams < 1, 0.0).when(grams >= 1, F.size(F.filter(F.sequence(F.lit(0), F.greatest(grams, F.lit(1)) - 1), copied)) / grams)
+
+    inside = fold(F.array_join(words(F.coalesce(context, F.lit(""))), " "))
+    return T.let(inside, lambda c: T.let(_folded(words(response), fold), lambda w: share(w, c)))
 
 
 def accuracy(rows: DataFrame) -> DataFrame:
@@ -195,10 +212,10 @@ def ablation(rows: DataFrame) -> DataFrame:
         F.avg("latency").alias("mean_latency"), F.avg(F.when(F.trim("reply") != "", n_words)).alias("mean_words"))
 
 
-def term_coverage(text: Column, terms: Sequence[str]) -> Column:
-    """Share of the expected terms that occur."""
-    folded = T.fold(text)
-    return sum((F.contains(folded, F.lit(T.fold_text(t))).cast("int") for t in terms), F.lit(0)) / max(len(terms), 1)
+def term_coverage(text: Column, terms: Sequence[str], fold=T.fold) -> Column:
+    """Share of the expected terms that occur, both folded; a null text has none."""
+    folded = fold(F.coalesce(text, F.lit("")))
+    return sum((F.contains(folded, fold(F.lit(t))).cast("int") for t in terms), F.lit(0)) / max(len(terms), 1)
 
 
 def side_by_side(rows: DataFrame, key: str, pivot: str, value: str, columns: Sequence[str]) -> DataFrame:
