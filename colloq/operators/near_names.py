@@ -4,7 +4,7 @@ The ratio of matching blocks is 2 M / (length of both), and M characters in comm
 (1 - ratio) * (length of both) characters at most to delete and insert. A name is cut into so many
 segments that one of them must have one such edit or none. So the token holds that segment, or the segment
 less a character, or a piece that is the segment plus a character within it. Those
-are keys of an equality join; positions, lengths and the edits themselves filter its hits without
+are keys of an equality join; positions, lengths, characters that the other lacks and the edits themselves filter its hits without
 loss, and the ratio is measured last, of what is left.
 """
 
@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..session import written
 
 #: Keys of names that are broadcast at most (about 40 bytes each); more are joined by a shuffle.
@@ -86,16 +87,23 @@ def edits(token: Column, name: Column) -> Column:
     bits = F.transform(F.sequence(F.lit(0), F.length(name) - 1), lambda i: F.struct(F.substring(name, i + 1, F.lit(1)).alias("c"), F.call_function("shiftleft", F.lit(1).cast("long"), i).alias("b")))
     full = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(name)) - 1
 
-    def step(v: Column, i: Column) -> Column:
+    def step(v: Column, i: Column, own: Column) -> Column:
         c = F.substring(token, i, F.lit(1))
-        mask = F.aggregate(F.filter(bits, lambda x: x["c"] == c), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x["b"]))
+        mask = F.aggregate(F.filter(own, lambda x: x["c"] == c), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x["b"]))
         u = v.bitwiseAND(mask)
         return (v + u).bitwiseOR(v - u).bitwiseAND(full)
 
-    common = F.length(name) - F.bit_count(F.aggregate(F.sequence(F.lit(1), F.length(token)), full, step))
+    left = let(bits, lambda own: F.aggregate(F.sequence(F.lit(1), F.length(token)), full, lambda v, i: step(v, i, own)))
+    common = F.length(name) - F.bit_count(left)
     return F.when(F.length(name) <= _WORD, F.length(token) + F.length(name) - 2 * common)
 
 
+def strangers(a: Column, b: Column) -> Column:
+    """Characters of either text that the other has nowhere: each of them takes an edit."""
+    lacked = lambda x, y: F.length(F.call_function("translate", x, y, F.lit("")))
+    return lacked(a, b) + lacked(b, a)
+
+
 def candidates(tokens: DataFrame, names: DataFrame, ratio: float = 0.85) -> DataFrame:
     """token, name, edits: pairs of (token) and (name) that may have the ratio; none that has it is missing.
 
@@ -114,7 +122,7 @@ def candidates(tokens: DataFrame, names: DataFrame, ratio: float = 0.85) -> Data
     asked = token_keys(some, sizes)
     a, b = F.length("token"), F.length("name")
     most = edits_allowed(a, b, ratio)
-    fits = (F.least(a, b) * 2 >= (a + b) * ratio - _EPS) & (F.abs(F.col("t.at") - F.col("n.at")) <= most)
+    fits = (F.least(a, b) * 2 >= (a + b) * ratio - _EPS) & (F.abs(F.col("t.at") - F.col("n.at")) <= most) & (strangers(F.col("token"), F.col("name")) <= most)
     pairs = asked.alias("t").join(near.alias("n"), ["size", "key"]).filter(fits).select("token", "name").distinct()
     return pairs.withColumn("edits", edits(F.col("token"), F.col("name"))).filter(F.coalesce(F.col("edits"), F.lit(0)) <= most)
 

@@ -63,3 +63,11 @@ def test_no_product_and_edges(spark):
         near_names.segments(10, 0.5)
     row = spark.createDataFrame([("kitten", "sitting"), ("abc", "abc"), ("漢字x", "y漢字")], "a string, b string").select(near_names.edits(F.col("a"), F.col("b")).alias("e"))
     assert [r.e for r in row.collect()] == [5, 0, 2]
+
+
+def test_characters_that_the_other_lacks_are_edits(spark):
+    """They never outnumber the edits, so pairs that are left out for them have too many; the letters' bits are made once a pair."""
+    pairs = [("anna", "anna"), ("annab", "anna"), ("xyz", "anna"), ("nana", "anna"), ("ωμ.x", "xω"), ("a[b]", "ab"), ("", "ab")]
+    f = spark.createDataFrame(pairs, "t string, n string")
+    rows = f.select(near_names.strangers(F.col("t"), F.col("n")).alias("s"), near_names.edits(F.col("t"), F.col("n")).alias("e")).collect()
+    assert [r.s for r in rows] == [0, 1, 7, 0, 2, 2, 2] and all(r.s <= r.e for r in rows[:-1])
