@@ -9,9 +9,10 @@ it, a cue word before it, its kind). What can be added are candidates that no ba
 the trees learn from those only: candidates that touch no base span are 0, and positives are base
 spans written without their deciding mark (``VARIANTS``: a spelled-out or spaced ``@``, no ``+``,
 points in a card number, spaced points in an address), one way for each span, by its hash. They
-learn from one half of a bounded sample of documents; over all candidates and variants of the
+learn from all documents of one half, by a hash of doc_id; over all candidates and variants of the
 other half a threshold is calibrated for each kind: the lowest score from which precision, by its
-exact lower confidence bound, is at least ``PRECISION``. Candidates at or above it that touch no
+exact lower confidence bound, is at least ``PRECISION``. Examples with equal features, clipped as the trees see them,
+are counted in Spark. Candidates at or above it that touch no
 base span are added (kinds ``likely_*``), best score first. A kind with too little evidence adds
 nothing. The precision is that of this mix of derived positives and real candidates.
 
@@ -24,8 +25,10 @@ rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import Boosted
-from .common import slices, smallest, written
+from . import boosting
+from .common import hashed, slices, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, *(f"likely_{k}" for k in BASE_KINDS))
-#: Documents that training reads at most, and candidates that the trees learn from one of them.
-TRAIN_DOCS, DOC_CANDIDATES = 4000, 64
 PRECISION, CONFIDENCE = 0.9, 0.95
 #: Documents whose texts and candidates a worker holds at once.
 SLICE = 512
@@ -183,9 +184,9 @@ def untouched(found: list[tuple[int, int, int]], base: list[tuple[int, int, int]
 class Model:
     """Trees and a threshold per kind (above 1: the kind adds nothing)."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, trees: boosting.Boosted | None):
         self.thresholds = np.full(len(BASE_KINDS), 2.0)
-        self.trees: Boosted | None = Boosted(x, y) if len(y) and 0 < y.sum() < len(y) else None
+        self.trees = trees
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """In thousandths, as thresholds are."""
@@ -196,56 +197,59 @@ def calibrated(score: np.ndarray, y: np.ndarray, count: np.ndarray | None = None
     """The lowest score from which the exact lower bound of precision is PRECISION or more."""
     best, a = 2.0, 1 - PRECISION
     count = np.ones(len(y), np.int64) if count is None else count
-    log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(count.sum()) + 1)))])
     for t in np.unique(np.round(score, 3))[::-1]:
         taken = score >= t
         n, wrong = int(count[taken].sum()), int((count * (1 - y))[taken].sum())
         if wrong <= n * a:
-            i = np.arange(wrong + 1)
-            tail = np.exp(log_fact[n] - log_fact[i] - log_fact[n - i] + i * np.log(a) + (n - i) * np.log(1 - a)).sum()
+            # The binomial tail downwards from its largest term; terms beyond 40 deviations are zero in doubles.
+            most = math.lgamma(n + 1) - math.lgamma(wrong + 1) - math.lgamma(n - wrong + 1) + wrong * math.log(a) + (n - wrong) * math.log(1 - a)
+            i = np.arange(wrong, max(0, wrong - 40 * math.isqrt(n) - 40), -1)
+            tail = math.exp(most) * (1 + np.cumprod(i * (1 - a) / ((n - i + 1) * a)).sum())
             if tail <= 1 - CONFIDENCE:
                 best = float(t)
     return best
 
 
-def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Model:
-    """Learn from the documents with the smallest hash of doc_id, ``rows`` at most."""
+#: Features of an example.
+_WIDTH = len(features("", (0, 0, 0)))
+
+
+def train(docs: DataFrame) -> Model:
+    """Learn from all documents: trees from one half, thresholds from the other, by a hash of doc_id."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(1):
-                found = examples(text.as_py() or "")
-                if len(found) > DOC_CANDIDATES:  # an even sample, by a hash of the features
-                    found = sorted(found, key=lambda f: (zlib.crc32(repr(f).encode()), f))[:DOC_CANDIDATES]
-                out.append([v for f in found for v in f])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["h", "f"])
+        for batch in slices(batches, SLICE):
+            ids, found = [], []
+            for d, text in zip(batch.column(0), batch.column(1), strict=True):
+                if own := examples(text.as_py() or ""):
+                    table = np.array(own)
+                    rows = np.column_stack([boosting.clipped(table[:, :-1]), table[:, -1].astype(np.uint8)])
+                    ids.append(d)
+                    found.append([{"x": r[:-1], "y": r[-1], "n": n} for r, n in sorted(Counter(map(bytes, rows)).items())])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, examples_of)], ["doc_id", "f"])
 
+    examples_of = pa.list_(pa.struct([("x", pa.binary()), ("y", pa.int32()), ("n", pa.int64())]))
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    chosen = smallest(known.select("doc_id").distinct(), rows, "pii")
-    # One text for each doc_id, the smallest; equal doc_ids meet map-side first.
-    sample = written(known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("h").alias("h"), F.min("text").alias("text")).select("h", "text"), "pii")
-    learned = sample.filter("h % 2 = 0").mapInArrow(extract, "h long, f array<long>").filter("size(f) > 0")
-    found = sorted((r.h, r.f) for r in learned.collect())
-    width = len(features("", (0, 0, 0))) + 1
-    table = np.array([v for _, f in found for v in f], np.int64).reshape(-1, width)
-    model = Model(table[:, :-1], table[:, -1].astype(np.float64))
+    counted = known.mapInArrow(extract, "doc_id long, f array<struct<x: binary, y: int, n: long>>")
+    # A doc_id counts once, by the text whose examples are greatest; equal ones meet map-side first.
+    one = counted.groupBy("doc_id").agg(F.max("f").alias("f")).select((hashed("pii") % 2).alias("half"), F.explode("f").alias("f"))
+    table = written(one.groupBy("half", "f.x", "f.y").agg(F.sum("f.n").alias("n")), "pii")
+    model = Model(boosting.fit(table.filter("half = 0").drop("half"), _WIDTH))
     if model.trees is None:
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(1):
-                if own := examples(text.as_py() or ""):
-                    own = np.array(own)
-                    columns = [pa.array(own[:, 0]), pa.array(shared.value.scores(own[:, :-1])), pa.array(own[:, -1])]
-                    yield pa.RecordBatch.from_arrays(columns, ["kind", "score", "y"])
+            own = boosting.unpacked(batch.column(0), _WIDTH)
+            columns = [pa.array(own[:, 0].astype(np.int64)), pa.array(shared.value.scores(own)), *batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "score", "y", "n"])
 
     # All of them count; what comes back is one row per kind, thousandth and label.
-    held = sample.filter("h % 2 = 1").mapInArrow(judge, "kind long, score double, y long").groupBy("kind", "score", "y").count().collect()
+    held = table.filter("half = 1").select("x", "y", "n").mapInArrow(judge, "kind long, score double, y int, n long")
+    held = held.groupBy("kind", "score", "y").agg(F.sum("n").alias("n")).collect()
     for kind in range(len(BASE_KINDS)):
-        own = np.array([(r.score, r.y, r["count"]) for r in held if r.kind == kind]).reshape(-1, 3)
+        own = np.array([(r.score, r.y, r.n) for r in held if r.kind == kind]).reshape(-1, 3)
         model.thresholds[kind] = calibrated(own[:, 0], own[:, 1].astype(np.int64), own[:, 2].astype(np.int64))
     return model
 

@@ -132,3 +132,19 @@ def test_trees_add_what_the_base_rules_miss(spark):
     added = [[t[a:b] for a, _, b in s] for t, s in zip(texts, pii.added_spans(texts, [[] for _ in texts], model))]
     assert added == [["jane.doe (at) mail.example dot com"], ["user7[at]mail.example.com"], ["1 (555) 234-5678"], ["4111.1111.1111.1111"], [], []]
     assert pii.redact(docs_frame(spark, texts[:1]), model).first().text == "mail [EMAIL] now"
+
+
+def test_all_documents_train(spark, monkeypatch):
+    """Evidence beyond any 4,000 documents counts, and all candidates of a text; sums in tasks give the trees of the driver."""
+    from llm_frames import docs_frame
+
+    seen = []
+    fit = pii.boosting.fit
+    monkeypatch.setattr(pii.boosting, "fit", lambda rows, width, local=None: (seen.append(rows), fit(rows, width, local))[1])
+    texts = [f"call +1 (555) {i:03d}-{i:04d} ref {i:09d}" for i in range(5000)] + [" ".join(f"no {i:09d}." for i in range(300))]
+    frame = docs_frame(spark, texts)
+    model = pii.train(frame.union(frame.filter("doc_id < 50")))  # a repeated doc_id counts once
+    table = seen[0].sparkSession.read.parquet(seen[0].inputFiles()[0].rsplit("/", 1)[0])
+    assert table.agg({"n": "sum"}).first()[0] == sum(len(pii.examples(t)) for t in texts)
+    other = fit(seen[0], len(pii.features("", (0, 0, 0))), 0)
+    assert other.trees == model.trees.trees and other.start == model.trees.start
