@@ -6,6 +6,7 @@ All are built from Catalyst expressions. Regular expressions carry ``(?U)`` so t
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -38,10 +39,19 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
+def _all_ascii(text: Column) -> Column:
+    """Whether a text has nothing to strip: as many bytes as letters."""
+    return F.octet_length(text) == F.length(text)
+
+
 def fold(text: Column) -> Column:
     """Lower case without diacritics; final sigma is sigma, sharp s is ss."""
-    lowered = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    return F.regexp_replace(F.translate(lowered, _FOLD_FROM + "ς", _FOLD_TO + "σ"), r"\p{M}+", "")
+
+    def full(t: Column) -> Column:
+        lowered = F.replace(F.lower(t), F.lit("ß"), F.lit("ss"))
+        return F.regexp_replace(F.translate(lowered, _FOLD_FROM + "ς", _FOLD_TO + "σ"), r"\p{M}+", "")
+
+    return let(text, lambda t: F.when(_all_ascii(t), F.lower(t)).otherwise(full(t)))
 
 
 def fold_text(text: str) -> str:
@@ -51,7 +61,8 @@ def fold_text(text: str) -> str:
 
 def strip_accents(text: Column) -> Column:
     """Without diacritics, case and final sigma kept."""
-    return F.regexp_replace(F.translate(text, _STRIP_FROM, _STRIP_TO), r"\p{M}+", "")
+    full = lambda t: F.regexp_replace(F.translate(t, _STRIP_FROM, _STRIP_TO), r"\p{M}+", "")
+    return let(text, lambda t: F.when(_all_ascii(t), t).otherwise(full(t)))
 
 
 def search_tokens(text: Column) -> Column:
@@ -95,6 +106,63 @@ def ngrams(tokens: Column, n: int) -> Column:
     return let(tokens, windows)
 
 
+def _case_variants() -> tuple[str, str]:
+    """Small letters with another small letter's capital (final sigma, long s), and those others."""
+    found = [(c, c.upper().lower()) for c in map(chr, range(0x80, 0x1FFFF)) if not 0xD800 <= ord(c) < 0xE000 and c == c.lower()]
+    # One letter's final sigma is by its place; here it is sigma.
+    found = [(c, o.replace("ς", "σ")) for c, o in found if len(o) == 1 and o.replace("ς", "σ") != c]
+    return "".join(c for c, _ in found), "".join(o for _, o in found)
+
+
+_CASE_FROM, _CASE_TO = _case_variants()
+
+
+def caseless(text: Column) -> Column:
+    """One form of all letters that differ in case alone."""
+    return F.translate(F.lower(text), _CASE_FROM, _CASE_TO)
+
+
+def needed(pattern: str) -> set[str] | None:
+    """Literals, lower-cased, of which every match of a regular expression holds one; none if that is not plain to see."""
+    try:
+        tree = re._parser.parse(pattern)
+    except re.error:
+        return None
+    plain = lambda s: s.lower().translate(str.maketrans(_CASE_FROM, _CASE_TO))
+
+    def of(items) -> set[str] | None:
+        best, run = [], ""
+        for op, arg in [*items, (None, None)]:
+            if op is re._constants.LITERAL:
+                run += chr(arg)
+                continue
+            if run:
+                best.append({plain(run)})
+                run = ""
+            if op is re._constants.SUBPATTERN:
+                best.append(of(arg[3]))
+            elif op is re._constants.BRANCH:
+                every = [of(x) for x in arg[1]]
+                best.append(None if None in every else set().union(*every))
+            elif op in (re._constants.MAX_REPEAT, re._constants.MIN_REPEAT) and arg[0]:
+                best.append(of(arg[2]))
+        found = [b for b in best if b]
+        return max(found, key=lambda b: (min(map(len, b)), -len(b)), default=None)
+
+    return of(tree)
+
+
+def may_hold(plain: Column, pattern: str) -> Column:
+    """Whether a text in its ``caseless`` form may hold a match of the pattern, letters of either case; never false where it does."""
+    literals = needed(pattern)
+    if literals is None:
+        return F.lit(True)
+    found = F.lit(False)
+    for literal in sorted(literals):
+        found = found | F.contains(plain, F.lit(literal))
+    return found
+
+
 def contains_any(folded: Column, markers: Sequence[str]) -> Column:
     """Whether a folded text holds any of the markers (folded here)."""
     found = F.lit(False)

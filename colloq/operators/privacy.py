@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.text import alternation, fold, fold_text, strip_accents
+from ..functions.text import alternation, fold, fold_text, let, strip_accents
 from ..sources import publish
 
 #: Placeholders and patterns, in the order in which they are applied.
@@ -181,14 +181,18 @@ def redact_given_names(text: Column, placeholder: str = "[NAME]", **lists) -> Co
 def surname(token: Column, gazetteer: Sequence[str] = (), own: Sequence[str] = (), suffixes=V.SURNAME_SUFFIXES,
             adjectival=V.ADJECTIVAL_ENDINGS, ordinary=V.NOT_SURNAMES, places=V.PLACE_NAMES) -> Column:
     """Short and own names no, gazetteer prefix yes, listed words and adjectives no, typical ending yes."""
-    f = fold(token)
-    ends = lambda xs: f.rlike(f"(?:{alternation([fold_text(x) for x in xs])})\\z") if xs else F.lit(False)
-    starts = f.rlike(f"^(?:{alternation([fold_text(x) for x in gazetteer])})") if gazetteer else F.lit(False)
+    ends = lambda f, xs: f.rlike(f"(?:{alternation([fold_text(x) for x in xs])})\\z") if xs else F.lit(False)
+    starts = lambda f: f.rlike(f"^(?:{alternation([fold_text(x) for x in gazetteer])})") if gazetteer else F.lit(False)
     drop = {fold_text(x) for x in (*ordinary, *places)}
-    return (
-        F.when(F.length(f) < 5, False).when(f.isin(*{fold_text(o) for o in own}) if own else F.lit(False), False).when(starts, True)
-        .when(f.isin(*drop) if drop else F.lit(False), False).when(ends(adjectival), False).otherwise(ends(suffixes))
-    )
+
+    def judge(f: Column) -> Column:
+        return (
+            F.when(F.length(f) < 5, False).when(f.isin(*{fold_text(o) for o in own}) if own else F.lit(False), False).when(starts(f), True)
+            .when(f.isin(*drop) if drop else F.lit(False), False).when(ends(f, adjectival), False).otherwise(ends(f, suffixes))
+        )
+
+    # Folding makes two letters of one at most, so shorter tokens need none.
+    return F.when(F.length(token) < 3, False).otherwise(let(fold(token), judge))
 
 
 def redact_surnames(text: Column, placeholder: str = "[SURNAME]", **lists) -> Column:
@@ -198,8 +202,9 @@ def redact_surnames(text: Column, placeholder: str = "[SURNAME]", **lists) -> Co
 def surname_counts(rows: DataFrame, fields: Sequence[str], **lists) -> DataFrame:
     """word, n of surnames over the fields."""
     all_ = F.array(*(F.coalesce(F.col(f), F.lit("")) for f in fields))
-    words = rows.select(F.explode(F.flatten(F.transform(all_, lambda t: F.regexp_extract_all(t, F.lit(r"(?U)[^\W\d_]+"), 0)))).alias("token"))
-    return words.filter(surname(F.col("token"), **lists)).groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n"))
+    hits = lambda t: F.filter(F.regexp_extract_all(t, F.lit(r"(?U)[^\W\d_]+"), 0), lambda w: surname(w, **lists))
+    words = rows.select(F.explode(F.flatten(F.transform(all_, hits))).alias("token"))
+    return words.groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n"))
 
 
 def clean_verified(rows: DataFrame, fields: Sequence[str], path: str, **lists) -> None:
