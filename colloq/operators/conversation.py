@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.text import alternation, capitalise_sentences, clean_name, fold, fold_text, let, space_words, trim_to_words
+from ..functions.text import alternation, capitalise_sentences, caseless, clean_name, fold, fold_text, let, may_hold, space_words, trim_to_words
 from .privacy import redact_surnames, sanitise
 
 #: A greeting with an optional form of address.
@@ -26,23 +26,25 @@ def intent(message: Column, patterns=V.INTENT_PATTERNS, greeting: str = GREETING
 
     The highest weight of a group's matching patterns is its score; ``boosted`` gains 0.1, up to
     1; the best group wins, the earlier on ties; under 0.5 the default at 0.5. A leading greeting
-    is left out unless nothing else remains; an empty message is the default at 1.
+    is left out unless nothing else remains; an empty message is the default at 1. A pattern is only tried on
+    a message that holds one of the literals that each of its matches has.
     """
     lowered = F.trim(F.lower(F.coalesce(message, F.lit(""))))
     rest = F.regexp_replace(F.regexp_replace(lowered, greeting, ""), _EDGES, "")
     text = F.when(rest != "", rest).otherwise(lowered)
 
-    def judge(t: Column) -> Column:
+    def judge(t: Column, plain: Column) -> Column:
         groups = []
         for order, (name, rules) in enumerate(patterns):
-            hits = F.filter(F.array(*(F.struct(F.regexp_extract(t, f"(?iU){p}", 0).alias("k"), t.rlike(f"(?iU){p}").alias("hit"), F.lit(float(w)).alias("w")) for p, w in rules)), lambda h: h["hit"])
+            rows = [F.when(may_hold(plain, p), F.struct(F.regexp_extract(t, f"(?iU){p}", 0).alias("k"), F.lit(float(w)).alias("w"), t.rlike(f"(?iU){p}").alias("hit"))) for p, w in rules]
+            hits = F.filter(F.array(*rows), lambda h: h.isNotNull() & h["hit"])
             score = F.coalesce(F.array_max(F.transform(hits, lambda h: h["w"])), F.lit(0.0))
             if name == boosted:
                 score = F.when(score > 0, F.least(score + BOOST, F.lit(1.0))).otherwise(0.0)
             groups.append(F.struct(score.alias("score"), F.lit(-order).alias("first"), F.lit(name).alias("intent"), F.transform(hits, lambda h: h["k"]).alias("keywords")))
         return F.array_max(F.array(*groups))
 
-    best = F.element_at(F.transform(F.array(text), judge), 1)
+    best = let(text, lambda t: let(caseless(t), lambda plain: judge(t, plain)))
     none = F.array().cast("array<string>")
     result = lambda i, c, k: F.struct(i.alias("intent"), c.alias("confidence"), k.alias("keywords"))
     return F.when(lowered == "", result(F.lit(default), F.lit(1.0), none)).otherwise(
