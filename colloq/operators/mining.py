@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.text import fold, fold_text, letter_runs
+from ..session import written
 from .privacy import given_name, surname
 
 #: Noncharacters that mark a captured span; a text that holds them has a third one in their place.
@@ -40,16 +43,20 @@ def around_group(pattern: str) -> tuple[str, str, str]:
     raise ValueError(f"{pattern!r} has no capturing group")
 
 
+def marked(text: Column, pattern: str) -> Column:
+    """The text with the group of every match between marks, by one replacement. Letters of either case match."""
+    before, name, after = around_group(pattern)
+    held = F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE))
+    plain = F.when(held, F.translate(text, _OPEN + _CLOSE, _OTHER * 2)).otherwise(text)
+    return F.regexp_replace(plain, f"(?iU)((?:{before}))({name})((?:{after}))", f"$1{_OPEN}$2{_CLOSE}$3")
+
+
 def captures(text: Column, pattern: str) -> Column:
     """array<struct<start int, word string>>: the group's text in every match, with its place in the text.
 
-    Matches are marked by one replacement; the places are running sums over the lengths of the parts
-    between marks. Letters of either case match.
+    The places are running sums over the lengths of the parts between marks.
     """
-    before, name, after = around_group(pattern)
-    plain = F.translate(text, _OPEN + _CLOSE, _OTHER * 2)
-    marked = F.regexp_replace(plain, f"(?iU)((?:{before}))({name})((?:{after}))", f"$1{_OPEN}$2{_CLOSE}$3")
-    parts = F.split(marked, f"[{_OPEN}{_CLOSE}]")  # captured ones are every second
+    parts = F.split(marked(text, pattern), f"[{_OPEN}{_CLOSE}]")  # captured ones are every second
     none = F.array().cast("array<struct<start:int,word:string>>")
     begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("captured"), none.alias("found"))
 
@@ -68,6 +75,28 @@ def framed_words(text: Column, frames: Sequence[str] = V.NAME_FRAMES) -> Column:
     return F.array_distinct(F.concat(*(captures(text, f) for f in frames)))
 
 
+def framed_counts(texts: DataFrame, text: str, frames: Sequence[str]) -> DataFrame:
+    """word, n: how often each word is a captured span, as ``framed_words`` has them; added up within a batch first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        between = re.compile(f"[{_OPEN}{_CLOSE}]")
+        for batch in batches:
+            found: Counter[str] = Counter()
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                spans = set()
+                for one in row:
+                    at = 0
+                    for k, part in enumerate(between.split(one)):
+                        if k % 2:
+                            spans.add((at, part))
+                        at += len(part)
+                found.update(word for _, word in spans)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
+    rows = texts.filter(F.col(text).isNotNull()).select(*(marked(F.col(text), f).alias(f"m{k}") for k, f in enumerate(frames)))
+    return rows.mapInArrow(run, "word string, n long")
+
+
 def without_prefix(words: DataFrame, stems: DataFrame, word: str = "word", stem: str = "stem") -> DataFrame:
     """Rows of ``words`` whose word begins with none of ``stems``, whatever their number.
 
@@ -84,16 +113,18 @@ def mine_surnames(texts: DataFrame, text: str, frames: Sequence[str] = V.NAME_FR
 
     A captured span counts once, however many frames capture it, so no ratio is above 1 where every
     captured word is a run of letters. Left out: ``noise``, own names, words that the surname or given-name rules know, and words
-    that begin with a stem of ``gazetteer`` (stem). Texts are read once; occurrences and frames are
-    counted by one aggregation. Null texts hold nothing.
+    that begin with a stem of ``gazetteer`` (stem). Occurrences and frames are counted by the words as
+    they stand, and folded then. Null texts hold nothing.
     """
-    one = lambda words, framed: F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(framed).alias("framed")))
-    spans = F.transform(framed_words(F.col(text), frames), lambda s: s["word"])
-    held = F.concat(one(letter_runs(F.col(text)), False), one(spans, True))
-    counted = texts.select(F.explode(held).alias("x")).groupBy(fold(F.col("x.w")).alias("word")).agg(
-        F.count_if("x.framed").alias("frames"), F.count_if(~F.col("x.framed")).alias("total"))
+    spans = framed_counts(texts, text, frames).select("word", F.col("n").alias("frames"), F.lit(0).cast("long").alias("total"))
+    runs = texts.select(F.explode(letter_runs(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("total"))
+    # Words are folded once each, not wherever they stand.
+    raw = spans.unionByName(runs.select("word", F.lit(0).cast("long").alias("frames"), "total")).groupBy("word").agg(F.sum("frames").alias("frames"), F.sum("total").alias("total"))
+    counted = raw.groupBy(fold(F.col("word")).alias("word")).agg(F.sum("frames").alias("frames"), F.sum("total").alias("total"))
     drop = sorted({fold_text(x) for x in (*noise, *own)})
-    kept = counted.filter((F.col("frames") >= least) & ~F.col("word").isin(*drop) & ~surname(F.col("word")) & ~given_name(F.col("word")))
+    # Written: the counts are read twice below, the texts once.
+    kept = written(counted.filter(F.col("frames") >= least), "counted")
+    kept = kept.filter(~F.col("word").isin(*drop) & ~surname(F.col("word")) & ~given_name(F.col("word")))
     if gazetteer is not None:
         kept = without_prefix(kept, gazetteer)
     return kept.withColumn("ratio", F.col("frames") / F.greatest("total", F.lit(1))).orderBy(F.desc("ratio"), F.desc("frames"), "word")
