@@ -150,19 +150,22 @@ def unsupported_specifics(response: Column, context: Column, starters: Sequence[
 def verbatim_overlap(response: Column, context: Column, n: int = 5, words=T.words, fold=T.fold) -> Column:
     """Share of the response's n-grams copied from the context; 0 below n words.
 
-    A text is folded as a whole, and an n-gram is put together only where the context has its second word.
+    A text is folded as a whole, and an n-gram is put together only where the context has its inner words: those
+    that both have are found once for each row, by a hash.
     """
 
-    def share(w: Column, inside: Column) -> Column:
+    def share(w: Column, inside: Column, both: Column) -> Column:
         def copied(i: Column) -> Column:
             gram = F.contains(inside, F.array_join(F.slice(w, i + 1, n), " "))
-            return F.contains(inside, F.concat(F.lit(" "), F.get(w, i + 1), F.lit(" "))) & gram if n > 2 else gram
+            for k in range(min(n - 2, 3), 0, -1):
+                gram = F.array_contains(both, F.get(w, i + k)) & gram
+            return gram
 
         grams = F.size(w) - (n - 1)
         return F.when(grams < 1, 0.0).when(grams >= 1, F.size(F.filter(F.sequence(F.lit(0), F.greatest(grams, F.lit(1)) - 1), copied)) / grams)
 
     inside = fold(F.array_join(words(F.coalesce(context, F.lit(""))), " "))
-    return T.let(inside, lambda c: T.let(_folded(words(response), fold), lambda w: share(w, c)))
+    return T.let(inside, lambda c: T.let(_folded(words(response), fold), lambda w: T.let(F.array_intersect(w, F.split(c, " ")), lambda both: share(w, c, both))))
 
 
 def accuracy(rows: DataFrame) -> DataFrame:
