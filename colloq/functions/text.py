@@ -211,8 +211,9 @@ SENTENCE_STARTERS = (
 
 def checkable_claims(text: Column, starters: Sequence[str] = SENTENCE_STARTERS) -> Column:
     """Folded numbers and capitalised words (three letters or more) that can be checked."""
-    numbers = F.regexp_extract_all(text, F.lit(r"(?U)\b\d[\d.,:/]*\b"), 0)
-    names = F.regexp_extract_all(text, F.lit(r"(?U)\b[Α-ΩΆΈΉΊΌΎΏA-Z][α-ωάέήίόύώϊϋΐΰa-z]{2,}\b"), 0)
+    # The first character is looked at before the word boundary, which takes far longer.
+    numbers = F.regexp_extract_all(text, F.lit(r"(?U)(?=\d)\b\d[\d.,:/]*\b"), 0)
+    names = F.regexp_extract_all(text, F.lit(r"(?U)(?=[Α-ΩΆΈΉΊΌΎΏA-Z])\b[Α-ΩΆΈΉΊΌΎΏA-Z][α-ωάέήίόύώϊϋΐΰa-z]{2,}\b"), 0)
     named = F.filter(F.transform(names, fold), lambda w: ~w.isin(*(fold_text(s) for s in starters)))
     return F.array_distinct(F.concat(F.transform(numbers, fold), named))
 
