@@ -18,6 +18,9 @@ K1, B, RRF_K, GATE = 1.5, 0.75, 60, 0.62
 BROADCAST_TERMS = 500_000
 
 
+#: Pairs of query and document that a task adds up, about, and partitions at most.
+TASK_PAIRS, MOST_PARTITIONS = 1_000_000, 20_000
+
 #: Folders of a stored index that a term's postings may be in; a query reads those of its terms.
 BUCKETS = 64
 
@@ -106,11 +109,19 @@ def scores(index: Index, query_terms: DataFrame) -> DataFrame:
     """query_id, id, score of matching documents; a term counts as often as the query holds it.
 
     query_terms: query_id, term. The terms asked meet their idf first, which is small; that side
-    then meets the postings. The one-row statistics are broadcast.
+    then meets the postings. The one-row statistics are broadcast, and so are up to ``BROADCAST_TERMS`` terms asked.
     """
     counted = query_terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     asked = counted.join(index.terms.select("term", "idf"), "term").join(F.broadcast(index.stats.select("avgdl")))
-    hits = index.postings.join(asked, "term")
+    size = query_terms.agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("queries")).first()
+    if 0 < size.n <= BROADCAST_TERMS:
+        # Postings are dealt by document and then meet the terms asked, so a pair of query and document is made and added
+        # up in one task: what is shuffled is the postings, not every pair.
+        pairs = size.queries * (index.stats.first().n or 0)
+        parts = min(MOST_PARTITIONS, max(int(index.postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs // TASK_PAIRS))
+        hits = index.postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").repartition(parts, "id").join(F.broadcast(asked), "term")
+    else:
+        hits = index.postings.join(asked, "term")
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
