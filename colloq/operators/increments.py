@@ -48,7 +48,7 @@ class Days:
         pair_days = sorted({d for r in touched for d in r})
         if not own:
             return [], []
-        new.write.mode("append").partitionBy("day").parquet(f"{self.root}/bronze")
+        new.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(f"{self.root}/bronze")
         cleaned = clean(self.of("bronze", own).drop("day")).withColumn("day", F.to_date("ts"))
         replace_days(cleaned, f"{self.root}/clean", "day", own)
         replace_days(self._pairs(pair_days), f"{self.root}/pairs", "day", pair_days)

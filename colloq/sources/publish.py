@@ -97,7 +97,8 @@ def replace_days(df: DataFrame, path: str, day: str, days: Sequence) -> None:
     """
     spark = df.sparkSession
     rows = written(df, "days")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    # A day's rows meet, so it gets few files and not one from every task; adaptive execution cuts large days.
+    rows.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
     there = {str(r[0]) for r in rows.select(day).distinct().collect()}  # at most the days asked
     for d in {str(d) for d in days} - there:
         fs, at = _path(spark, f"{path.rstrip('/')}/{day}={d}")
