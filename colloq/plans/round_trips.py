@@ -307,9 +307,9 @@ def stream_closed_sessions(spark, sf):
     source, path, checkpoint = (scratch(spark, f"closed-{x}") for x in ("in", "out", "checkpoint"))
     rows = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     lot = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
-    for k in range(4):
-        rows.filter(lot == k).coalesce(1).write.mode("append").parquet(source)
-    closed = stateful.closed_sessions(stateful.lots(spark, "user_id long, ts timestamp", source), "user_id", "ts")
-    stateful.run(closed, path, checkpoint)
+    for k in range(4):  # a lot is as many files as its tasks write, and one batch: the stream goes on where it stopped
+        rows.filter(lot == k).write.mode("append").parquet(source)
+        closed = stateful.closed_sessions(spark.readStream.schema("user_id long, ts timestamp").parquet(source), "user_id", "ts")
+        stateful.run(closed, path, checkpoint)
     s = spark.read.parquet(path)
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start_ts"), F.col("end").cast("timestamp_ntz").alias("end_ts"), "n")
