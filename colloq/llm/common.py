@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +75,49 @@ def smallest(rows: DataFrame, wanted: int, salt: str) -> DataFrame:
     return marked.filter(below(F.col("h"), wanted, F.lit(float(max(n, 1))))).orderBy("h", *rows.columns).limit(wanted)
 
 
+#: Whole numbers are sums of values in units of 1 / UNITS, so they are the same in any order.
+UNITS = float(1 << 32)
+
+
+def weighed(parts: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
+    """(documents, coordinates, means) of rows (i, v): ``v`` in units times the documents of its part, those alone at i = -1."""
+    found = parts.groupBy("i").agg(F.sum(F.col("v").cast("decimal(28,0)")).cast("double").alias("v")).toArrow()
+    i, v = (found.column(c).to_numpy() for c in ("i", "v"))
+    order = np.argsort(i)
+    i, v = i[order], v[order]
+    return (float(v[0]), i[1:], v[1:] / UNITS / v[0]) if len(i) else (0.0, i, v)
+
+
+class Packer:
+    """Whole numbers from 0 to 2**32 - 1 as compressed planes of bytes."""
+
+    def __init__(self) -> None:
+        self._press, self._unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+    def pack(self, numbers: np.ndarray) -> bytes:
+        return self._press.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+    def unpack(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(self._unpress.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+class Least:
+    """For each key the least of the byte strings seen by its checksum; says where one is less than those before it.
+
+    So of many rows of one key a task passes on few, and what is left is decided where they meet.
+    """
+
+    def __init__(self) -> None:
+        self._seen: dict = {}
+
+    def passes(self, key, data: bytes) -> int | None:
+        tie = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+        if tie >= self._seen.get(key, 1 << 63):
+            return None
+        self._seen[key] = tie
+        return tie
+
+
 def slices(batches, rows: int):
     """The batches in pieces of at most ``rows`` rows."""
     for whole in batches:

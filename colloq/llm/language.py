@@ -10,10 +10,13 @@ above chance) times the logistic loss of its margin against the codeword; the la
 loss is chosen, ``score`` is its share of exp(-``SHARPNESS`` * loss), and a share under
 ``AMBIGUOUS`` flags the text.
 
-Training learns every language. It takes ``ROWS_PER_LANGUAGE`` documents of each, or fewer where
-all together would be more than ``TRAIN_ROWS`` (one of each at least), those with the smallest
-hash of doc_id; a doc_id that stands on several rows is learned from once for each of its languages, from
-the text with the smallest vector. Prediction reads whole texts.
+Training learns from all documents of every language. They are dealt by a hash of doc_id to shards of
+about ``ROWS_PER_LANGUAGE`` times the number of languages (``SHARD_ROWS`` where that would be more; one of each at least); each
+shard trains the classifiers on its documents, in a task, languages weighing alike, and the model has the means of weights and
+training accuracies by documents (parameter mixing), added up in Spark. A language with too few documents to give each shard half
+of an equal share stands in several shards with the same documents, so that no shard lacks it. Up to one shard's rows there is one. A
+doc_id that stands on several rows is learned from once for each of its languages, from the text whose packed counts have the
+smallest checksum. Prediction reads whole texts.
 
 Defined results: null text or no letter: ``und``, score 0, not ambiguous; nothing to learn from:
 ``und`` for all; ties go to the language first in the alphabet; a null doc_id is never held out
@@ -25,16 +28,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import below, fold_of, hashed, slices, written
+from .common import UNITS, Least, Packer, below, fold_of, hashed, slices, weighed
 
 BITS = 12
-ROWS_PER_LANGUAGE, TRAIN_ROWS = 500, 16_000
+ROWS_PER_LANGUAGE, SHARD_ROWS = 500, 4_000
+#: Shards that a task trains one after the other.
+SHARDS_A_TASK = 4
 #: Languages up to which the code has every dichotomy.
 EXHAUSTIVE = 6
 SHARPNESS, AMBIGUOUS = 31.0, 0.6
@@ -113,9 +119,23 @@ class Model:
             m = 0.9 * m - 20.0 * (x.T @ g + 1e-5 * w)
             w += m
             b -= 2.0 * g.sum(0)
-        right = ((x @ w + b) * target > 0).mean(0)
+        self._keep(w, b, ((x @ w + b) * target > 0).mean(0))
+
+    def _keep(self, w: np.ndarray, b: np.ndarray, right: np.ndarray) -> None:
+        self.w, self.b, self.right = w, b, right
         self.bit_weight = np.maximum(2 * right - 1, 0.01).astype(np.float64)
-        self.w, self.b = w, b
+
+    def flat(self) -> np.ndarray:
+        """Weights, biases and training accuracies."""
+        return np.concatenate([self.w.ravel(), self.b, self.right]).astype(np.float64)
+
+    @classmethod
+    def of(cls, languages: list[str], flat: np.ndarray) -> Model:
+        model = cls.__new__(cls)
+        model.languages, model.code = languages, codewords(len(languages)).astype(np.float32)
+        bits = model.code.shape[1]
+        model._keep(flat[: -2 * bits].reshape(-1, bits).astype(np.float32), flat[-2 * bits : -bits].astype(np.float32), flat[-bits:])
+        return model
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language number, share) for each row."""
@@ -132,36 +152,73 @@ class Model:
         return best, p[np.arange(len(p)), best]
 
 
-def train(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model | None:
+def train(docs: DataFrame, rows: int | None = None) -> Model | None:
+    """The model of all documents; none if there is nothing to learn from.
+
+    ``rows`` is for trials, and no query gives it: only the ``rows`` documents of each language with the smallest hash are
+    learned from, in the driver.
+    """
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, packer = Least(), Packer()
         for batch in batches:
-            out = [vector(counts(t.as_py())).astype(np.float32).tobytes() for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["doc_id", "h", "lang", "x"])
+            keep, ties, out = [], [], []
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for k, (key, text) in enumerate(zip(keys, batch.column(4), strict=True)):
+                x = packer.pack(counts(text.as_py()))
+                if (tie := least.passes(key, x)) is not None:
+                    keep.append(k)
+                    ties.append(tie)
+                    out.append(x)
+            some = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.array(ties, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "k", "h", "chunks", "tie", "x"])
 
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     usable = usable.filter("doc_id is not null and text is not null and lang is not null and lang <> ''")
     usable = usable.filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
-    counted = written(usable.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).cast("double").alias("n")), "languages")
-    n_languages = counted.count()
-    if not n_languages:
-        return None
-    rows = max(1, min(rows, TRAIN_ROWS // n_languages))
-    # Only documents under a hash bound of their language are ranked, so no task gets a whole language.
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = usable.select("doc_id", "lang", hashed("language").alias("h")).join(counted, "lang")
-    ids = ids.filter(below(F.col("h"), rows, F.col("n"))).drop("n").distinct()
-    ids = ids.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rows).drop("k")
-    # Ids are broadcast where their number is bounded; beyond, there is one for each language.
-    near = F.broadcast(ids) if n_languages <= TRAIN_ROWS else ids
-    chosen = usable.join(near, ["doc_id", "lang"]).select("doc_id", "h", "lang", "text").mapInArrow(extract, "doc_id long, h long, lang string, x binary")
-    # One row for each chosen one: equal doc_ids meet here, map-side first.
-    one = chosen.groupBy("doc_id", "lang").agg(F.min("h").alias("h"), F.min("x").alias("x"))
-    found = sorted((r.h, r.lang, r.x) for r in one.collect())
-    number = {lang: k for k, lang in enumerate(sorted({lang for _, lang, _ in found}))}
-    if not number:
+    found = dict(usable.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).cast("double")).collect())
+    if not found:
         return None
-    x = np.stack([np.frombuffer(v, np.float32) for _, _, v in found])
-    return Model(list(number), x, np.array([number[lang] for _, lang, _ in found]))
+    languages = sorted(found)
+    each = max(1, min(ROWS_PER_LANGUAGE, SHARD_ROWS // len(languages)))
+    shards = 1 if rows is not None else max(1, round(sum(found.values()) / (each * len(languages))))
+    # A language's documents are dealt to its chunks; shard s has chunk s % chunks.
+    chunks = [max(1, min(shards, int(found[lang] / max(1, each // 2)))) for lang in languages]
+    names = docs.sparkSession.createDataFrame(list(zip(languages, range(len(languages)), chunks, found.values(), strict=True)), "lang string, k int, chunks int, n double")
+    # As many rows as the model has languages; in a shuffle a language's texts would meet in one task.
+    usable = usable.join(F.broadcast(names), "lang").withColumn("h", hashed("language"))
+    if rows is not None:
+        first = Window.partitionBy("k").orderBy("h", "doc_id")
+        ids = usable.filter(below(F.col("h"), rows, F.col("n"))).select("doc_id", "k", "h").distinct()
+        ids = ids.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rows).select("doc_id", "k")
+        usable = usable.join(ids, ["doc_id", "k"])
+    packed = usable.select("doc_id", "k", "h", "chunks", "text").mapInArrow(extract, "doc_id long, k int, h long, chunks int, tie long, x binary")
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Models of sorted rows (shard, h, k, doc_id, x), as ``weighed`` adds them up; of equal doc_ids and languages the first row counts."""
+        packer, total, n = Packer(), 0, 0
+        rows_of = (zip(*(b.column(c).to_pylist() for c in ("shard", "h", "k", "doc_id", "x")), strict=True) for b in batches)
+        for _, own in groupby(chain.from_iterable(rows_of), lambda r: r[0]):
+            one = [next(same)[2::2] for _, same in groupby(own, lambda r: r[:4])]
+            x = np.empty((len(one), 1 << BITS), np.float32)
+            for row, (_, packed_row) in zip(x, one, strict=True):
+                row[:] = vector(packer.unpack(packed_row))
+            model = Model(languages, x, np.array([k for k, _ in one]))
+            total = total + np.rint(model.flat() * UNITS).astype(np.int64) * len(one)
+            n += len(one)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total))), pa.array(np.insert(total, 0, n))], ["i", "v"])
+
+    order = ["shard", "h", "k", "doc_id", "tie"]
+    if rows is None:
+        dealt = packed.withColumn("shard", F.explode(F.sequence((F.col("h") % F.col("chunks")).cast("int"), F.lit(shards - 1), F.col("chunks")))).drop("chunks")
+        dealt = dealt.repartitionById(-(-shards // SHARDS_A_TASK), F.expr(f"shard div {SHARDS_A_TASK}").cast("int"))
+        parts = dealt.sortWithinPartitions(*order).mapInArrow(learned, "i long, v long")
+    else:
+        own = packed.withColumn("shard", F.lit(0)).orderBy(*order).toArrow().to_batches()
+        parts = docs.sparkSession.createDataFrame(pa.Table.from_batches(learned(own), pa.schema([("i", pa.int64()), ("v", pa.int64())])))
+    n, _, flat = weighed(parts)
+    return Model.of(languages, flat) if n else None
 
 
 def _judge(model: Model | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

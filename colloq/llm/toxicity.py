@@ -1,14 +1,16 @@
 """Toxicity by FTRL-proximal logistic regression (operator 8).
 
 Features are hashed word n-grams (one and two words) and skip-grams (two words with one word
-between) of the lower-cased whole text, each counted once per document. Training goes once per
-epoch over a bounded sample of labelled documents with per-coordinate rates and L1 and L2
-penalties; L1 leaves few non-zero weights, which are what is broadcast.
+between) of the lower-cased whole text, each counted once per document. A learner goes once per
+epoch over its documents with per-coordinate rates and L1 and L2 penalties; L1 leaves few non-zero
+weights.
 
-The sample is ``TRAIN_ROWS`` labelled documents at most, those with the smallest hash of doc_id,
-with all features of their whole texts. A doc_id that stands on several rows of either table is learned from
-once for each label, from the text whose features have the smallest checksum. The rows come to the driver as Arrow,
-each row's features as compressed differences (about 2 kB a document), and only one row is unpacked at a time.
+All labelled documents are learned from, with all features of their whole texts. They are dealt by a hash of
+doc_id to shards of about ``SHARD_ROWS``, in its order; each shard has a learner of its own, in a task, and the weights are the
+learners' means by documents (parameter mixing), added up in Spark. Up to ``SHARD_ROWS`` documents are one shard, so one learner.
+A shard whose features exceed ``PART_BYTES`` has several learners, one after the other. A doc_id that stands on several rows of
+either table is learned from once for each label, from the text whose features have the smallest checksum. What comes to the
+driver is a weight for each coordinate, 2**20 + 1 at most.
 
 Defined results: a null or empty text has no features and is scored by the bias alone; with no
 labelled rows all scores are (nearly) 0; documents with both labels count once for each; null labels
@@ -24,14 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, smallest
+from .common import UNITS, Least, Packer, fold_of, hashed, smallest, weighed, written
 
 BITS = 20
-TRAIN_ROWS = 20_000
+SHARD_ROWS = 20_000
+#: Packed features that a learner holds at most (but for a single document's).
+PART_BYTES = 1 << 26
+#: Labels up to which they are broadcast; beyond, documents and labels meet in a shuffle.
+BROADCAST_ROWS = 1_000_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2.0, 1.0
 THRESHOLD = 0.3
@@ -77,34 +82,76 @@ class Ftrl:
         self.n[i] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(coordinates, weights) that are not zero."""
+def _fitted(part: list[tuple[bytes, int]]) -> pa.RecordBatch:
+    """The weights of a learner of these packed features and labels, as ``weighed`` adds them up."""
+    model, packer = Ftrl(), Packer()
+    for _ in range(EPOCHS):
+        for f, label in part:
+            model.learn(np.cumsum(packer.unpack(f), dtype=np.int64), label)
+    w = np.rint(model.weights(slice(None)) * UNITS).astype(np.int64) * len(part)
+    keep = np.flatnonzero(w)
+    return pa.RecordBatch.from_arrays([pa.array(np.append(keep, -1)), pa.array(np.append(w[keep], len(part)))], ["i", "v"])
+
+
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Learners of a shard's rows (doc_id, toxic, f), in order; of equal doc_ids and labels the first row counts."""
+    part, size, last = [], 0, None
+    for batch in batches:
+        for doc, label, f in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "f")), strict=True):
+            if (doc, label) == last:
+                continue
+            if part and size + len(f) > PART_BYTES:
+                yield _fitted(part)
+                part, size = [], 0
+            part.append((f, label))
+            size, last = size + len(f), (doc, label)
+    if part:
+        yield _fitted(part)
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(coordinates, weights) that are not zero, of all labelled documents.
+
+    ``rows`` is for trials, and no query gives it: only the ``rows`` ones with the smallest hash are learned from, in the driver.
+    """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, packer = Least(), Packer()
         for batch in batches:
-            out = [zstandard.compress(np.diff(features(text.as_py() or ""), prepend=0).astype("<i4").tobytes(), 3) for text in batch.column(3)]
-            tie = pa.array(list(map(zlib.crc32, out)), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], tie, pa.array(out, pa.binary())], ["doc_id", "h", "toxic", "tie", "f"])
+            keep, ties, out = [], [], []
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for k, (key, text) in enumerate(zip(keys, batch.column(4), strict=True)):
+                f = packer.pack(np.diff(features(text.as_py() or ""), prepend=0))
+                if (tie := least.passes(key, f)) is not None:
+                    keep.append(k)
+                    ties.append(tie)
+                    out.append(f)
+            some = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.array(ties, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "toxic", "h", "shard", "tie", "f"])
 
     ids = F.col("doc_id").cast("long")
     known = labels.select(ids.alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)).distinct()
-    chosen = smallest(known, rows, "toxicity")
+    if rows is not None:
+        known = smallest(known, rows, "toxicity").drop("h")
+    known = written(known, "labels")
     texts = docs.select(ids.alias("doc_id"), "text")
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "h", "toxic", "text").mapInArrow(extract, "doc_id long, h long, toxic int, tie long, f binary")
-    # One row for each chosen one: equal doc_ids meet here, map-side first.
-    found = sample.groupBy("doc_id", "toxic").agg(F.min("h").alias("h"), F.min(F.struct("tie", "f")).alias("x")).select("h", "toxic", "x.tie", "x.f").toArrow()
-    h, toxic, tie = (found.column(c).to_numpy() for c in ("h", "toxic", "tie"))
-    order = np.lexsort((tie, toxic, h)).tolist()
-    if not order:
+    shards = 1 if rows is not None else max(1, -(-known.join(texts.select("doc_id"), "doc_id", "left_semi").count() // SHARD_ROWS))
+    near = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    found = texts.join(near, "doc_id").withColumn("h", hashed("toxicity")).select("doc_id", "toxic", "h", (F.col("h") % shards).cast("int").alias("shard"), "text")
+    found = found.mapInArrow(extract, "doc_id long, toxic int, h long, shard int, tie long, f binary")
+    order = ["h", "toxic", "doc_id", "tie"]
+    if rows is None:
+        # A task has one shard.
+        parts = found.repartitionById(shards, F.col("shard")).sortWithinPartitions(*order).mapInArrow(_learned, "i long, v long")
+    else:
+        own = pa.Table.from_batches(_learned(found.orderBy(*order).toArrow().to_batches()), pa.schema([("i", pa.int64()), ("v", pa.int64())]))
+        parts = docs.sparkSession.createDataFrame(own)
+    n, i, w = weighed(parts)
+    if not n:
         return np.array([1 << BITS]), np.array([-700.0])
-    model, packed = Ftrl(), found.column("f")
-    for _ in range(EPOCHS):
-        for i in order:
-            model.learn(np.cumsum(np.frombuffer(zstandard.decompress(packed[i].as_py()), "<i4")), int(toxic[i]))
-    w = model.weights(slice(None))
     keep = np.flatnonzero(w)
-    return keep, w[keep]
+    return i[keep], w[keep]
 
 
 class Scorer:

@@ -251,3 +251,86 @@ def test_samples_are_bounded_where_one_id_repeats(spark, monkeypatch):
     monkeypatch.setattr(language, "Model", Kept)
     one, two = language.train(docs, 25), language.train(docs.orderBy("text").repartition(3), 25)
     assert max(max(s) for s in sizes) <= 25 and np.array_equal(one.w, two.w)
+
+
+def test_toxicity_learns_from_every_labelled_document(spark):
+    """Words that stand only in documents beyond the 20,000 smallest hashes are learned too."""
+    ids = spark.range(30_000).selectExpr("id as doc_id").withColumn("h", common.hashed("toxicity"))
+    known = ids.filter(common.fold_of(ids.doc_id, 4) != 2).orderBy("h").collect()
+    late = {r.doc_id for r in known[20_000:]}
+    assert len(late) > 1000
+    rows = [(r.doc_id, f"{'late' if r.doc_id in late else 'early'} {'vile' if r.doc_id % 2 else 'calm'}", r.doc_id % 2) for r in known]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    learned = set(model[0].tolist())
+    assert set(plain_features("early vile")) & learned
+    assert (set(plain_features("late vile")) - set(plain_features("early vile"))) & learned
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_toxicity_is_the_mean_of_its_shards(spark, monkeypatch, broadcast_rows):
+    """Against plain learners, one for each shard; the same for rows repeated and dealt in another way."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 25)
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", broadcast_rows)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(("good", "bad", "calm", "vile")) for _ in range(rng.randint(0, 12))) for _ in range(120)]
+    docs = docs_frame(spark, texts)
+    labels = spark.createDataFrame([(i, int("vile" in t)) for i, t in enumerate(texts)] + [(i, 1) for i in range(5000, 5200)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    rows = sorted((r.h, r.doc_id) for r in docs.select("doc_id", common.hashed("toxicity").alias("h")).collect() if crc_fold(r.doc_id, 4) != 2)
+    shards = -(-len(rows) // 25)
+    want = {}
+    for k in range(shards):
+        own = [(texts[d], int("vile" in texts[d])) for h, d in rows if h % shards == k]
+        for i, w in plain_ftrl(own).items():
+            want[i] = want.get(i, 0.0) + w * len(own) / len(rows)
+    got = dict(zip(model[0].tolist(), model[1].tolist(), strict=True))
+    assert shards > 2 and got.keys() == {i for i, w in want.items() if w}
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in got)
+    again = toxicity.train(docs.union(docs).orderBy("text").repartition(7), labels.repartition(3))
+    assert all(np.array_equal(a, b) for a, b in zip(model, again, strict=True))
+
+
+def test_language_learns_from_every_document(spark):
+    """A language's second alphabet, only in documents beyond its 500 smallest hashes, is learned too."""
+    rng = random.Random(9)
+    marked = spark.range(4000).selectExpr("id as doc_id").withColumn("h", common.hashed("language")).orderBy("h").collect()
+    texts, place = {}, {"en": 0, "es": 0}
+    for r in marked:
+        lang = "en" if r.doc_id % 2 else "es"
+        place[lang] += crc_fold(r.doc_id, 3) != 1
+        letters = {"en": ("abcd", "ijkl"), "es": ("efgh", "mnop")}[lang][place[lang] > 500]
+        texts[r.doc_id] = (" ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(12)), lang)
+    docs = spark.createDataFrame([(d, *t) for d, t in texts.items()], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    late = spark.createDataFrame([(1, "ijkl lkij jilk kkil"), (2, "mnop ponm nmop oonp")], "doc_id long, text string")
+    found = {r.doc_id: r for r in language.predict(late, model).collect()}
+    assert (found[1].lang_pred, found[2].lang_pred) == ("en", "es") and not found[1].ambiguous and not found[2].ambiguous
+
+
+def test_language_is_the_mean_of_its_shards(spark, monkeypatch):
+    """Against models of the shards by hand, a rare language in each; the same for rows repeated and dealt in another way."""
+    monkeypatch.setattr(language, "ROWS_PER_LANGUAGE", 20)
+    rng = random.Random(10)
+    of = [("en", "abcd", 150), ("es", "efgh", 90), ("fr", "ijkl", 6)]
+    rows = [(" ".join("".join(rng.choice(a) for _ in range(4)) for _ in range(10)), lang) for lang, a, n in of for _ in range(n)]
+    docs = docs_frame(spark, [t for t, _ in rows], langs=[x for _, x in rows])
+    model = language.train(docs)
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", common.hashed("language").alias("h")).collect()}
+    known = sorted((hashes[d], *rows[d]) for d in hashes if crc_fold(d, 3) != 1)
+    names = ["en", "es", "fr"]
+    n = [sum(x == lang for _, _, x in known) for lang in names]
+    shards = round(sum(n) / 60)
+    chunks = {lang: max(1, min(shards, c // 10)) for lang, c in zip(names, n, strict=True)}
+    total, flat = 0, 0
+    for s in range(shards):
+        own = [(t, x) for h, t, x in known if h % chunks[x] == s % chunks[x]]
+        x = np.stack([language.vector(language.counts(t)) for t, _ in own])
+        flat = flat + len(own) * language.Model(names, x, np.array([names.index(v) for _, v in own])).flat()
+        total += len(own)
+    assert shards > 1 and chunks["fr"] == 1 and total == sum(n) + (shards - 1) * n[2]
+    assert np.abs(model.flat() - flat / total).max() < 1e-3
+    found = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
+    assert all(found[d] == rows[d][1] for d in found)
+    again = language.train(docs.union(docs).orderBy("text").repartition(7))
+    assert np.array_equal(model.w, again.w) and np.array_equal(model.bit_weight, again.bit_weight)
